@@ -64,6 +64,12 @@ FAILED = [
     r"(?<![A-Za-z\d_'\"(=.:-])(?<!:\s)(?<!\b(?:auf|bei|gegen|unter|über|um|von|zu|mit|Uhr|gleich)\s)null(?=\s+\p{Ll}|[,.;]?\s*$|\s+\p{Lu}|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}])(?!\s+(?:Uhr|Grad|Komma|und|and void|hypothesis|Prozent|zu|Meter|result))",
 ]
 
+FAILED_TRIGGERS = ["[object", "#REF", "#VALUE", "#NAME", "#NUM", "#NULL", "#DIV", "#N/A", "NaN", "undefined", "null", "NULL", "None", "(nil", "nvalid "]
+#: Openings of the delimiters; single ones are common in prose, so they stand apart.
+STRICT_TRIGGERS = ["{{", "${", "#{", "<%", "{%", "%(", "@@", "[", "<<", "__", "XX", "待", "占位", "佔位", "未填", "未入力"]
+PERCENT_TRIGGER = r"%[A-Z]"
+LOOSE_TRIGGERS = ["{", "<", "[", "%s", "%d", "%1", "%2"]
+
 #: Fixed value: words of filler in the manner of the classic dummy text.
 _LOREM = (
     "lorem|ipsum|dolor|sit|amet|consectetur|adipiscing|elit|sed|eiusmod|tempor|incididunt|labore|dolore|magna|aliqua|enim|minim|veniam|quis|nostrud|"
@@ -81,36 +87,50 @@ FILLER = [
 ]
 
 _ALONE = r"(?=\s*(?:$|nginx|[-–—|.:;!/,\n。！)\]）】]|\p{Lu}|\d|[“\"'<(\[#]|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]))"
-#: Error titles and notices; those that prose uses as well must stand alone.
-NOTICES = [
-    r"(?m)(?:\b(?:HTTP|Error|Erreur|Fehler|Ошибка)?\s?(?:400|401|403|404|410|429|500|502|503|504)\s?[:–-]?\s*(?:Bad Request|Unauthorized|Forbidden|Not Found|Gone|Too Many Requests|Internal Server Error|Bad Gateway|Service Unavailable|Gateway Time-?out)\b)",
-    rf"(?:\b(?:Internal Server Error|Bad Gateway|Service Unavailable|Too Many Requests|Gateway Time-out)\b){_ALONE}",
-    rf"(?m)(?:^|(?<=[.!?。:：\]»”|\n-])\s*|(?<=[\p{{IsHan}}\d])\s*)(?:(?:Error|Erreur|Fehler|Oops!?)\s+)?(?:40[0-9]|429|50[0-4])(?=\s*(?:$|[-–—|.:\n]|Code:|Ray |Request|Reference|Try again|Go back))",
-    rf"(?:\b(?:Access denied|Access Denied|Accès refusé|Acceso denegado|Zugriff verweigert|Доступ запрещ[её]н|Page not found|Page introuvable|Página no encontrada|Seite nicht gefunden|Страница не найдена|Servicio no disponible)){_ALONE}",
-    r"\bError (?:40[0-9]|429|50[0-4])\b(?=\s*(?:$|[-–—|.:\n]|\p{Lu}))",
-    r"(?:Error|Erreur|Fehler|HTTP) ?40[0-9] ?[:–-] ?\p{L}|(?:40[0-9]|50[0-4]) (?:页面|页面不存在|お探し|ページ|服务|网关|禁止)",
-    r"(?i)\b(?:we (?:can(?:'|’)t|cannot|couldn(?:'|’)t) find (?:that|this|the) page|the (?:page|article|story|content) you (?:asked|are looking|were looking|requested)(?: for)? (?:has been|could not|cannot|was|does|is no)|(?:this|the requested) page (?:does not|doesn(?:'|’)t|could not) )",
-    r"(?i)\bthe server is temporarily unable\b|\byour session has expired\b|\byou (?:don(?:'|’)t|do not) have permission to (?:view|access|read|see)\b|\bunusual traffic from your\b|\b(?:confirm|verify|prove) (?:that )?you are (?:not a robot|human|a human)\b|\bthis (?:content|page|video|article) is (?:not|currently not|un)\s?available in your (?:area|region|country)\b|\bsubscribe (?:now )?to (?:continue|keep) reading\b|\blog ?in to (?:continue|read|view)\b|\bchecking your browser before\b",
-    r"(?i)\b(?:enable|activate|allow|turn on|switch on)\s(?:[\p{L} ]{0,16}\b)?(?:javascript|scripts?|cookies)\b[^.\n。]{0,60}?\b(?:to (?:continue|view|read|see|use|proceed|load|display)|in your browser|for this (?:site|page)|and (?:reload|refresh|try))|\bplease (?:enable|activate|turn on|allow) (?:javascript|scripts|cookies)\b|\b(?:this|our|the) (?:site|page|website|app|application) (?:requires|needs|works best with) (?:javascript|scripts|cookies)|\bscripts? (?:are|is) (?:blocked|disabled|turned off)\b|\bjavascript is (?:disabled|required|turned off|not enabled|off)\b|\byour browser (?:does not|doesn(?:'|’)t) support\b",
-    r"(?i)(?:veuillez|merci de|vous devez) (?:activer|autoriser) (?:javascript|les scripts|les cookies)|activez javascript|javascript est désactivé|les scripts sont (?:bloqués|désactivés)|bitte aktivieren sie (?:javascript|cookies)|aktivieren sie (?:bitte )?javascript|ohne (?:skripte|javascript) kann|javascript ist (?:deaktiviert|ausgeschaltet|erforderlich)|(?:active|habilite|activa|habilita) javascript|javascript está (?:desactivado|deshabilitado)|(?:su|tu) navegador (?:no|tiene) |включите javascript|javascript отключ[её]н|для просмотра[^.\n]{0,30}(?:javascript|скрипты)|скрипты (?:отключены|заблокированы)|يرجى تفعيل|الرجاء تفعيل|تم تعطيل جافا|कृपया (?:जावास्क्रिप्ट|javascript)|जावास्क्रिप्ट (?:सक्षम|चालू)|เปิดใช้(?:งาน)? ?javascript|กรุณาเปิด",
-    r"(?i)请(?:启用|开启|打开|允许) ?(?:javascript|脚本|cookie)|(?:禁用|未启用|关闭)了? ?(?:脚本|javascript)[^”]|javascript ?を(?:有効|オン)|スクリプト(?:が(?:無効|ブロック)|を(?:有効|許可))|訪問的頁面|您访问的页面|页面(?:不存在|未找到|找不到)|お探しのページ|ページが(?:見つかりません|存在しません)|服务器内部错误|网关超时|服务(?:暂时)?不可用|(?:您|你)没有权限|没有权限(?:查看|访问)|访问(?:过于频繁|被拒绝|受限)|请输入验证码|サーバー(?:が混み合|エラー|に接続)|アクセス(?:が拒否|できません|が集中)|しばらくしてから(?:お試し|再度)|内部服务器错误",
-    r"(?i)erreur 40\d ?:|cette page n(?:'|’)existe (?:plus|pas)|service (?:temporairement )?indisponible|der (?:dienst|server) ist (?:derzeit|zurzeit|momentan) nicht|(?:diese|die) seite (?:existiert nicht|wurde nicht gefunden|konnte nicht)|esta página (?:no existe|ya no)|servicio no disponible|сервер временно|страница не (?:найдена|существует)|الصفحة (?:غير موجودة|التي تبحث)|पृष्ठ नहीं मिला|ไม่พบหน้า",
-    r"Traceback \(most recent call last\)|(?m)^\s*File \"[^\"\n]+\", line \d+|^\s*(?:Key|Type|Value|Attribute|Index|Name|Runtime|Zero\w+)Error: |Exception in thread \"|(?:^|\n)\s+at [\w.$]+\([\w.]+:\d+\)|\{\"error\": ?\{|\{\"(?:error|message|status)\": ?(?:\"|\d{3}\b)[^{}\n]{0,120}(?:error|denied|forbidden|not found|unavailable)|(?i:fatal error: uncaught|warning: (?:undefined|include)\b|stack trace:)",
-    r"(?i)loading(?:…|\.\.\.) ?(?:if nothing happens|please wait)|if the problem (?:goes on|persists), (?:write|contact)|\brequest id: ?[0-9a-f-]{6,}|\breference #[0-9a-f]{6,}|\bray (?:id:? )?[0-9a-f]{8,}",
+#: Error titles and notices, each group with plain words in lower case of which a text must hold one; those that prose uses as
+#: well must stand alone.
+NOTICE_GROUPS: list[tuple[list[str], list[str]]] = [
+    (["400", "401", "403", "404", "410", "429", "500", "502", "503", "504"], [
+        r"(?m)(?:\b(?:HTTP|Error|Erreur|Fehler|Ошибка)?\s?(?:400|401|403|404|410|429|500|502|503|504)\s?[:–-]?\s*(?:Bad Request|Unauthorized|Forbidden|Not Found|Gone|Too Many Requests|Internal Server Error|Bad Gateway|Service Unavailable|Gateway Time-?out)\b)",
+        rf"(?m)(?:^|(?<=[.!?。:：\]»”|\n-])\s*|(?<=[\p{{IsHan}}\d])\s*)(?:(?:Error|Erreur|Fehler|Oops!?)\s+)?(?:40[0-9]|429|50[0-4])(?=\s*(?:$|[-–—|.:\n]|Code:|Ray |Request|Reference|Try again|Go back))",
+        r"\bError (?:40[0-9]|429|50[0-4])\b(?=\s*(?:$|[-–—|.:\n]|\p{Lu}))",
+        r"(?:Error|Erreur|Fehler|HTTP) ?40[0-9] ?[:–-] ?\p{L}|(?:40[0-9]|50[0-4]) (?:页面|页面不存在|お探し|ページ|服务|网关|禁止)",
+    ]),
+    (["internal server error", "bad gateway", "service unavailable", "too many requests", "gateway time-out", "denied", "refusé", "denegado", "verweigert", "доступ запрещ", "not found", "introuvable", "no encontrada", "nicht gefunden", "не найдена", "no disponible"], [
+        rf"(?:\b(?:Internal Server Error|Bad Gateway|Service Unavailable|Too Many Requests|Gateway Time-out)\b){_ALONE}",
+        rf"(?:\b(?:Access denied|Access Denied|Accès refusé|Acceso denegado|Zugriff verweigert|Доступ запрещ[её]н|Page not found|Page introuvable|Página no encontrada|Seite nicht gefunden|Страница не найдена|Servicio no disponible)){_ALONE}",
+    ]),
+    (["that page", "this page", "the page", "requested page", "you asked", "looking for", "you requested"], [
+        r"(?i)\b(?:we (?:can(?:'|’)t|cannot|couldn(?:'|’)t) find (?:that|this|the) page|the (?:page|article|story|content) you (?:asked|are looking|were looking|requested)(?: for)? (?:has been|could not|cannot|was|does|is no)|(?:this|the requested) page (?:does not|doesn(?:'|’)t|could not) )",
+    ]),
+    (["temporarily unable", "session has", "permission to", "unusual traffic", "robot", "human", "available in your", "subscribe", "log in", "login", "checking your"], [
+        r"(?i)\bthe server is temporarily unable\b|\byour session has expired\b|\byou (?:don(?:'|’)t|do not) have permission to (?:view|access|read|see)\b|\bunusual traffic from your\b|\b(?:confirm|verify|prove) (?:that )?you are (?:not a robot|human|a human)\b|\bthis (?:content|page|video|article) is (?:not|currently not|un)\s?available in your (?:area|region|country)\b|\bsubscribe (?:now )?to (?:continue|keep) reading\b|\blog ?in to (?:continue|read|view)\b|\bchecking your browser before\b",
+    ]),
+    (["script", "cookie", "your browser"], [
+        r"(?i)\b(?:enable|activate|allow|turn on|switch on)\s(?:[\p{L} ]{0,16}\b)?(?:javascript|scripts?|cookies)\b[^.\n。]{0,60}?\b(?:to (?:continue|view|read|see|use|proceed|load|display)|in your browser|for this (?:site|page)|and (?:reload|refresh|try))|\bplease (?:enable|activate|turn on|allow) (?:javascript|scripts|cookies)\b|\b(?:this|our|the) (?:site|page|website|app|application) (?:requires|needs|works best with) (?:javascript|scripts|cookies)|\bscripts? (?:are|is) (?:blocked|disabled|turned off)\b|\bjavascript is (?:disabled|required|turned off|not enabled|off)\b|\byour browser (?:does not|doesn(?:'|’)t) support\b",
+    ]),
+    (["script", "cookies", "skripte", "navegador", "скрипт", "تفعيل", "تعطيل", "जावास्क्रिप्ट", "कृपया", "เปิด"], [
+        r"(?i)(?:veuillez|merci de|vous devez) (?:activer|autoriser) (?:javascript|les scripts|les cookies)|activez javascript|javascript est désactivé|les scripts sont (?:bloqués|désactivés)|bitte aktivieren sie (?:javascript|cookies)|aktivieren sie (?:bitte )?javascript|ohne (?:skripte|javascript) kann|javascript ist (?:deaktiviert|ausgeschaltet|erforderlich)|(?:active|habilite|activa|habilita) javascript|javascript está (?:desactivado|deshabilitado)|(?:su|tu) navegador (?:no|tiene) |включите javascript|javascript отключ[её]н|для просмотра[^.\n]{0,30}(?:javascript|скрипты)|скрипты (?:отключены|заблокированы)|يرجى تفعيل|الرجاء تفعيل|تم تعطيل جافا|कृपया (?:जावास्क्रिप्ट|javascript)|जावास्क्रिप्ट (?:सक्षम|चालू)|เปิดใช้(?:งาน)? ?javascript|กรุณาเปิด",
+    ]),
+    (["script", "脚本", "cookie", "スクリプト", "页面", "頁面", "ページ", "服务器", "网关", "不可用", "权限", "访问", "验证码", "サーバー", "アクセス", "しばらく"], [
+        r"(?i)请(?:启用|开启|打开|允许) ?(?:javascript|脚本|cookie)|(?:禁用|未启用|关闭)了? ?(?:脚本|javascript)[^”]|javascript ?を(?:有効|オン)|スクリプト(?:が(?:無効|ブロック)|を(?:有効|許可))|訪問的頁面|您访问的页面|页面(?:不存在|未找到|找不到)|お探しのページ|ページが(?:見つかりません|存在しません)|服务器内部错误|网关超时|服务(?:暂时)?不可用|(?:您|你)没有权限|没有权限(?:查看|访问)|访问(?:过于频繁|被拒绝|受限)|请输入验证码|サーバー(?:が混み合|エラー|に接続)|アクセス(?:が拒否|できません|が集中)|しばらくしてから(?:お試し|再度)|内部服务器错误",
+    ]),
+    (["erreur 40", "n'existe", "n’existe", "indisponible", "der dienst ist", "der server ist", "seite ", "esta página", "no disponible", "сервер временно", "страница не", "الصفحة", "पृष्ठ", "ไม่พบ"], [
+        r"(?i)erreur 40\d ?:|cette page n(?:'|’)existe (?:plus|pas)|service (?:temporairement )?indisponible|der (?:dienst|server) ist (?:derzeit|zurzeit|momentan) nicht|(?:diese|die) seite (?:existiert nicht|wurde nicht gefunden|konnte nicht)|esta página (?:no existe|ya no)|servicio no disponible|сервер временно|страница не (?:найдена|существует)|الصفحة (?:غير موجودة|التي تبحث)|पृष्ठ नहीं मिला|ไม่พบหน้า",
+    ]),
+    (["traceback", "file \"", "error: ", "exception in", "\tat ", "  at ", "{\"error", "{\"message", "{\"status", "fatal error", "warning: ", "stack trace"], [
+        r"Traceback \(most recent call last\)|(?m)^\s*File \"[^\"\n]+\", line \d+|^\s*(?:Key|Type|Value|Attribute|Index|Name|Runtime|Zero\w+)Error: |Exception in thread \"|(?:^|\n)\s+at [\w.$]+\([\w.]+:\d+\)|\{\"error\": ?\{|\{\"(?:error|message|status)\": ?(?:\"|\d{3}\b)[^{}\n]{0,120}(?:error|denied|forbidden|not found|unavailable)|(?i:fatal error: uncaught|warning: (?:undefined|include)\b|stack trace:)",
+    ]),
+    (["loading", "the problem ", "request id", "reference #", "ray "], [
+        r"(?i)loading(?:…|\.\.\.) ?(?:if nothing happens|please wait)|if the problem (?:goes on|persists), (?:write|contact)|\brequest id: ?[0-9a-f-]{6,}|\breference #[0-9a-f]{6,}|\bray (?:id:? )?[0-9a-f]{8,}",
+    ]),
 ]
 
-#: Plain words in lower case of which every text of the family holds one. Fixed values.
+#: Plain words in lower case of which every text with filler holds one. Fixed values.
 FILLER_TRIGGERS = [
     "lorem", "ipsum", "dolor ", "candor ", "tarsi", "quodam", "body text", "asdf", "qwer", "blah", "foo bar", "tk tk", "placeholder", "dummy", "sample ", "filler", "goes here", "goes in this box", "starts in this box", "starts here", "comes here", "begins here",
     "provisoire", "factice", "remplissage", "texto de ", "hier steht", "blindtext", "platzhaltertext", "mustertext", "votre texte", "aquí ", "占位", "正文", "请在", "测试测试", "此处为", "ここに", "ダミー", "サンプル", "заглушка", "рыба", "здесь ", "пробный", "тестовый", "نص ", "नमूना", "डमी", "ตัวอย่าง",
 ]
-NOTICE_TRIGGERS = [
-    "script", "cookie", "400", "401", "403", "404", "410", "429", "500", "502", "503", "504", "error", "gateway", "unavailable", "too many", "denied", "not found", "introuvable", "no encontrada", "refusé", "denegado", "verweigert", "доступ", "страниц", "no disponible", "nicht gefunden",
-    "that page", "this page", "the page", "you asked for", "looking for", "requested", "temporarily unable", "session has", "permission to", "unusual traffic", "robot", "human", "in your area", "in your region", "in your country", "subscribe", "log in", "login", "your browser",
-    "navegador", "indisponible", "n'existe", "n’existe", "nicht erreichbar", "der dienst ist", "der server ist", "skripte", "seite ", "页面", "頁面", "脚本", "ページ", "スクリプト", "服务器", "网关", "不可用", "没有权限", "访问", "验证码", "サーバー", "アクセス", "しばらく",
-    "сервер", "скрипт", "تفعيل", "تعطيل", "الصفحة", "पृष्ठ", "जावास्क्रिप्ट", "เปิด", "ไม่พบ", "traceback", "file \"", "exception", "loading", "the problem ", "request id", "reference #", "ray ", "stack trace",
-]
-
 _CODE = r"(?s)```.*?(?:```|$)|`[^`\n]{1,200}`|<(pre|code)\b[^>]*>.*?</\1>"
 _QUOTED = r"“[^”\n]{1,200}”|„[^“”\n]{1,200}[“”]|«[^»\n]{1,200}»|「[^」\n]{1,200}」|『[^』\n]{1,200}』|(?<![\p{L}\p{N}{:,\[\"])\"(?!error)[^\"\n{}:]{1,120}\"(?![\p{L}\p{N}:,}\]])"
 #: Code bits for each thousand characters from which a text counts as one about code.
@@ -128,24 +148,33 @@ def _holds(lowered: Column, words: list[str]) -> Column:
     return out
 
 
-def residue_columns(text: Column) -> dict[str, Column]:
+def with_lower(documents: DataFrame, text_col: str) -> DataFrame:
+    """``documents`` with ``_low``, the text in lower case, made once a row: the optimizer would copy a plain column into each of the many tests."""
+    return documents.select("*", F.explode(F.array(F.lower(text_col))).alias("_low"))
+
+
+def residue_columns(text: Column, low: Column) -> dict[str, Column]:
     """A boolean column for each family: ``placeholder``, ``failed_value``, ``filler``, ``notice``. Null for null text."""
     code = F.when(F.contains(text, F.lit("`")) | F.contains(text, F.lit("<pre")) | F.contains(text, F.lit("<code")), F.regexp_replace(text, _CODE, " ")).otherwise(text)
     bits = F.when(F.contains(text, F.lit("`")), F.regexp_count(text, F.lit(_CODE)))
     about_code = F.coalesce(bits * 1000 > F.length(text) * CODE_DENSITY, F.lit(False)) & (bits > 3)
     prose = F.regexp_replace(code, _QUOTED, " “” ")
-    low = F.lower(text)
+    notice = F.lit(False)
+    for words, patterns in NOTICE_GROUPS:
+        notice = notice | (_holds(low, words) & prose.rlike(_any(patterns)))
+    opened = _holds(text, STRICT_TRIGGERS) | (F.contains(text, F.lit("%")) & text.rlike(PERCENT_TRIGGER))
     return {
-        "placeholder": code.rlike(_any(STRICT)) | (~about_code & code.rlike(_any(LOOSE))),
-        "failed_value": code.rlike(_any(FAILED)),
+        "placeholder": (opened & code.rlike(_any(STRICT))) | (_holds(text, LOOSE_TRIGGERS) & ~about_code & code.rlike(_any(LOOSE))),
+        "failed_value": _holds(text, FAILED_TRIGGERS) & code.rlike(_any(FAILED)),
         "filler": _holds(low, FILLER_TRIGGERS) & prose.rlike("(?iu)" + _any(FILLER)),
-        "notice": _holds(low, NOTICE_TRIGGERS) & prose.rlike(_any(NOTICES)),
+        "notice": notice,
     }
 
 
 def flag_residue(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``documents`` keys with a flag for each family and ``is_residue``. Null, empty and blank texts are no cases; rows keep their number."""
-    rows = documents.select(id_col, text_col).select(id_col, *[F.coalesce(c, F.lit(False)).alias(k) for k, c in residue_columns(F.col(text_col)).items()])
+    rows = with_lower(documents.select(id_col, text_col), text_col)
+    rows = rows.select(id_col, *[F.coalesce(c, F.lit(False)).alias(k) for k, c in residue_columns(F.col(text_col), F.col("_low")).items()])
     return rows.withColumn("is_residue", F.col("placeholder") | F.col("failed_value") | F.col("filler") | F.col("notice"))
 
 
@@ -156,20 +185,16 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with content and without residue."""
     documents = table(spark, sf_dir, "documents").filter("text is not null and text rlike '(?U)\\\\S'")
-    return documents.filter(~_found(F.col("text"))).select("doc_id", "lang", "source", "n_chars")
-
-
-def _found(text: Column) -> Column:
-    out = F.lit(False)
-    for c in residue_columns(text).values():
-        out = out | c
-    return out
+    found = F.lit(False)
+    for c in residue_columns(F.col("text"), F.col("_low")).values():
+        found = found | c
+    return with_lower(documents, "text").filter(~found).select("doc_id", "lang", "source", "n_chars")
 
 
 def p9_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and cases of each family by source."""
-    documents = table(spark, sf_dir, "documents")
-    flags = documents.select("source", *[F.coalesce(c, F.lit(False)).alias(k) for k, c in residue_columns(F.col("text")).items()])
+    documents = with_lower(table(spark, sf_dir, "documents").select("source", "text"), "text")
+    flags = documents.select("source", *[F.coalesce(c, F.lit(False)).alias(k) for k, c in residue_columns(F.col("text"), F.col("_low")).items()])
     return flags.groupBy("source").agg(F.count("*").alias("n_docs"), *[F.count_if(k).alias(f"n_{k}") for k in ("placeholder", "failed_value", "filler", "notice")])
 
 
