@@ -34,7 +34,7 @@ def non_blank(items: Column) -> Column:
 def paragraphs(c: Column | str) -> Column:
     """Paragraphs: split at blank lines, failing that at lines, failing that the whole text; runs of blanks squeezed.
 
-    An empty array for an empty or blank text, null for null.
+    An empty array for an empty, blank or null text.
     """
     text = F.regexp_replace(col(c), r"[ \t]+", " ")
     blank, line = non_blank(F.split(text, r"\n\n")), non_blank(F.split(text, r"\n"))
