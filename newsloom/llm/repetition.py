@@ -145,16 +145,16 @@ def fit(v: DataFrame, keys: list[str], steps: int = STEPS) -> DataFrame:
     half = lambda c: F.percentile_approx(c, 0.5, 1000)
     groups = v.groupBy(*keys).agg(F.count("*").alias("n"), F.array(*[half(x) for x in xs]).alias("mean")).filter(F.col("n") >= LEAST_GROUP)
     model = cut(groups, "median")
-    spread = _with(v, model, keys).groupBy(*keys).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), *[half(F.abs(x - F.col("mean")[i])).alias(f"s{i}") for i, x in enumerate(xs)])
+    spread = _with(v, model, keys).groupBy(*keys).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), *[half(F.abs(x - F.col("mean")[i])).alias(f"s{i}") for i, x in enumerate(xs)]).filter("n is not null")
     flat = F.array(*[F.pow(1.4826 * F.col(f"s{i}"), 2) if i == j else F.lit(0.0) for i in range(DIMS) for j in range(DIMS)])
     model = cut(spread.select(*keys, "n", "mean", _precision(flat).alias("precision")), "start")
     for _ in range(steps):
         d2 = distance2(xs, F.col("mean"), F.col("precision"))
-        near = cut(_with(v, model, keys).groupBy(*keys).agg(F.percentile_approx(d2, 0.5, 1000).alias("limit"), F.first("mean").alias("mean"), F.first("precision").alias("precision")), "limit")
+        near = cut(_with(v, model, keys).groupBy(*keys).agg(F.percentile_approx(d2, 0.5, 1000).alias("limit"), F.first("mean").alias("mean"), F.first("precision").alias("precision")).filter("limit is not null"), "limit")
         kept = _with(v, near, keys).filter(d2 <= F.col("limit"))
         moments = kept.groupBy(*keys).agg(
             F.count("*").alias("m"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)], *[F.covar_pop(xs[i], xs[j]).alias(f"c{i}{j}") for i in range(DIMS) for j in range(i, DIMS)]
-        )
+        ).filter("m > 0")
         flat = F.array(*[HALF_FACTOR * F.col(f"c{min(i, j)}{max(i, j)}") for i in range(DIMS) for j in range(DIMS)])
         model = cut(moments.select(*keys, F.col("m").alias("n"), F.array(*[F.col(f"m{i}") for i in range(DIMS)]).alias("mean"), _precision(flat).alias("precision")), "model")
     return model
