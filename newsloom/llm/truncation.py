@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom.sources.session import small_batches, table
+from newsloom.sources.session import cut, small_batches, table
 
 TAIL = 400
 #: A spike has at least so many values, so many times its neighbours' mean, and at most this share of values beyond.
@@ -170,8 +170,11 @@ def natural_thai_ends(values: DataFrame) -> DataFrame:
 
 
 def judged(values: DataFrame) -> DataFrame:
-    """Every value's ending, with ``at_limit`` (its length is at a spike of its source) and ``is_cut``."""
-    ends = endings(values)
+    """Every value's ending, with ``at_limit`` (its length is at a spike of its source) and ``is_cut``.
+
+    The endings, a few numbers for each value, are written to the shared folder, as histograms and verdicts both read them.
+    """
+    ends = cut(endings(values), "endings")
     top = F.col("size") + F.when(F.col("unit") == "bytes", SLACK).otherwise(0)
     near = spikes(ends).select("field_name", "source", "unit", F.col("size").alias("spike"), F.explode(F.sequence(F.col("size") - SLACK, top)).alias("size"))
     limit = near.groupBy("field_name", "source", "unit", "size").agg(F.max(F.col("size") == F.col("spike")).alias("exact"))
@@ -181,13 +184,13 @@ def judged(values: DataFrame) -> DataFrame:
     both = both.join(natural_thai_ends(values).select("thai_end", "n_ends"), "thai_end", "left")
     at_limit = F.col("at_chars").isNotNull() | F.col("at_bytes").isNotNull()
     exactly = F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False))
-    cut = (
+    is_cut = (
         F.col("ending").isin("cut", "open")
         | (at_limit & (F.col("ending") == "ellipsis"))
         | (exactly & F.col("ending").isin("tail", "thai"))
         | ((F.col("ending") == "thai") & F.col("n_ends").isNull())
     )
-    return both.select("field_name", "row_id", "source", "n_chars", "n_bytes", "ending", at_limit.alias("at_limit"), cut.alias("is_cut"))
+    return both.select("field_name", "row_id", "source", "n_chars", "n_bytes", "ending", at_limit.alias("at_limit"), is_cut.alias("is_cut"))
 
 
 def news_values(spark: SparkSession, sf_dir: str) -> DataFrame:
