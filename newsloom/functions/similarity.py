@@ -24,11 +24,20 @@ def weighted_centroid(a: Column, weight_a: Column, b: Column, weight_b: Column)
     return F.zip_with(a, b, lambda x, y: (x * weight_a + y * weight_b) / total)
 
 
+def word_set(c: Column | str) -> Column:
+    return F.array_distinct(words(c))
+
+
+def jaccard_sets(x: Column | str, y: Column | str) -> Column:
+    """Shared over all members of two sets; 0 if both are empty. Sets made in a projection below are made once."""
+    shared = F.size(F.array_intersect(col(x), col(y)))
+    union = F.size(col(x)) + F.size(col(y)) - shared
+    return F.when(union > 0, shared / union).otherwise(0.0)
+
+
 def jaccard(a: Column | str, b: Column | str) -> Column:
     """Shared words over all words; 0 if either text is blank."""
-    x, y = F.array_distinct(words(a)), F.array_distinct(words(b))
-    union = F.size(F.array_union(x, y))
-    return F.when((strip(a) == "") | (strip(b) == "") | (union == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / union)
+    return jaccard_sets(word_set(a), word_set(b))
 
 
 def levenshtein(a: Column | str, b: Column | str) -> Column:

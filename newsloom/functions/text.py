@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space at the ends of a text, the same set for Spark and for the SQL counterparts.
-SPACE = r"[ \t\n\x0b\f\r\x{85}\x{a0}\x{2028}\x{2029}\x{3000}]"
+SPACES = " \t\n\x0b\f\r\x85\xa0\u2028\u2029\u3000"
 #: Runs of letters, digits and underscores in any script.
 WORD = r"[\p{L}\p{N}_]+"
 HAN = r"[一-鿿]"
@@ -23,7 +23,7 @@ def col(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without white space at both ends, Unicode spaces included."""
-    return F.regexp_replace(col(c), rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(col(c), F.lit(SPACES))
 
 
 def non_blank(items: Column) -> Column:
@@ -119,7 +119,7 @@ def strip_fence(c: Column | str) -> Column:
 
 def attach(fused: Column | str, alignment: Column) -> Column:
     """Legacy text form: fused text, the separator line, the alignment as JSON."""
-    return F.concat(F.regexp_replace(col(fused), rf"{SPACE}+$", ""), F.lit(f"\n{ALIGNMENT_MARK}\n"), F.to_json(alignment))
+    return F.concat(F.rtrim(col(fused), F.lit(SPACES)), F.lit(f"\n{ALIGNMENT_MARK}\n"), F.to_json(alignment))
 
 
 def detach(c: Column | str) -> tuple[Column, Column]:

@@ -99,9 +99,9 @@ def min_max(value: Column, by: list[str]) -> Column:
 
 def key_sentences(docs: DataFrame, keywords: list[str], k: int = 2, id_col: str = "doc_id", text_col: str = "text", weights: tuple[float, float, float] = (0.3, 0.3, 0.4)) -> DataFrame:
     """``(id, ord, sentence, score)`` of a text's ``k`` best sentences by length, position and keyword density; ties by position."""
-    rows = docs.select(id_col, F.posexplode(sentences(text_col)).alias("ord", "sentence"))
-    tokens = words("sentence")
-    density = F.when(F.size(tokens) > 0, F.size(F.filter(tokens, lambda t: t.isin(keywords))) / F.size(tokens)).otherwise(0.0)
+    rows = docs.select(id_col, F.posexplode(sentences(text_col)).alias("ord", "sentence")).select("*", words("sentence").alias("tokens"))
+    known = F.aggregate("tokens", F.lit(0), lambda n, t: n + F.when(t.isin(keywords), 1).otherwise(0))
+    density = F.when(F.size("tokens") > 0, known / F.size("tokens")).otherwise(0.0)
     n = F.count("*").over(Window.partitionBy(id_col))
     rows = rows.select(id_col, "ord", "sentence", F.length("sentence").cast("double").alias("len"), ((n - F.col("ord")) / n).alias("pos"), density.alias("kd"))
     score = sum((min_max(F.col(c), [id_col]) * w for c, w in zip(("len", "pos", "kd"), weights)), F.lit(0.0))

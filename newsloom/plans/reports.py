@@ -262,9 +262,16 @@ def _version_pairs(s, d) -> DataFrame:
     return rows.filter("b is not null")
 
 
+def _word_sets(s, d) -> DataFrame:
+    """Word sets of each fused text and of its versions; every text is tokenised once."""
+    texts = ["input_text", *V.VERSIONS]
+    sets = table(s, d, "fused_news").filter("fused_content is not null").select("fused_id", similarity.word_set("fused_content").alias("x"), *[similarity.word_set(t).alias(t) for t in texts])
+    return sets.selectExpr("fused_id", "x", f"stack({len(texts)}, {', '.join(f"'{t}', {t}" for t in texts)}) as (version_id, y)").filter("y is not null")
+
+
 @query(f"WITH {_PAIRS}, w AS (SELECT *, {_SETS.format('a')} AS x, {_SETS.format('b')} AS y FROM pair) SELECT fused_id, version_id, round({_JACCARD}, 6) AS jaccard FROM w")
 def jaccard_versions(s, d):
-    return _version_pairs(s, d).select("fused_id", "version_id", F.round(similarity.jaccard("a", "b"), 6).alias("jaccard"))
+    return _word_sets(s, d).select("fused_id", "version_id", F.round(similarity.jaccard_sets("x", "y"), 6).alias("jaccard"))
 
 
 _ASCII = r"regexp_replace({0}, '[^ -~]', '', 'g')[1:300]"
@@ -307,7 +314,7 @@ def cosine_pairs(s, d):
     SELECT fused_id, round(m, 6) AS mean_similarity, v > 0.1 AS methods_differ, CASE WHEN m >= 0.8 THEN 'high' WHEN m >= 0.6 THEN 'medium' WHEN m >= 0.4 THEN 'low' ELSE 'very low' END AS verdict FROM m
 """)
 def similarity_verdict(s, d):
-    j = _version_pairs(s, d).select("fused_id", similarity.jaccard("a", "b").alias("j"))
+    j = _word_sets(s, d).select("fused_id", similarity.jaccard_sets("x", "y").alias("j"))
     m = j.groupBy("fused_id").agg(F.round(F.avg("j"), 9).alias("m"), F.round(F.var_pop("j"), 9).alias("v"))
     return m.select("fused_id", F.round("m", 6).alias("mean_similarity"), (F.col("v") > 0.1).alias("methods_differ"), similarity.verdict(F.col("m")).alias("verdict"))
 
