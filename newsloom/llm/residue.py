@@ -44,7 +44,7 @@ STRICT = [
 ]
 #: Single delimiters, which prose, markup and code use too.
 LOOSE = [
-    r"(?<![$#%{\\A-Za-z\d])\{[\p{L}_][\p{L}\p{M}\p{N}_]{2,40}\}(?!\})",
+    r"(?<![$#%{\\A-Za-z])\{[\p{L}_][\p{L}\p{M}\p{N}_]{2,40}\}(?!\})",
     r"(?<!<)<(?!/?(?:unk|s|pad|mask|bos|eos|cls|sep|br|hr|p|b|i|u|em|strong|a|div|span|li|ul|ol|img|td|tr|th|table|tbody|thead|h[1-6]|html|body|head|title|script|style|code|pre|sub|sup|small|big|font|center|figure|figcaption|section|article|nav|header|footer|blockquote|cite|q|input|form|button|label|iframe|video|audio|source|link|meta|svg|path|user|assistant|system|tool|bot|human|start|end|endoftext|startoftext|think)>)"
     r"[\p{L}][\p{L}\p{N}]*(?:_[\p{L}\p{N}]+)*>(?!>)",
     r"<(?:figure|caption|source|title|header|section|article|label|link)_?[\p{L}\p{N}_]*>(?=[^<]*$|[^<]*<(?!/))",
@@ -86,14 +86,14 @@ FILLER = [
     r"текст[- ](?:заглушка|рыба)|здесь (?:будет|появится) текст|это (?:пробный|тестовый) текст|هذا نص (?:تجريبي|مؤقت|بديل)|यह (?:नमूना|डमी) (?:पाठ|टेक्स्ट)|ข้อความตัวอย่าง",
 ]
 
-_ALONE = r"(?=\s*(?:$|nginx|[-–—|.:;!/,\n。！)\]）】]|\p{Lu}|\d|[“\"'<(\[#]|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]))"
+_ALONE = r"(?=\s*(?:$|nginx|Code:|[-–—|.:;!/,\n。！)\]）】*_]|\p{Lu}|\d|[“\"'<(\[#]|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]))"
 #: Error titles and notices, each group with plain words in lower case of which a text must hold one; those that prose uses as
 #: well must stand alone.
 NOTICE_GROUPS: list[tuple[list[str], list[str]]] = [
     (["400", "401", "403", "404", "410", "429", "500", "502", "503", "504"], [
         r"(?m)(?:\b(?:HTTP|Error|Erreur|Fehler|Ошибка)?\s?(?:400|401|403|404|410|429|500|502|503|504)\s?[:–-]?\s*(?:Bad Request|Unauthorized|Forbidden|Not Found|Gone|Too Many Requests|Internal Server Error|Bad Gateway|Service Unavailable|Gateway Time-?out)\b)",
-        rf"(?m)(?:^|(?<=[.!?。:：\]»”|\n-])\s*|(?<=[\p{{IsHan}}\d])\s*)(?:(?:Error|Erreur|Fehler|Oops!?)\s+)?(?:40[0-9]|429|50[0-4])(?=\s*(?:$|[-–—|.:\n]|Code:|Ray |Request|Reference|Try again|Go back))",
-        r"\bError (?:40[0-9]|429|50[0-4])\b(?=\s*(?:$|[-–—|.:\n]|\p{Lu}))",
+        rf"(?m)(?:^|(?<=[.!?。:：\]»”|\n-])\s*|(?<=[\p{{IsHan}}\d])\s*)(?:(?:Error|Erreur|Fehler|Oops!?)\s+)?(?:40[0-9]|429|50[0-4])(?=\s*(?:$|nginx|[-–—|.:\n*_)\]]|Code:|Ray |Request|Reference|Try again|Go back|Return to))",
+        r"\bError (?:40[0-9]|429|50[0-4])\b(?=\s*(?:$|nginx|[-–—|.:\n*_)\]]|\p{Lu}))",
         r"(?:Error|Erreur|Fehler|HTTP) ?40[0-9] ?[:–-] ?\p{L}|(?:40[0-9]|50[0-4]) (?:页面|页面不存在|お探し|ページ|服务|网关|禁止)",
     ]),
     (["internal server error", "bad gateway", "service unavailable", "too many requests", "gateway time-out", "denied", "refusé", "denegado", "verweigert", "доступ запрещ", "not found", "introuvable", "no encontrada", "nicht gefunden", "не найдена", "no disponible"], [
@@ -116,7 +116,7 @@ NOTICE_GROUPS: list[tuple[list[str], list[str]]] = [
         r"(?i)请(?:启用|开启|打开|允许) ?(?:javascript|脚本|cookie)|(?:禁用|未启用|关闭)了? ?(?:脚本|javascript)[^”]|javascript ?を(?:有効|オン)|スクリプト(?:が(?:無効|ブロック)|を(?:有効|許可))|訪問的頁面|您访问的页面|页面(?:不存在|未找到|找不到)|お探しのページ|ページが(?:見つかりません|存在しません)|服务器内部错误|网关超时|服务(?:暂时)?不可用|(?:您|你)没有权限|没有权限(?:查看|访问)|访问(?:过于频繁|被拒绝|受限)|请输入验证码|サーバー(?:が混み合|エラー|に接続)|アクセス(?:が拒否|できません|が集中)|しばらくしてから(?:お試し|再度)|内部服务器错误",
     ]),
     (["erreur 40", "n'existe", "n’existe", "indisponible", "der dienst ist", "der server ist", "seite ", "esta página", "no disponible", "сервер временно", "страница не", "الصفحة", "पृष्ठ", "ไม่พบ"], [
-        r"(?i)erreur 40\d ?:|cette page n(?:'|’)existe (?:plus|pas)|service (?:temporairement )?indisponible|der (?:dienst|server) ist (?:derzeit|zurzeit|momentan) nicht|(?:diese|die) seite (?:existiert nicht|wurde nicht gefunden|konnte nicht)|esta página (?:no existe|ya no)|servicio no disponible|сервер временно|страница не (?:найдена|существует)|الصفحة (?:غير موجودة|التي تبحث)|पृष्ठ नहीं मिला|ไม่พบหน้า",
+        r"(?i)erreur 40\d ?:|cette page n(?:'|’)existe (?:plus|pas)|service (?:temporairement )?indisponible|der (?:dienst|server) ist (?:derzeit|zurzeit|momentan) nicht|(?:diese|die) seite (?:existiert nicht|gibt es nicht|wurde nicht gefunden|konnte nicht)|esta página (?:no existe|ya no)|servicio no disponible|сервер временно|страница не (?:найдена|существует)|الصفحة (?:غير موجودة|التي تبحث)|पृष्ठ नहीं मिला|ไม่พบหน้า",
     ]),
     (["traceback", "file \"", "error: ", "exception in", "\tat ", "  at ", "{\"error", "{\"message", "{\"status", "fatal error", "warning: ", "stack trace"], [
         r"Traceback \(most recent call last\)|(?m)^\s*File \"[^\"\n]+\", line \d+|^\s*(?:Key|Type|Value|Attribute|Index|Name|Runtime|Zero\w+)Error: |Exception in thread \"|(?:^|\n)\s+at [\w.$]+\([\w.]+:\d+\)|\{\"error\": ?\{|\{\"(?:error|message|status)\": ?(?:\"|\d{3}\b)[^{}\n]{0,120}(?:error|denied|forbidden|not found|unavailable)|(?i:fatal error: uncaught|warning: (?:undefined|include)\b|stack trace:)",
