@@ -10,6 +10,7 @@ from newsloom.models.providers import REGISTRY, HashEmbedder, PatternEntities, m
 from newsloom.operators import stages
 from newsloom.operators.versions import VERSIONS, long_versions
 from newsloom.sources import io
+from newsloom.sources.session import ship
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -21,6 +22,7 @@ def main(argv: list[str] | None = None) -> int:
     args.add_argument("--model", choices=sorted(REGISTRY), default="stub")
     a = args.parse_args(argv)
     spark = SparkSession.builder.appName("newsloom").getOrCreate()
+    ship(spark)
     model = make_model(a.model)
     if a.stage == "segment":
         out = stages.segment_news(io.head(io.read_news(spark, a.input), a.sample, "id"), HashEmbedder())

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,6 +13,23 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS = 2000
 
 
+def ship(spark: SparkSession) -> None:
+    """Make the package importable in the Python workers of any executor; once for each Spark context.
+
+    The archive holds code only; executors fetch it from the driver.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_newsloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="newsloom-code-")) / "newsloom.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    sc._newsloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data directory; a single parquet file or a folder of parts."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
