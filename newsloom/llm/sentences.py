@@ -38,6 +38,8 @@ Rule = tuple[bool, str | None, str, str]
 
 _UPPER = r"[\s ]+[“„«‹\"'(\[¿¡–—•*-]*\s?\p{Lu}"
 _OPEN = r"[\s ]+[“„«‹\"(\[¿¡「『（]"
+#: A sentence that starts without a space before it.
+_JOINED = r"(?:\p{Lu}[\p{L}'’.]|[AIÀÉÓYOВИСКУЯ]\s|[“„«¿¡])"
 _DIGIT = r"[\s ]+\d"
 _MONTH_DE = "Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember"
 
@@ -55,6 +57,7 @@ TABLES: dict[str, list[Rule]] = {
         (KEEP, None, r"\b(?:[Nn]os?|[Ff]igs?|pp?|[Vv]ol|[Cc]h|[Ss]ec|[Ee]d|vs|approx|ca|cf|i\.e|e\.g|al)\.$", r""),
         (KEEP, None, r"\b(?:Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sept?|Oct|Nov|Dec)\.$", _DIGIT),
         (BREAK, None, r"\d\s?[ap]\.\s?m\.$", _UPPER),
+        (BREAK, None, r"\d\s?[ap]\.\s?m\.$", _JOINED),
     ],
     "de": [
         (KEEP, None, rf"(?<![\d:.,])\d{{1,2}}\.$", rf"\s+(?:{_MONTH_DE})\b"),
@@ -116,8 +119,8 @@ COMMON_LAST: list[Rule] = [
     (BREAK, None, r"[.!?…][”»“\"’)\]]+$", _UPPER),
     (BREAK, None, r"[!?]$", r"[\s ]+[^\p{Ll}]"),
     (BREAK, None, r"(?:\p{Ll}|\d|[)”»])\.$", r"[\s ]+[\d\p{Lo}•*–—-]"),
-    (BREAK, None, r"(?:\p{L}{2}|\d{2}|[)”»])\.$", r"(?:\p{Lu}\p{L}|\p{Lu}\.|[AIÀÉÓYOВИСКУЯ]\s|[“„«¿¡])"),
-    (BREAK, None, r"\p{L}[!?]+$", r"(?:\p{Lu}\p{L}|[“„«¿¡])"),
+    (BREAK, None, r"(?:\p{L}{2}|\d{2}|[)”»])\.$", _JOINED),
+    (BREAK, None, r"\p{L}[!?]+$", _JOINED),
 ]
 
 #: Languages of each script in the order their tables follow.
