@@ -23,10 +23,9 @@ def problem_counts(found: DataFrame, id_col: str, level: str) -> DataFrame:
     return rows.groupingSets([[F.col(id_col), F.col("problem")], [F.col(id_col)]], F.col(id_col), F.col("problem")).agg(F.count("*").alias("n")).withColumn("level", F.lit(level))
 
 
-def similarity_columns(a: Column | str, b: Column | str, longest: int = 2000) -> dict[str, Column]:
-    """Word, word-pair and edit similarity; the edit distance, quadratic in length, is taken for texts up to ``longest`` characters and null beyond."""
-    short = (F.length(a) <= longest) & (F.length(b) <= longest)
-    return {"jaccard": similarity.jaccard(a, b), "tfidf": similarity.tfidf(a, b), "levenshtein": F.when(short, similarity.levenshtein(a, b))}
+def similarity_columns(a: Column | str, b: Column | str) -> dict[str, Column]:
+    """Word, word-pair and edit similarity of texts of any length."""
+    return {"jaccard": similarity.jaccard(a, b), "tfidf": similarity.tfidf(a, b), "levenshtein": similarity.levenshtein_long(a, b)}
 
 
 def corpus_report(evaluated: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from newsloom.operators import masking as M
 from newsloom.operators import rewrite as R
 from newsloom.operators import segment as G
 from newsloom.operators import versions as V
-from newsloom.sources.session import table
+from newsloom.sources.session import small_batches, table
 
 LEX = S.Lexicon()
 QUERIES: dict = {}
@@ -287,6 +287,13 @@ def levenshtein_versions(s, d):
     return rows.select("fused_id", "version_id", F.round(similarity.levenshtein("a", "b"), 6).alias("similarity"))
 
 
+@query()
+def levenshtein_texts(s, d):
+    """Edit similarity of the whole texts in any script; DuckDB's levenshtein counts bytes, so there is no SQL."""
+    small_batches(s)
+    return _version_pairs(s, d).select("fused_id", "version_id", F.round(similarity.levenshtein_long("a", "b"), 6).alias("similarity"))
+
+
 @query(r"""
     WITH p AS (SELECT id, title AS a, main_topic AS b, seendate FROM (SELECT DISTINCT id, title, main_topic, seendate FROM news_raw) WHERE title IS NOT NULL AND main_topic IS NOT NULL),
     w AS (SELECT *, regexp_extract_all(lower(a), '[\p{L}\p{N}_]+') AS wa, regexp_extract_all(lower(b), '[\p{L}\p{N}_]+') AS wb FROM p),
