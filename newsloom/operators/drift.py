@@ -228,6 +228,17 @@ ENTRY_COLUMNS = {
     "version_id": "string", "reduced_version_id": "string", "final_rewritten_text": "string", "version_score": "double", "success_ratio": "double",
     "fallback_ratio": "double", "quality_label": "string", "final_passed": "boolean", "segment_count": "bigint",
 }
+#: Holds what belongs to no column, in both tables.
+OTHER = "other_fields"
+
+
+def _leaves(path: str, v) -> Iterator[tuple[str, object]]:
+    """(path, value) below a value, nested objects by path; lists and empty objects stay whole, nulls are left out."""
+    if isinstance(v, dict) and v:
+        for k, x in v.items():
+            yield from _leaves(f"{path}.{folded(k)}", x)
+    elif v is not None:
+        yield path, v
 
 
 def _cast(v, sql_type: str) -> tuple[object, str | None]:
@@ -267,14 +278,24 @@ def _cast(v, sql_type: str) -> tuple[object, str | None]:
 
 
 def _columns(obj: dict, columns: dict[str, str], place: str, aliases: Aliases) -> tuple[list, list[tuple[str, str, str, str]]]:
+    """The values of the columns and of ``OTHER``; the failures, a row of each value without a column among them.
+
+    ``OTHER`` maps the folded path of every value that no column took to its JSON, so that spellings of one field
+    meet; where two of them stand in one object, the later one keeps its number.
+    """
     by_fold = {folded(c): c for c in columns}
     got: dict[str, tuple[str, object]] = {}
+    rest: list[tuple[str, object]] = []
     for name, v in obj.items():
-        if v is None:
+        if v is None or place == "item" and aliases.is_rewrites(name) and isinstance(v, list):
             continue
-        target = next((c for c in aliases.canonical.get((place, name), ()) if c in columns), by_fold.get(folded(name)))
+        target = next((c for c in sorted(aliases.canonical.get((place, name), ())) if c in columns), by_fold.get(folded(name)))
         if target and (target not in got or name == target):
+            if target in got:
+                rest.append(got[target])
             got[target] = (name, v)
+        else:
+            rest.append((name, v))
     values, failures = [], []
     for c, t in columns.items():
         name, v = got.get(c, (None, None))
@@ -282,7 +303,17 @@ def _columns(obj: dict, columns: dict[str, str], place: str, aliases: Aliases) -
         values.append(x)
         if why:
             failures.append((c, name, json.dumps(v, ensure_ascii=False), why))
-    return values, failures
+        elif isinstance(v, dict) and "value" in v:  # what stands beside the content
+            rest.extend((f"{name}.{k}", y) for k, y in v.items() if k != "value")
+    other: dict[str, str] = {}
+    for name, v in rest:
+        for path, x in _leaves(folded(name), v):
+            key, n = path, 1
+            while key in other:
+                key, n = f"{path}#{n + 1}", n + 1
+            other[key] = json.dumps(x, ensure_ascii=False)
+            failures.append((OTHER, key, other[key], "no column"))
+    return [*values, other], failures
 
 
 def _typed(records: DataFrame, field_aliases: DataFrame, what: str) -> DataFrame:
@@ -291,10 +322,13 @@ def _typed(records: DataFrame, field_aliases: DataFrame, what: str) -> DataFrame
     keys = ["line_id", "feed_id", "batch_no"]
     key_ddl = "line_id bigint, feed_id bigint, batch_no int"
     names, ddl = {
-        "items": ([*keys, *ITEM_COLUMNS], key_ddl + "".join(f", {c} {t}" for c, t in ITEM_COLUMNS.items())),
-        "versions": ([*keys, "version_no", *ENTRY_COLUMNS], key_ddl + ", version_no int" + "".join(f", {c} {t}" for c, t in ENTRY_COLUMNS.items())),
+        "items": ([*keys, *ITEM_COLUMNS, OTHER], key_ddl + "".join(f", {c} {t}" for c, t in ITEM_COLUMNS.items())),
+        "versions": ([*keys, "version_no", *ENTRY_COLUMNS, OTHER], key_ddl + ", version_no int" + "".join(f", {c} {t}" for c, t in ENTRY_COLUMNS.items())),
         "failures": ([*keys, "version_no", "column_name", "field_name", "value", "reason"], key_ddl + ", version_no int, column_name string, field_name string, value string, reason string"),
     }[what]
+    kinds = dict(x.strip().rsplit(" ", 1) for x in ddl.split(","))
+    if what != "failures":
+        ddl += f", {OTHER} map<string, string>"
 
     def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -304,7 +338,7 @@ def _typed(records: DataFrame, field_aliases: DataFrame, what: str) -> DataFrame
                 rec = parse(payload)
                 if not isinstance(rec, dict):
                     if what == "items":
-                        rows.append((*key, *[None] * len(ITEM_COLUMNS)))
+                        rows.append((*key, *[None] * len(ITEM_COLUMNS), None))
                     elif what == "failures" and payload is not None:
                         rows.append((*key, None, "payload", None, payload, "no JSON object"))
                     continue
@@ -319,14 +353,13 @@ def _typed(records: DataFrame, field_aliases: DataFrame, what: str) -> DataFrame
                     if aliases.is_rewrites(name) and isinstance(v, list):
                         for entry in v:
                             no += 1
-                            entry = {"final_rewritten_text": entry} if isinstance(entry, str) else entry if isinstance(entry, dict) else {}
+                            entry = {"final_rewritten_text": entry} if isinstance(entry, str) else entry if isinstance(entry, dict) else {"entry": entry}
                             values, failures = _columns(entry, ENTRY_COLUMNS, "entry", aliases)
                             if what == "versions":
                                 rows.append((*key, no, *values))
                             else:
                                 rows.extend((*key, no, *f) for f in failures)
             out = pd.DataFrame(rows, columns=names)
-            kinds = dict(x.strip().rsplit(" ", 1) for x in ddl.split(","))
             yield out.astype({c: {"bigint": "Int64", "int": "Int32", "double": "Float64", "boolean": "boolean"}[t] for c, t in kinds.items() if t != "string"})
 
     return once(records).mapInPandas(project, ddl)
@@ -338,7 +371,7 @@ def once(records: DataFrame) -> DataFrame:
 
 
 def typed_items(records: DataFrame, field_aliases: DataFrame) -> DataFrame:
-    """One consistent row of each line; an unreadable payload gives a row of nulls."""
+    """One consistent row of each line, values without a column in ``OTHER``; an unreadable payload gives a row of nulls."""
     return _typed(records, field_aliases, "items")
 
 
@@ -348,7 +381,7 @@ def typed_versions(records: DataFrame, field_aliases: DataFrame) -> DataFrame:
 
 
 def cast_failures(records: DataFrame, field_aliases: DataFrame) -> DataFrame:
-    """One row of each value that did not fit its column, with the value and the reason."""
+    """One row of each value that did not fit its column or has none, with the value and the reason."""
     return _typed(records, field_aliases, "failures")
 
 
