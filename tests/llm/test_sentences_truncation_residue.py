@@ -86,10 +86,12 @@ def test_spikes(spark):
 CASES = [
     "Title: {{ headline }}", "The ${place} council met.", "Sources: <%= figure %>", "By XXX DATE XXX", "the #REF! site", "Photo: [object Object]", "[INSERT BYLINE] said", "met <source_name> today", "Updated undefined", "stayed None until 3",
     "Lorem ipsum dolor sit amet candor", "Body text body text body text.", "404 Not Found", "Access denied\n\nnginx", "Please enable JavaScript to continue.", "请启用 JavaScript 后重新加载本页。", "（地点待补）举行", "Traceback (most recent call last):", '{"error": {"status": 403}}', "rose by NaN twice", "in %s and", "Published: (null)", "[This site requires JavaScript.] The council met.",
+    "Sed enim minim veniam quis nostrud labore et dolore", "jkl jkl jkl jkl", "Your story begins in this box", "ici viendra le texte à venir", "Error 405", "408 / Request Timeout", "zxcv zxcv", "aaa bbb. Aaa bbb, aaa bbb.", "511 Network Authentication Required",
+    "Mirum lanta corvo deline, mirum corvo lanta. Deline corvo mirum lanta.",
 ]
 CLEAN = [
     "The archive answered every request with error 404 for 14 hours.", "“Please enable JavaScript” was the only line readers saw.", "“请启用JavaScript”是居民看到的一行字。", "writes the city into a field it calls `{{ city }}` before", "Undefined borders slow the work.", "Access denied signs now hang at the quarry.", "jokes that the lorem ipsum is older",
-    'keeps its readings as {"station": "X", "level": 35.6} in files', "The set {1, 2, 23} of gauges failed [sic].", "the m<unk>ovement <|endoftext|> </s>", "Only the placeholder stones stand.", "Costs rose by 13% (from $2), wrote A <a@mail.example>.", "[Update 13:13] Ann has left.", "A gateway timeout delayed 8253 alerts.", "7,404 pumps; None of them failed.", "", " ", None,
+    'keeps its readings as {"station": "X", "level": 35.6} in files', "The set {1, 2, 23} of gauges failed [sic].", "the m<unk>ovement <|endoftext|> </s>", "Only the placeholder stones stand.", "Costs rose by 13% (from $2), wrote A <a@mail.example>.", "[Update 13:13] Ann has left.", "A gateway timeout delayed 8253 alerts.", "7,404 pumps; None of them failed.", "Costs rose to $3402\nin all.", "No, no, no.", "", " ", None,
 ]
 
 
@@ -101,3 +103,23 @@ def test_residue(spark):
     wrong = {(r.doc_id, (CASES + CLEAN)[r.doc_id]) for r in got if r.is_residue != (r.doc_id < len(CASES))}
     assert not wrong, wrong
     assert P.flag_residue(df.limit(0)).count() == 0
+
+
+def test_derived_literals_drop_no_match():
+    """With and without the filter by required literals all flags agree, on the cases, on pieces of patterns and on random joins."""
+    assert P.required("(?i)foo(?:bar|Baz)?[xy]z") == {"fooxz", "fooyz", "foobarxz", "foobaryz", "foobazxz", "foobazyz"}
+    assert P.required("a*b|[0-9]+") is None and P.required("(?:ab+|cd)?e") == {"e"} and P.required(r"\w+(?:one|two)\d") == {"one", "two"}
+    pieces = [c for c in CASES + CLEAN if c] + [x for r in P.rules() for x in r.literals] + ["\n\n", " ", "`x`", "“", "”", "ſ", "K", "İ", "Σ"]
+    rng = random.Random(7)
+    for text in pieces + ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 6))) for _ in range(1500)]:
+        for t in (text, text.upper(), text.title()):
+            assert P.flags(t) == P.flags(t, prefilter=False), t
+
+
+def test_context_of_every_family():
+    tutorial = "Use `a`, `b` and `c` with `d` in {}.\n\nA second part follows here."
+    for bad in ("{{ city }}", "#REF!", "“lorem ipsum dolor”", "this page does not exist"):
+        assert not any(P.flags(tutorial.format(bad))), bad
+    assert any(P.flags(tutorial.format("x") + "\n\n{{ city }} will follow.")) and any(P.flags("The {{ city }} of `a`."))
+    assert not any(P.flags("An example:\n\n    call({{ city }});\n    stop();\n"))
+    assert any(P.flags("{{ " + "n" * 300 + " }}")) and not any(P.flags("“" + "n " * 200 + "Error 405”"))
