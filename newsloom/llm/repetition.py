@@ -1,21 +1,26 @@
-"""Repetition inside single documents: exact repeated shares and robust multivariate outliers.
-
-Each text gets a vector of statistics, transformed by arcsine square root so that small shares spread: characters in
-repeated phrases, characters in repeated sentences, the share of the commonest phrase, and words used before. For
-every language and source a minimum-covariance-determinant estimate is fitted: starting from medians and median
-deviations, concentration steps keep the half of the texts nearest to the current centre and refit. A text is
-rejected if its squared Mahalanobis distance exceeds the chi-square cutoff under its group's estimate or under the
-one for all texts (which covers groups too small to fit, and groups where most texts repeat themselves).
-``repetitive`` then keeps the rejected texts whose repeated share, which is exact, reaches a third.
-
-Scale: texts are read once and only vectors go on. A concentration step is two partial aggregations over the
-vectors, so a source with a third of all texts is no task of its own. Models have one row for each group.
+"""Repetition inside single documents: robust multivariate outliers, then the exact share of repeated content.
+
+Every text gets a vector of statistics that vary in ordinary texts too: words (characters where Chinese, Japanese or
+Thai writing prevails) used before, groups of five (two) characters used before, how far it compresses, and its length;
+shares are transformed by arcsine square root, the length by its logarithm. For every language and source, every
+language, and all texts together, a minimum-covariance-determinant estimate is fitted: on a sample of ``SAMPLE`` vectors
+of each group (all of smaller ones) concentration steps run from ``STARTS`` random subsets to convergence and the
+smallest determinant wins; it then takes one concentration step and the usual reweighting step over all vectors of the
+group, as the published scheme for large sets does. A text is rejected if its squared Mahalanobis distance exceeds the
+chi-square cutoff, and a statistic of repetition lies above the centre, under the estimate of its language and source or
+of its language (which covers sources where most texts repeat themselves); the overall one judges the texts that have
+neither. Only rejected texts go on to the exact check: the share of characters in phrases that occurred before, of which
+``repetitive`` wants a third.
+
+Scale: texts are read twice where they lie and never shuffled; only vectors and models are. Every step is a partial
+aggregation, so a source with a third of all texts is no task of its own. Models have one row for each group.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,92 +33,104 @@ from newsloom.sources.session import cut, small_batches, table
 
 WORDS, CHARS = 5, 10
 SHARE = 1 / 3
-#: Groups of fewer texts are judged by the estimate for all texts only.
-LEAST_GROUP = 30
-STEPS = 3
-#: Chi-square with 4 degrees of freedom at 0.975; and its ratio to the truncated variance of the inner half.
-CUTOFF = 11.143
-HALF_FACTOR = 2.2
-#: Added to each variance: statistics of clean texts are often all equal.
-RIDGE = 0.05**2
 DIMS = 4
+#: An estimate needs five vectors for each dimension; smaller groups are judged by the overall one.
+LEAST_GROUP = 5 * DIMS
+#: Vectors of a group that the random starts run on, the starts, and those of them that run to convergence.
+SAMPLE, STARTS, BEST = 1500, 40, 5
+#: Chi-square with 4 degrees of freedom at 0.999, 0.975 and 0.5: for rejection, the reweighting step and the inner half.
+CUTOFF, REWEIGHT, MEDIAN = 18.467, 11.143, 3.3567
+#: Added to each variance: a group's statistics may be all equal.
+RIDGE = 0.01**2
 
 _WORD = re.compile(r"[^\s\d!-/:-@\[-`{-~¡-¿‐-⁞।॥،؛؟۔　-〿！-＠［-｀｛-･]+")
 _DROP = re.compile(r"[\s\d]+")
 _DENSE = re.compile(r"[぀-ヿ㐀-鿿豈-﫿฀-๿]")
-_SENTENCE = re.compile(r"[.!?。！？؟।\n]+")
 
 
-def repeated(text: str) -> tuple[int, int, float]:
-    """(characters in repetitions, all characters, share of the commonest phrase) of a text.
+def inner_factor(inside: float, limit: float) -> float:
+    """By which the covariance of the part ``inside`` a squared distance of ``limit`` is too small, for four dimensions."""
+    half = limit / 2
+    return inside / (1 - math.exp(-half) * (1 + half + half * half / 2))
 
-    Letter case, white space and digits don't count. A phrase is five words, or ten characters where Chinese,
-    Japanese or Thai writing prevails; of its occurrences the first is none.
-    """
+
+HALF_FACTOR = inner_factor(0.5, MEDIAN)
+WHOLE_FACTOR = inner_factor(0.975, REWEIGHT)
+
+
+def units_of(text: str) -> tuple[list[str] | str, bool]:
+    """(units, dense): words in lower case, or the characters themselves where scripts without spaces prevail."""
     low = text.lower()
     dense = _DROP.sub("", low)
-    if not dense:
-        return 0, 0, 0.0
     if 3 * len(_DENSE.findall(dense)) > len(dense):
-        units, n, lengths = dense, CHARS, None
-        grams = [dense[i : i + n] for i in range(len(dense) - n + 1)]
-    else:
-        units, n = _WORD.findall(low), WORDS
-        lengths = [len(w) for w in units]
-        grams = list(zip(*(units[i:] for i in range(n)))) if len(units) >= n else []
-    total = sum(lengths) if lengths is not None else len(units)
-    counts = Counter(grams)
-    if not total or len(counts) == len(grams):
-        return 0, total, 0.0
+        return dense, True
+    return _WORD.findall(low), False
+
+
+def repeated(text: str) -> tuple[int, int]:
+    """(characters in repetitions, all characters) of a text.
+
+    Letter case, white space and digits don't count. A phrase is five words, or ten characters where Chinese,
+    Japanese or Thai writing prevails; of its occurrences the first is none.
+    """
+    units, dense = units_of(text)
+    n = CHARS if dense else WORDS
+    lengths = None if dense else [len(w) for w in units]
+    grams = [units[i : i + n] for i in range(len(units) - n + 1)] if dense else list(zip(*(units[i:] for i in range(n))))
+    total = len(units) if dense else sum(lengths)
+    if not total or len(set(grams)) == len(grams):
+        return 0, total
     seen, marked, end = set(), 0, 0
     for i, g in enumerate(grams):
         if g in seen:
             a, b = max(i, end), i + n
-            marked += sum(lengths[a:b]) if lengths is not None else b - a
+            marked += b - a if dense else sum(lengths[a:b])
             end = b
         else:
             seen.add(g)
-    return marked, total, (max(counts.values()) - 1) * n / max(len(units), 1)
+    return marked, total
 
 
-def statistics(text: str) -> tuple[int, int, float, list[float]]:
-    """(characters, repeated characters, repeated share, transformed vector) of a text."""
-    marked, total, top = repeated(text)
-    share = marked / total if total else 0.0
-    if marked:
-        sentences = [_DROP.sub("", s.lower()) for s in _SENTENCE.split(text)]
-        seen, again, size = set(), 0, 0
-        for s in sentences:
-            size += len(s)
-            if len(s) >= CHARS and s in seen:
-                again += len(s)
-            seen.add(s)
-        same = again / size if size else 0.0
-        words = text.lower().split()
-        used = 1 - len(set(words)) / len(words) if words else 0.0
-    else:
-        same, used = 0.0, 0.0
-    return total, marked, share, [math.asin(math.sqrt(min(max(x, 0.0), 1.0))) for x in (share, same, min(top, 1.0), used)]
+def vector(text: str) -> tuple[float, ...]:
+    """The statistics of a text, transformed; a text without letters has zeros."""
+    units, dense = units_of(text)
+    letters, n = (units, 2) if dense else ("".join(units), 5)
+    m = len(letters) - n + 1
+    words = 1 - len(set(units)) / len(units) if units else 0.0
+    groups = 1 - len({letters[i : i + n] for i in range(m)}) / m if m > 0 else 0.0
+    raw = text.encode("utf-8", "surrogatepass")
+    smaller = 1 - min(len(zlib.compress(raw, 1)) / len(raw), 1.0) if raw else 0.0
+    return (*(math.asin(math.sqrt(x)) for x in (words, groups, smaller)), math.log1p(len(letters)))
 
 
-VECTOR_SCHEMA = "field_name string, row_id bigint, lang string, source string, n_chars bigint, repeated_chars bigint, share double, " + ", ".join(f"x{i} double" for i in range(DIMS))
+VECTOR_SCHEMA = "field_name string, row_id bigint, lang string, source string, " + ", ".join(f"x{i} double" for i in range(DIMS))
+XS = [f"x{i}" for i in range(DIMS)]
+KEYS = ["lang", "source"]
+#: Stands for any source or language in the names of wider groups; labels are lower case, so it clashes with none.
+ALL = "ALL"
+#: Statistics of repetition among the dimensions.
+SIGNS = 3
+
+
+def prepared(texts: DataFrame) -> DataFrame:
+    """``texts(field_name, row_id, lang, source, text)`` with labels in lower case; null, empty and blank texts are left out."""
+    norm = lambda c: F.coalesce(F.lower(F.trim(c)), F.lit("")).alias(c)
+    return texts.filter("text is not null and text rlike '(?U)\\\\S'").select("field_name", "row_id", norm("lang"), norm("source"), "text")
 
 
 def vectors(texts: DataFrame) -> DataFrame:
-    """Statistics of ``texts(field_name, row_id, lang, source, text)``; null, empty and blank texts give no row."""
+    """The vector of each text (``VECTOR_SCHEMA``); of several rows of one key the largest vector counts."""
     small_batches(texts.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for field, row_id, lang, source, text in pdf.itertuples(index=False):
-                total, marked, share, x = statistics(text)
-                rows.append((field, row_id, lang, source, total, marked, share, *x))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in VECTOR_SCHEMA.split(", ")])
+            out = pdf[["field_name", "row_id", "lang", "source"]].copy()
+            out[XS] = np.array([vector(t) for t in pdf["text"]], dtype=float).reshape(len(pdf), DIMS)
+            yield out
 
-    norm = lambda c: F.coalesce(F.lower(F.trim(c)), F.lit("")).alias(c)
-    rows = texts.filter("text is not null and text rlike '(?U)\\\\S'").select("field_name", "row_id", norm("lang"), norm("source"), "text")
-    return rows.mapInPandas(run, VECTOR_SCHEMA)
+    rows = prepared(texts).mapInPandas(run, VECTOR_SCHEMA)
+    once = rows.groupBy("field_name", "row_id").agg(F.max(F.struct(*XS, *KEYS)).alias("r"))
+    return once.select("field_name", "row_id", *[F.col("r")[c].alias(c) for c in (*KEYS, *XS)])
 
 
 def distance2(x: list[Column], mean: Column, precision: Column) -> Column:
@@ -126,67 +143,132 @@ def distance2(x: list[Column], mean: Column, precision: Column) -> Column:
     return out
 
 
-def _precision(cov: Column) -> Column:
-    """Inverse of a flat covariance with the ridge added."""
+def concentrate(x: np.ndarray, mean: np.ndarray, cov: np.ndarray, h: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """One concentration step: mean, covariance and log determinant of the ``h`` vectors nearest to an estimate."""
+    d = x - mean
+    d2 = np.einsum("ij,jk,ik->i", d, np.linalg.inv(cov + RIDGE * np.eye(DIMS)), d)
+    near = x[np.argpartition(d2, h - 1)[:h]]
+    cov = np.cov(near, rowvar=False, bias=True)
+    return near.mean(axis=0), cov, float(np.linalg.slogdet(cov + RIDGE * np.eye(DIMS))[1])
+
+
+def smallest_determinant(x: np.ndarray, starts: int = STARTS, best: int = BEST, seed: int = 7) -> tuple[np.ndarray, np.ndarray, float]:
+    """Minimum-covariance-determinant estimate (mean, covariance, log determinant) of half of ``x``.
+
+    Two steps from each random start of five vectors, the ``best`` ones to convergence. Deterministic for rows in one order.
+    """
+    rng = np.random.default_rng(seed)
+    h = (len(x) + DIMS + 1) // 2
+    tried = []
+    for _ in range(starts):
+        some = x[rng.choice(len(x), DIMS + 1, replace=False)]
+        got = (some.mean(axis=0), np.cov(some, rowvar=False, bias=True), math.inf)
+        for _ in range(2):
+            got = concentrate(x, *got[:2], h)
+        tried.append(got)
+    out = []
+    for got in sorted(tried, key=lambda g: g[2])[:best]:
+        while True:
+            now = concentrate(x, *got[:2], h)
+            if now[2] >= got[2] - 1e-9:
+                break
+            got = now
+        out.append(got)
+    return min(out, key=lambda g: g[2])
+
+
+MODEL_SCHEMA = "lang string, source string, mean array<double>, precision array<double>"
+
+
+def fit(v: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """Estimate ``(lang, source, mean, precision)`` of each group of ``v`` with at least ``LEAST_GROUP`` vectors: language and
+    source, language (source ``ALL``), and all texts (both ``ALL``).
+
+    Two steps run over all vectors, the starts on about ``sample`` of each group, drawn by a hash of the key.
+    """
+    wider = [F.struct(x.alias("lang"), y.alias("source")) for x, y in ((F.col("lang"), F.col("source")), (F.col("lang"), F.lit(ALL)), (F.lit(ALL), F.lit(ALL)))]
+    both = v.select("field_name", "row_id", *XS, F.explode(F.array(*wider)).alias("g"))
+    both = both.select("field_name", "row_id", *XS, "g.*")
+    counts = both.groupBy(*KEYS).agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_GROUP)
+    drawn = F.pmod(F.xxhash64("field_name", "row_id"), F.lit(1 << 30)) < F.lit(float(sample) * (1 << 30)) / F.col("n")
+    small = both.join(counts, KEYS).filter(drawn | (F.col("n") <= 2 * sample)).groupBy(*KEYS).agg(F.collect_list(F.array(*XS)).alias("xs"))
+
+    def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for lang, source, xs in zip(pdf["lang"], pdf["source"], pdf["xs"]):
+                x = np.array([list(r) for r in xs], dtype=float)
+                if len(x) >= LEAST_GROUP:
+                    x = x[np.lexsort(x.T)]
+                    mean, cov, _ = smallest_determinant(x)
+                    rows.append((lang, source, mean.tolist(), np.linalg.inv(HALF_FACTOR * cov + RIDGE * np.eye(DIMS)).ravel().tolist()))
+            yield pd.DataFrame(rows, columns=["lang", "source", "mean", "precision"])
+
+    model = cut(small.mapInPandas(start, MODEL_SCHEMA), "start")
+    xs = [F.col(x) for x in XS]
+    d2 = distance2(xs, F.col("mean"), F.col("precision"))
+    half = both.join(model, KEYS).groupBy(*KEYS).agg(F.percentile_approx(d2, 0.5, 1000).alias("limit"))
+    model = cut(_refit(both.join(model.join(half, KEYS), KEYS).filter(d2 <= F.col("limit")), HALF_FACTOR), "step")
+    return cut(_refit(both.join(model, KEYS).filter(d2 <= REWEIGHT), WHOLE_FACTOR), "model")
+
+
+def _refit(kept: DataFrame, factor: float) -> DataFrame:
+    """Mean and precision of each group's kept vectors."""
+    pairs = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
+    moments = kept.groupBy(*KEYS).agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(XS)], *[F.covar_pop(XS[i], XS[j]).alias(f"c{i}{j}") for i, j in pairs])
 
     @F.pandas_udf("array<double>")
     def inverse(cov: pd.Series) -> pd.Series:
-        return pd.Series([np.linalg.inv(np.array(c, dtype=float).reshape(DIMS, DIMS) + RIDGE * np.eye(DIMS)).ravel() for c in cov])
+        return pd.Series([np.linalg.inv(factor * np.array(c, dtype=float).reshape(DIMS, DIMS) + RIDGE * np.eye(DIMS)).ravel() for c in cov])
 
-    return inverse(cov)
+    flat = F.array(*[F.col(f"c{min(i, j)}{max(i, j)}") for i in range(DIMS) for j in range(DIMS)])
+    return moments.select(*KEYS, F.array(*[F.col(f"m{i}") for i in range(DIMS)]).alias("mean"), inverse(flat).alias("precision"))
 
 
-def fit(v: DataFrame, keys: list[str], steps: int = STEPS) -> DataFrame:
-    """Minimum-covariance-determinant model ``(keys, n, mean, precision)`` of each group of ``v`` by concentration steps.
+SCORE_SCHEMA = "field_name string, row_id bigint, lang string, source string, n_chars bigint, repeated_chars bigint, share double, distance2 double, rejected boolean"
 
-    Quantiles are Spark's approximate ones. Groups of fewer than ``LEAST_GROUP`` rows get no model.
-    """
-    xs = [F.col(f"x{i}") for i in range(DIMS)]
-    half = lambda c: F.percentile_approx(c, 0.5, 1000)
-    groups = v.groupBy(*keys).agg(F.count("*").alias("n"), F.array(*[half(x) for x in xs]).alias("mean")).filter(F.col("n") >= LEAST_GROUP)
-    model = cut(groups, "median")
-    spread = _with(v, model, keys).groupBy(*keys).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), *[half(F.abs(x - F.col("mean")[i])).alias(f"s{i}") for i, x in enumerate(xs)]).filter("n is not null")
-    flat = F.array(*[F.pow(1.4826 * F.col(f"s{i}"), 2) if i == j else F.lit(0.0) for i in range(DIMS) for j in range(DIMS)])
-    model = cut(spread.select(*keys, "n", "mean", _precision(flat).alias("precision")), "start")
-    for _ in range(steps):
-        d2 = distance2(xs, F.col("mean"), F.col("precision"))
-        near = cut(_with(v, model, keys).groupBy(*keys).agg(F.percentile_approx(d2, 0.5, 1000).alias("limit"), F.first("mean").alias("mean"), F.first("precision").alias("precision")).filter("limit is not null"), "limit")
-        kept = _with(v, near, keys).filter(d2 <= F.col("limit"))
-        moments = kept.groupBy(*keys).agg(
-            F.count("*").alias("m"), *[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)], *[F.covar_pop(xs[i], xs[j]).alias(f"c{i}{j}") for i in range(DIMS) for j in range(i, DIMS)]
-        ).filter("m > 0")
-        flat = F.array(*[HALF_FACTOR * F.col(f"c{min(i, j)}{max(i, j)}") for i in range(DIMS) for j in range(DIMS)])
-        model = cut(moments.select(*keys, F.col("m").alias("n"), F.array(*[F.col(f"m{i}") for i in range(DIMS)]).alias("mean"), _precision(flat).alias("precision")), "model")
-    return model
-
-
-def _with(v: DataFrame, model: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows with their group's model. Without keys the model is one row, taken as constants."""
-    if keys:
-        return v.join(model, keys)
-    row = model.take(1)
-    if not row:
-        return v.limit(0).select("*", *[F.lit(None).cast(t).alias(c) for c, t in model.dtypes])
-    return v.select("*", *[(F.array(*map(F.lit, x)) if isinstance(x, list) else F.lit(x)).alias(c) for c, x in row[0].asDict().items()])
-
-
-def outliers(v: DataFrame) -> DataFrame:
-    """``v`` with ``distance2`` (the larger of the squared distances under the group's and the overall model) and ``rejected``.
-
-    With fewer than ``LEAST_GROUP`` texts in all there is no model: the distance is null and every text counts as rejected.
+
+def scored(texts: DataFrame, every: bool = True) -> DataFrame:
+    """``SCORE_SCHEMA`` of each text: its robust distance, whether it is rejected, and its exact share of repeated content.
+
+    ``every`` false leaves out the texts that aren't rejected, without measuring their shares. ``distance2`` is the
+    larger of the distances under the estimates that apply; with fewer than ``LEAST_GROUP`` texts in all there is none,
+    and every text is rejected. Of several rows of one key the one with the largest share counts.
     """
-    xs = [F.col(f"x{i}") for i in range(DIMS)]
-    keys = ["lang", "source"]
-    one = v.join(fit(v, keys).select(*keys, "mean", "precision"), keys, "left")
-    one = one.withColumn("own", distance2(xs, F.col("mean"), F.col("precision"))).drop("mean", "precision")
-    all_ = fit(v, []).take(1)
-    if all_:
-        mean, precision = (F.array(*map(F.lit, all_[0][c])) for c in ("mean", "precision"))
-        one = one.withColumn("overall", distance2(xs, mean, precision))
-    else:
-        one = one.withColumn("overall", F.lit(None).cast("double"))
-    d2 = F.greatest("own", "overall")
-    return one.withColumn("distance2", d2).withColumn("rejected", d2.isNull() | (d2 > CUTOFF)).drop("own", "overall")
+    small_batches(texts.sparkSession)
+    model = fit(cut(vectors(texts), "vectors"))
+    row = model.filter(F.col("lang") == ALL).take(1)
+    overall = (row[0]["mean"], row[0]["precision"]) if row else None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for field, row_id, lang, source, text, *models in pdf.itertuples(index=False):
+                x = np.array(vector(text))
+                largest, rejected = None, True
+                estimates = [(m, p) for m, p in zip(models[::2], models[1::2]) if m is not None] or ([overall] if overall else [])
+                if estimates:
+                    d = [x - np.asarray(m) for m, _ in estimates]
+                    d2 = [float(y @ np.asarray(p).reshape(DIMS, DIMS) @ y) for y, (_, p) in zip(d, estimates)]
+                    largest = max(d2)
+                    rejected = any(v > CUTOFF and (y[:SIGNS] > 0).any() for v, y in zip(d2, d))
+                if rejected or every:
+                    marked, total = repeated(text)
+                    rows.append((field, row_id, lang, source, total, marked, marked / total if total else 0.0, largest, rejected))
+            out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCORE_SCHEMA.split(", ")])
+            yield out.astype({"distance2": "Float64"})
+
+    by_lang = model.filter(F.col("source") == ALL).select("lang", F.col("mean").alias("mean2"), F.col("precision").alias("precision2"))
+    judged = prepared(texts).join(model, KEYS, "left").join(by_lang, "lang", "left")
+    rows = judged.select("field_name", "row_id", *KEYS, "text", "mean", "precision", "mean2", "precision2").mapInPandas(run, SCORE_SCHEMA)
+    rest = [c.split()[0] for c in SCORE_SCHEMA.split(", ")][2:]
+    once = rows.groupBy("field_name", "row_id").agg(F.max(F.struct("share", *[c for c in rest if c != "share"])).alias("r"))
+    return once.select("field_name", "row_id", *[F.col("r")[c].alias(c) for c in rest])
+
+
+def repetitive(texts: DataFrame) -> DataFrame:
+    """Rejected texts of which repeated content makes up a third or more."""
+    return scored(texts, every=False).filter(F.col("share") >= SHARE)
 
 
 def news_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,23 +277,13 @@ def news_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused.unionByName(rewrites)
 
 
-def scored(texts: DataFrame) -> DataFrame:
-    """Vectors of each text once, with distances. The vectors are written to the shared folder: the fit reads them often.
-
-    Of several rows of one key the one with the largest repeated share counts.
-    """
-    cols = [c.split()[0] for c in VECTOR_SCHEMA.split(", ")][2:]
-    once = vectors(texts).groupBy("field_name", "row_id").agg(F.max(F.struct("share", *[c for c in cols if c != "share"])).alias("r")).select("field_name", "row_id", *[F.col("r")[c].alias(c) for c in cols])
-    return outliers(cut(once, "vectors"))
-
-
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(news_texts(spark, sf_dir)).filter(F.col("rejected") & (F.col("share") >= SHARE)).select("field_name", "row_id")
+    return repetitive(news_texts(spark, sf_dir)).select("field_name", "row_id")
 
 
 def p6_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text's share of repeated content with its robust distance."""
-    return scored(news_texts(spark, sf_dir)).select("field_name", "row_id", "lang", "source", "n_chars", "repeated_chars", "share", "distance2", "rejected")
+    return scored(news_texts(spark, sf_dir))
 
 
 def p6_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:

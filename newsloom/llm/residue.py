@@ -23,6 +23,7 @@ from __future__ import annotations
 import functools
 import http
 import itertools
+import operator
 import re._constants as sre
 import re._parser as sre_parser
 from collections.abc import Iterator
@@ -103,7 +104,7 @@ _LOREM = (
 #: Those of its words that no other language here has; a run must hold one.
 _LOREM_OWN = "lorem|ipsum|dolor|amet|consectetur|adipiscing|adipisicing|elit|eiusmod|tempor|incididunt|labore|dolore|aliqua|enim|minim|veniam|nostrud|exercitation|ullamco|laboris|aliquip|reprehenderit|cillum|fugiat|pariatur|excepteur|occaecat|cupidatat|proident|deserunt|mollit|laborum"
 FILLER = [
-    rf"(?:{_B}(?:{_LOREM}){_B}[ ,.\n]+)*{_B}(?:{_LOREM_OWN}){_B}(?:[ ,.\n]+{_B}(?:{_LOREM}){_B}){{3,}}",
+    rf"(?<![A-Za-z])(?:{_LOREM_OWN})(?:[ ,.\n]++(?:{_LOREM})(?![A-Za-z])){{3}}",
     r"lorem ipsum dolor",
     rf"(?:{_B}(?:TK|blah|foo bar){_B}\s+){{2,}}(?:TK|blah|foo bar){_B}",
     r"(?:placeholder|dummy|filler|sample) (?:sentence|paragraph|text|copy) (?:number )?\d+|this is (?:dummy|placeholder|sample|filler) (?:copy|text|content)" + _B,
@@ -142,7 +143,8 @@ NOTICE = [
     r"(?:您|你)没有权限|没有权限(?:查看|访问)|访问(?:过于频繁|被拒绝|受限)|请输入验证码|サーバー(?:が混み合|エラー|に接続)|アクセス(?:が拒否|できません|が集中)|しばらくしてから(?:お試し|再度)",
     r"(?i)erreur 40\d ?:|cette page n['’]existe (?:plus|pas)|service (?:temporairement )?indisponible|der (?:dienst|server) ist (?:derzeit|zurzeit|momentan) nicht|(?:diese|die) seite (?:existiert nicht|gibt es nicht|wurde nicht gefunden|konnte nicht)|esta página (?:no existe|ya no)|servicio no disponible",
     r"(?i)сервер временно|страница не (?:найдена|существует)|الصفحة (?:غير موجودة|التي تبحث)|पृष्ठ नहीं मिला|ไม่พบหน้า",
-    r"Traceback \(most recent call last\)|(?m:^)\s*File \"[^\"\n]+\", line \d+|^\s*(?:Key|Type|Value|Attribute|Index|Name|Runtime|Zero\w+)Error: |Exception in thread \"|(?:^|\n)\s+at [\w.$]+\([\w.]+:\d+\)",
+    r"Traceback \(most recent call last\)|(?m:^)\s*File \"[^\"\n]+\", line \d+|^\s*(?:Key|Type|Value|Attribute|Index|Name|Runtime|Zero\w+)Error: |Exception in thread \"",
+    r"(?m)^[ \t]+at [\w.$<>]+\([\w.$]+\.(?:java|kt|scala|py|js|ts|go|rb|cs):\d+",
     r"\{\"error\": ?\{|\{\"(?:error|message|status)\": ?(?:\"|\d{3}(?!\d))[^{}\n]{0,120}(?:error|denied|forbidden|not found|unavailable)|(?i:fatal error: uncaught|warning: (?:undefined|include)(?![a-z])|stack trace:)",
     rf"(?i)loading(?:…|\.\.\.) ?(?:please wait|if (?:nothing|the page))|if (?:the|this) (?:problem|issue|error) (?:persists|continues|remains|goes on), |{_B}request id: ?[0-9a-f-]{{6,}}|{_B}reference #[0-9a-f]{{6,}}|{_B}ray (?:id:? )?[0-9a-f]{{8,}}",
 ]
@@ -154,17 +156,16 @@ FUNCTION_WORDS = frozenset(
     "le la les un une du de et ou est sont était étaient ont avait pas ne que qui dans sur par pour avec sans sous au aux ce cette ces son sa ses leur leurs il elle ils elles nous vous se plus comme mais où dont entre après avant depuis vers chez "
     "el los las uno una unos unas del al y o es son era eran fue fueron ha han había en con sin sobre su sus lo este esta estos estas como más pero desde hasta cuando donde ya muy también".split()
 )
-_WORDS = regex.compile(r"[^\W\d_]+|[.!?]|[\n|/:<>{}=\d]|\s\s")
 _LATIN = regex.compile(r"\p{Latin}+$")
-#: The same word, or two or three words, three times in a row; a single word counts from four times and without commas.
-_AGAIN = regex.compile(r"(?i)(?<![\p{L}\p{M}\p{N}])(\p{L}[\p{L}\p{M}]*+(?: [\p{L}\p{M}]++){0,2})(?:[ ,.\n]+\1(?![\p{L}\p{M}\p{N}])){2,}")
+_MARKS = ".,!?;()\"'“”‘’"
 _KEYS = ("qwertyuiop", "asdfghjkl", "zxcvbnm")
+_KEY_ROWS = tuple(row[i : i + 3] for row in _KEYS for i in range(len(row) - 2))
 
 _CODE = regex.compile(r"(?s)```.*?(?:```|$)|`[^`\n]+`|<(pre|code)\b[^>]*>.*?</\1>")
 #: Indented blocks after a blank line whose lines look like code.
 _INDENTED = regex.compile(r"(?m)(?<=\n[ \t]*\n)(?:(?: {4}|\t)(?!\s*at )[^\n]*[=(){};\[\]][^\n]*(?:\n|$))+")
 _QUOTED = regex.compile(r"“[^”\n]+”|„[^“”\n]+[“”]|«[^»\n]+»|「[^」\n]+」|『[^』\n]+』|(?<![\p{L}\p{N}{:,\[\"])\"(?!error)[^\"\n{}:]+\"(?![\p{L}\p{N}:,}\]])")
-_ALIKE = str.maketrans({"ſ": "s", "ı": "i", "İ": "i", "K": "k"})
+_ALIKE = (("ſ", "s"), ("ı", "i"), ("İ", "i"), ("\u212a", "k"))
 
 
 @dataclass(frozen=True)
@@ -177,8 +178,11 @@ class Rule:
 
 def fold(text: str) -> str:
     """Lower case in which every literal of a matching pattern stands as it is derived."""
-    low = text if text.isascii() else text.translate(_ALIKE)
-    return low.lower()
+    if not text.isascii():
+        for x, y in _ALIKE:
+            if x in text:
+                text = text.replace(x, y)
+    return text.lower()
 
 
 def _exact(items) -> set[str] | None:
@@ -285,32 +289,57 @@ def keyboard(word: str) -> bool:
     return len(word) > 2 and any(word in row for row in _KEYS)
 
 
-def running_filler(text: str) -> tuple[int, int] | None:
-    """Place of filler that no phrase names: repeated units, keyboard rows, Latin script without function words."""
-    m = _AGAIN.search(text)
-    while m:
-        if m.group().count("\n") < 2 and (" " in m.group(1) or (len(m.group(1)) > 1 and m.group().count(m.group(1)[1:]) > 3 and "," not in m.group())):
-            return m.span()
-        m = _AGAIN.search(text, m.end())
-    run: list = []
-    keys, first = 0, True
-    for m in itertools.chain(_WORDS.finditer(text), [None]):
-        word = m.group() if m else "\n"
-        if word in ".!?":
-            first = True
-            continue
-        name, first = word[0].isupper() and not first, word == "\n"  # capitals inside a sentence are names
-        word = word.lower()
-        keys = keys + 1 if keyboard(word) else 0
-        if keys == 2:
-            return m.start(), m.end()
-        if word[0].isalpha() and not name and word not in FUNCTION_WORDS and (word.isascii() or _LATIN.match(word)):
-            run.append(m)
-            continue
-        if len(run) >= FILLER_RUN and len({x.group().lower() for x in run}) <= FILLER_VARIETY * len(run):
-            return run[0].start(), run[-1].end()
-        run = []
-    return None
+def recurring(text: str) -> bool:
+    """Whether two or three words stand three times in a row, or a word four times without commas."""
+    words = text.lower().replace(".", "").replace("!", "").split()
+    for k in (1, 2, 3):
+        run = b"\1" * max(2 * k, 3)
+        same = bytes(map(operator.eq, words, words[k:]))
+        at = same.find(run)
+        while at >= 0:
+            unit = words[at : at + k] if k == 1 else [w.rstrip(",") for w in words[at : at + k]]
+            if all(w.isalpha() for w in unit) and (len(set(unit)) > 1 or (k == 1 and len(unit[0]) > 1)):
+                return True
+            at = same.find(run, at + 1)
+    return False
+
+
+def _plain(words: list[str], i: int) -> bool:
+    """Whether a word is Latin script, no function word, and no name (a capital inside a sentence)."""
+    word = words[i].strip(_MARKS)
+    if not word or word.lower() in FUNCTION_WORDS or not word.isalpha() or not (word.isascii() or _LATIN.match(word)):
+        return False
+    return not (word[0].isupper() and i and words[i - 1][-1:] not in (".", "!", "?"))
+
+
+def running_filler(text: str) -> bool:
+    """Filler that no phrase names: recurring units, keyboard rows, Latin script without function words.
+
+    A run without a breaking word is looked for from its end, so most words of ordinary prose are never tested.
+    """
+    if recurring(text):
+        return True
+    for line in text.split("\n"):
+        words = line.split(" ")
+        i = 0
+        while i + FILLER_RUN <= len(words):
+            j = i + FILLER_RUN - 1
+            while j >= i and _plain(words, j):
+                j -= 1
+            if j >= i:
+                i = j + 1
+                continue
+            end = i + FILLER_RUN
+            while end < len(words) and _plain(words, end):
+                end += 1
+            if len({w.strip(_MARKS).lower() for w in words[i:end]}) <= FILLER_VARIETY * (end - i):
+                return True
+            i = end + 1
+    low = text.lower()
+    if any(x in low for x in _KEY_ROWS):
+        words = [w.strip(_MARKS) for w in low.split()]
+        return any(keyboard(a) and keyboard(b) for a, b in itertools.pairwise(words))
+    return False
 
 
 def _blank(m) -> str:
@@ -335,12 +364,14 @@ def flags(text: str | None, prefilter: bool = True) -> tuple[bool, bool, bool, b
     prose = _QUOTED.sub(_blank, code)
     about_code = len(bits) > CODE_BITS and len(bits) * 1000 > len(text) * CODE_DENSITY
 
+    def coded(start: int, end: int) -> bool:
+        return any(x < end and y > start for x, y in bits)
+
     def counts(a: int, b: int) -> bool:
         if not about_code:
             return True
-        start, end = text.rfind("\n\n", 0, a) + 1, text.find("\n\n", b)
-        end = len(text) if end < 0 else end
-        return not any(x < end and y > start for x, y in bits)
+        end = text.find("\n\n", b)
+        return not coded(text.rfind("\n\n", 0, a) + 1, len(text) if end < 0 else end)
 
     found = dict.fromkeys((*FAMILIES, "loose"), False)
     for n in sorted(todo):
@@ -349,8 +380,11 @@ def flags(text: str | None, prefilter: bool = True) -> tuple[bool, bool, bool, b
             where = prose if rule.family in ("filler", "notice") else lined
             found[rule.family] = any(counts(*m.span()) for m in rule.search.finditer(where))
     if not found["filler"]:
-        at = running_filler(prose)
-        found["filler"] = at is not None and counts(*at)
+        if about_code:
+            parts = [m.span() for m in regex.finditer(r"(?s).+?(?:\n\n|$)", prose)]
+            found["filler"] = any(running_filler(prose[a:b]) for a, b in parts if not coded(a, b))
+        else:
+            found["filler"] = running_filler(prose)
     return found["placeholder"] or found["loose"], found["failed_value"], found["filler"], found["notice"]
 
 

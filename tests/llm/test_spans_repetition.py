@@ -76,10 +76,10 @@ def test_passages(spark):
 
 def test_repeated_share():
     s = "the river rose by two metres in a night. "
-    assert R.repeated(s)[:2] == (0, 31) and R.repeated(s * 3)[0] == 62
+    assert R.repeated(s) == (0, 31) and R.repeated(s * 3)[0] == 62
     assert R.repeated("The river rose 5 metres here\n" + "the RIVER  rose 17 metres here")[0] > 0
-    assert R.repeated("甲乙丙丁戊己庚辛壬癸" * 2)[:2] == (10, 20) and R.repeated("甲乙丙丁戊己庚辛壬" * 2)[0] == 0
-    assert R.repeated("") == R.repeated(" 12 \n") == (0, 0, 0.0)
+    assert R.repeated("甲乙丙丁戊己庚辛壬癸" * 2) == (10, 20) and R.repeated("甲乙丙丁戊己庚辛壬" * 2)[0] == 0
+    assert R.repeated("") == R.repeated(" 12 \n") == (0, 0)
     words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(5) for j in range(5)]
     rng = random.Random(2)
     for _ in range(30):
@@ -95,15 +95,47 @@ def texts(spark, rows):
     return spark.createDataFrame(rows, "field_name string, row_id bigint, lang string, source string, text string")
 
 
-def test_outliers(spark):
+def prose(rng, vocab, n):
+    return " ".join(rng.choice(vocab) for _ in range(n))
+
+
+def test_outliers(spark, monkeypatch):
     rng = random.Random(4)
-    vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(400)]
-    clean = [("f", i, "en", "s" if i % 3 else "S ", " ".join(rng.choice(vocab) for _ in range(80))) for i in range(90)]
-    spam = [("f", 1000 + i, None if i % 2 else "en", "s", "buy these cheap boats right now today. " * 9 + " ".join(rng.choice(vocab) for _ in range(20))) for i in range(30)]
+    vocab = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(70)]
+    clean = [("f", i, "en", "s" if i % 3 else "S ", prose(rng, vocab, 60 + i % 40)) for i in range(90)]
+    spam = [("f", 1000 + i, None if i % 2 else "en", "s", "buy these cheap boats right now today. " * 9 + prose(rng, vocab, 20)) for i in range(30)]
+    slight = []
+    for i in range(10):
+        t = prose(rng, vocab, 80)
+        slight.append(("f", 3000 + i, "en", "s", t + " " + " ".join(t.split()[:6])))
     rest = [("f", 2000, "en", "s", None), ("f", 2001, "en", "s", ""), ("f", 2002, "en", None, " \n"), spam[0]]
-    got = R.scored(texts(spark, clean + spam + rest))
-    hit = {r.row_id for r in got.filter("rejected and share >= 1/3").collect()}
-    assert hit == {1000 + i for i in range(30)} and got.count() == 120
+    df = texts(spark, clean + spam + slight + rest)
+    got = {r.row_id: r for r in R.scored(df).collect()}
+    assert len(got) == 130 and {i for i, r in got.items() if r.rejected and r.share >= 1 / 3} == {1000 + i for i in range(30)}
+    # the estimate decides: few ordinary texts are rejected, and texts with a little repetition aren't all
+    assert sum(got[i].rejected for i in range(90)) <= 9 and all(got[3000 + i].share > 0 for i in range(10)) and not all(got[3000 + i].rejected for i in range(10))
+    assert {r.row_id for r in R.scored(df, every=False).collect()} == {i for i, r in got.items() if r.rejected}
+    assert {r.row_id for r in R.repetitive(df).collect()} == {1000 + i for i in range(30)}
+    monkeypatch.setattr(R, "CUTOFF", 1e18)  # without an outlier nothing is found, whatever the share
+    assert R.repetitive(df).count() == 0
+
+
+def test_without_estimate_every_text_is_checked(spark):
     assert R.scored(texts(spark, [])).count() == 0
-    small = R.scored(texts(spark, spam[:2])).collect()
-    assert all(r.rejected for r in small)
+    spam = [("f", i, "en", "s", "buy these cheap boats right now today. " * 9) for i in range(2)]
+    small = R.scored(texts(spark, spam)).collect()
+    assert all(r.rejected and r.distance2 is None for r in small) and R.repetitive(texts(spark, spam)).count() == 2
+
+
+def test_smallest_determinant():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = np.concatenate([rng.normal(0, 1, (140, 4)), rng.normal(9, 0.1, (60, 4))])  # three in ten are a tight group of outliers
+    mean, cov, det = R.smallest_determinant(x)
+    assert np.abs(mean).max() < 0.5 and np.isfinite(det) and R.smallest_determinant(x, starts=5)[2] >= det - 1e-9
+    d = x - mean
+    d2 = np.einsum("ij,jk,ik->i", d, np.linalg.inv(R.HALF_FACTOR * cov), d)
+    assert d2[140:].min() > 100 and (d2[:140] > R.CUTOFF).mean() < 0.1
+    again = R.concentrate(x, mean, cov, 102)
+    assert abs(again[2] - det) < 1e-6  # converged
