@@ -131,7 +131,7 @@ def test_smallest_determinant():
     import numpy as np
 
     rng = np.random.default_rng(1)
-    x = np.concatenate([rng.normal(0, 1, (140, 4)), rng.normal(9, 0.1, (60, 4))])  # three in ten are a tight group of outliers
+    x = np.concatenate([rng.normal(0, 1, (140, 4)), rng.normal(9, 0.7, (60, 4))])  # three in ten are a group of outliers
     mean, cov, det = R.smallest_determinant(x)
     assert np.abs(mean).max() < 0.5 and np.isfinite(det) and R.smallest_determinant(x, starts=5)[2] >= det - 1e-9
     d = x - mean
