@@ -1,20 +1,26 @@
 """Values cut off by field limits or mid-transfer.
 
-Per source and column, the histograms of lengths in characters and in bytes are tested for spikes at the maximum: a
-length that far more values share than its neighbours do, with next to nothing longer. Values at a spike without
-terminal punctuation are cut there. Values lost in transfer have no common length; they show by an open end: a last
-line of running text without a closing mark, an unpaired quotation, a broken character, a mark of omission, or a
-structure that is not closed. A last line that is a credit, a label, a data row or a heading of its own form is no open
-end, nor is structured text that is complete but malformed. Thai has no closing marks: its natural ends are learnt from
-all texts, as the last characters before a space.
-
-Scale: one scan; Python sees the last ``TAIL`` characters of a value only. Histograms are partial aggregations with at
-most one row for each length that occurs, so no source is a task of its own, and spikes are a few rows for each source.
+1. ``spikes``: per source and column, the histograms of lengths in characters and in bytes are tested for spikes at the
+   maximum: a length that next to nothing exceeds and that more values share than chance allows (a Poisson tail below
+   ``CHANCE``, given how dense the lengths around it and in the whole group are). The test is the same for three values
+   as for three million.
+2. Values at a spike without terminal punctuation are cut by the field's limit: reason ``limit``.
+3. Values lost in transfer have no common length, so no histogram shows them; they have an open end: a last line of
+   running text without a closing mark, an unpaired quotation, a broken character, a mark of omission, or a structure
+   that is not closed: reason ``open_end``. A last line that is a credit, a label, a data row or a heading of its own
+   form is no open end, nor is structured text that is complete but malformed. Thai has no closing marks: an end is
+   natural if, wherever its last characters occur in Thai texts, a space follows often enough (``THAI_RATE``).
+
+Scale: one scan of the whole texts, which writes a few numbers for each value; Thai contexts are counted inside the
+Arrow batches of the same scan. Histograms are partial aggregations with at most one row for each length that occurs, so
+no source is a task of its own, and spikes are a few rows for each source.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,16 +30,15 @@ from pyspark.sql import functions as F
 
 from newsloom.sources.session import cut, small_batches, table
 
-TAIL = 400
-#: A spike has at least so many values, so many times its neighbours' mean, and at most this share of values beyond.
-SPIKE_VALUES = 5
-SPIKE_RATIO = 8.0
+#: A spike is as tall as chance makes it with less than this probability, with at most BEYOND of the values above it.
+CHANCE = 1e-6
 BEYOND = 0.03
 NEIGHBOURS = 40
 #: A cut at a limit may lose white space, or end in a replacement character of three bytes.
 SLACK = 2
-THAI_END = 4
-THAI_LEAST = 3
+#: Characters of an end that are looked up, and the share of their occurrences that a space follows, of a natural one.
+THAI_END = 3
+THAI_RATE = 0.1
 
 TERMINAL = set(".。!?！？।॥؟۔｡")
 CLOSING = "”\"»“’'」』)）]】》"
@@ -42,8 +47,9 @@ OMISSION = regex.compile(r"(?i)(?:\[\s*(?:truncated|cut|\.{3}|…|more|\+\d+ (?:
 ELLIPSIS = regex.compile(r"(?:…|\.\.\.)\s*$")
 #: Abbreviations that don't end a text, and marks after which something must follow.
 ABBREVIATED = regex.compile(
-    r"(?:^|[\s (“\"«])(?:Mr|Mrs|Ms|Dr|Gen|St|Nos?|no|figs?|pp?|approx|Jan|Feb|Sept?|Oct|Nov|Dec|vs|i|i\.e|e\.g|U|U\.[SN]|[A-Z]|Nr|ca|z|d|h|z\. B|d\. h|jun|Sr|Sra|Dra|Ing|pág|art|aprox|a|p|M|MM|env|cf|ул|д|ок|т|т\. е|डॉ|मी|د|م)\.$"
-    r"|\b(?:am|vom|seit|bis|dem|zum|Seit|Am|Bis) \d{1,2}\.$|(?:l'art|d'art)\.$"
+    r"(?:^|[\s (“\"«'’])(?:Mr|Mrs|Ms|Dr|Gen|St|Nos?|no|figs?|pp?|approx|Jan|Feb|Sept?|Oct|Nov|Dec|vs|i|i\.e|e\.g|U|U\.[SN]|[A-Z]|Nr|ca|z|d|h|z\. B|d\. h|jun|Sr|Sra|Dra|Ing|pág|art|aprox|a|p|M|MM|env|cf|ул|д|ок|т|т\. е|डॉ|मी|د|م)\.$"
+    # a day of the month after a German preposition or article
+    r"|\b(?:am|vom|seit|bis|dem|den|zum|ab|Seit|Am|Bis|Vom|Ab) \d{1,2}\.$"
 )
 _LABEL = r"[\p{L}][\p{L}\p{M}' ]{0,28}\s?[:：]\s?\S.{0,90}"
 #: Last lines that are complete without a closing mark.
@@ -65,17 +71,14 @@ def unpaired(line: str) -> bool:
     return bool(stack) or line.count('"') % 2 == 1
 
 
-def ending(tail: str, whole: bool) -> tuple[str, bool]:
-    """How a text ends: (``cut``, ``ellipsis``, ``open``, ``closed``, ``tail`` or ``thai``, whether terminal punctuation closes it).
-
-    ``tail`` holds the last characters; ``whole`` tells whether that is all of it.
-    """
-    text = tail.rstrip()
+def ending(text: str) -> tuple[str, bool]:
+    """How a text ends: (``cut``, ``ellipsis``, ``open``, ``closed``, ``tail`` or ``thai``, whether terminal punctuation closes it)."""
+    text = text.rstrip()
     if not text:
         return "closed", True
     if OMISSION.search(text) or text.endswith("�"):
         return "cut", False
-    line = re.split(r"[\n\r]", text)[-1]
+    line = text[max(text.rfind("\n"), text.rfind("\r")) + 1 :]
     first = len(line) == len(text)
     if ELLIPSIS.search(text):
         return "ellipsis", False
@@ -84,7 +87,7 @@ def ending(tail: str, whole: bool) -> tuple[str, bool]:
     if closed:
         if text[-1] == "." and ABBREVIATED.search(line) and not re.search(r"\d\s?[ap]\.\s?m\.$", line):
             return "open", False
-        if unpaired(line) and not (first and not whole):
+        if unpaired(line):
             return "open", False
         return "closed", True
     if not first and TAIL_LINE.fullmatch(line):
@@ -99,15 +102,15 @@ PART_OF_FENCE = regex.compile(r"(?:(?:^|[\]}\s])`{1,2}|\n=+[A-Z]*=*|[\]}]\s*=+[A
 CLOSED_LIST = regex.compile(r"[}\])]\s*,?\s*[\]}]\s*[,;.]?\s*$|\[\s*\]\s*$")
 
 
-def structure_end(tail: str, head: str) -> tuple[str, bool]:
+def structure_end(text: str) -> tuple[str, bool]:
     """The same for structured text: complete if its outer list is closed, whatever follows as a mark of its end."""
-    text = tail.rstrip()
+    text = text.rstrip()
     if not text:
         return "closed", True
     if OMISSION.search(text) or text.endswith("�"):
         return "cut", False
-    if not regex.search(r"[\[{]\s*[\[{\"'\n]|\"\s*[:=]", head + tail):
-        return ending(tail, False)
+    if not regex.search(r"[\[{]\s*[\[{\"'\n]|\"\s*[:=]", text):
+        return ending(text)
     inner = FENCE.sub("", text)
     if inner == text and PART_OF_FENCE.search(text):
         return "open", False
@@ -118,30 +121,58 @@ def structure_end(tail: str, head: str) -> tuple[str, bool]:
     # structured text with words after it is complete if those are
     at = max(inner.rfind("]\n"), inner.rfind("}\n"), inner.rfind("```\n"))
     if at >= 0 and CLOSED_LIST.search(FENCE.sub("", inner[: at + 1])) and inner[at + 1 :].strip() and not regex.search(r"[\[{\"]", inner[at + 1 :]):
-        return ending(inner[at + 1 :], False)
+        return ending(inner[at + 1 :])
     return "open", False
 
 
-END_SCHEMA = "field_name string, row_id bigint, source string, n_chars int, n_bytes int, ending string, closed boolean, thai_end string"
+#: A row is a value's ending, or (with a null field name) how often a Thai context occurs and a space follows.
+END_SCHEMA = "field_name string, row_id bigint, source string, n_chars int, n_bytes int, ending string, closed boolean, thai_end string, n_all bigint, n_space bigint"
+_THAI_RUN = regex.compile(r"[\p{Thai}\d.:]+")
+
+
+def thai_contexts(text: str) -> Iterator[tuple[str, bool]]:
+    """The ``THAI_END`` characters before each position inside or at the end of a Thai run, and whether a space stands there.
+
+    The end of the text itself doesn't count, as it may be a cut.
+    """
+    for m in _THAI_RUN.finditer(text):
+        run, end = m.group(), m.end()
+        for i in range(THAI_END, len(run) + 1):
+            at = m.start() + i
+            if at < len(text) and (at < end or text[at].isspace()):
+                yield run[i - THAI_END : i], at == end
 
 
 def endings(values: DataFrame) -> DataFrame:
-    """``END_SCHEMA`` of ``values(field_name, row_id, source, text, structured)``, each key once; null and blank values give no row."""
+    """``END_SCHEMA`` of ``values(field_name, row_id, source, text, structured)`` in one scan; null and blank values give no row.
+
+    Rows with a field name are values, each key once; the others count Thai contexts.
+    """
     small_batches(values.sparkSession)
-    rows = values.filter("text is not null and text rlike '(?U)\\\\S'").select(
-        "field_name", "row_id", F.lower("source").alias("source"), F.length("text").alias("n_chars"), F.octet_length("text").alias("n_bytes"),
-        F.expr(f"right(text, {TAIL})").alias("tail"), F.expr(f"left(text, {TAIL})").alias("head"), "structured",
-    )
+    rows = values.filter("text is not null and text rlike '(?U)\\\\S'").select("field_name", "row_id", F.lower("source").alias("source"), F.octet_length("text").alias("n_bytes"), "text", "structured")
+    names = [c.split()[0] for c in END_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [structure_end(t, h) if s else ending(t, n <= TAIL) for t, h, s, n in zip(pdf["tail"], pdf["head"], pdf["structured"], pdf["n_chars"])]
-            out = pdf[["field_name", "row_id", "source", "n_chars", "n_bytes"]].copy()
-            out["ending"], out["closed"] = [x[0] for x in found], [x[1] for x in found]
-            out["thai_end"] = [t.rstrip()[-THAI_END:] if x[0] == "thai" else None for t, x in zip(pdf["tail"], found)]
-            yield out
+            contexts: dict[str, Counter] = {"all": Counter(), "space": Counter()}
+            out = []
+            for field, row_id, source, n_bytes, text, structured in pdf.itertuples(index=False):
+                end, closed = structure_end(text) if structured else ending(text)
+                stripped = text.rstrip()
+                out.append((field, row_id, source, len(text), n_bytes, end, closed, stripped[-THAI_END:] if end == "thai" else None, None, None))
+                if not text.isascii() and regex.search(r"\p{Thai}", text):
+                    for context, space in thai_contexts(stripped):
+                        contexts["all"][context] += 1
+                        contexts["space"][context] += space
+            out += [(None, None, None, None, None, None, None, c, n, contexts["space"][c]) for c, n in contexts["all"].items()]
+            yield pd.DataFrame(out, columns=names).astype({"row_id": "Int64", "n_chars": "Int32", "n_bytes": "Int32", "n_all": "Int64", "n_space": "Int64", "closed": "boolean"})
+
+    return rows.mapInPandas(run, END_SCHEMA)
 
-    return rows.mapInPandas(run, END_SCHEMA).dropDuplicates(["field_name", "row_id"])
+
+def of_values(ends: DataFrame) -> DataFrame:
+    """The values among ``endings``, each key once."""
+    return ends.filter("field_name is not null").drop("n_all", "n_space").dropDuplicates(["field_name", "row_id"])
 
 
 def spikes(ends: DataFrame) -> DataFrame:
@@ -149,48 +180,49 @@ def spikes(ends: DataFrame) -> DataFrame:
     sizes = ends.select("field_name", "source", F.expr("stack(2, 'chars', n_chars, 'bytes', n_bytes) as (unit, size)"))
     group = ["field_name", "source", "unit"]
     histogram = sizes.groupBy(*group, "size").agg(F.count("*").alias("n"))
-    near = Window.partitionBy(*group).orderBy("size").rangeBetween(-NEIGHBOURS, NEIGHBOURS)
+    whole = Window.partitionBy(*group)
+    near = whole.orderBy("size").rangeBetween(-NEIGHBOURS, NEIGHBOURS)
     # values of the next lengths below may be cut ones that lost white space, those above end in a replacement character
-    edge = Window.partitionBy(*group).orderBy("size").rangeBetween(-SLACK, SLACK)
-    above = Window.partitionBy(*group).orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = whole.orderBy("size").rangeBetween(-SLACK, SLACK)
+    above = whole.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     h = histogram.select(
-        "*", F.sum("n").over(near).alias("around"), F.sum("n").over(edge).alias("at_edge"), F.sum("n").over(above).alias("up"), F.sum("n").over(Window.partitionBy(*group)).alias("n_total")
+        "*", F.sum("n").over(near).alias("around"), F.sum("n").over(edge).alias("at_edge"), F.sum("n").over(above).alias("up"), F.sum("n").over(whole).alias("n_total"), (F.max("size").over(whole) - F.min("size").over(whole) + 1).alias("span")
     )
-    rest = (F.col("around") - F.col("at_edge")) / (2.0 * (NEIGHBOURS - SLACK))
     beyond = (F.col("up") - F.col("n")) / F.col("n_total")
-    tall = (F.col("n") >= SPIKE_VALUES) & (F.col("n") >= SPIKE_RATIO * rest)
+    # the mean number of values of one length: around this one, but no less than in the group as a whole
+    mean = F.greatest((F.col("around") - F.col("at_edge")) / (2.0 * (NEIGHBOURS - SLACK)), (F.col("n_total") - F.col("at_edge")) / F.col("span"), F.lit(1e-3))
+    # Chernoff's bound of the Poisson tail, in logarithms: P(X >= k) <= exp(k - m) (m / k)^k for k > m. One value stands at the maximum anyway.
+    k = (F.col("n") - 1).cast("double")
+    tail = F.when(k > mean, k - mean + k * F.log(mean / F.greatest(k, F.lit(1e-9)))).otherwise(F.lit(0.0))
     # bytes: replacement characters spread the top over three lengths, so what lies within SLACK above doesn't count as beyond
-    return h.filter(tall & (beyond <= F.greatest(F.lit(BEYOND), F.col("n") / F.col("n_total")))).select(*group, "size", "n", "n_total")
-
-
-def natural_thai_ends(values: DataFrame) -> DataFrame:
-    """``(thai_end)``: last characters before a space that texts in Thai share."""
-    ends = values.filter("text rlike '[\\\\u0E00-\\\\u0E7F]'").select(F.explode(F.expr(f"regexp_extract_all(text, '([\\\\u0E00-\\\\u0E7F0-9.:]{{{THAI_END}}})(?=\\\\s)', 1)")).alias("thai_end"))
-    return ends.groupBy("thai_end").agg(F.count("*").alias("n_ends")).filter(F.col("n_ends") >= THAI_LEAST)
+    top = beyond <= F.greatest(F.lit(BEYOND), F.col("n") / F.col("n_total"))
+    return h.filter((tail < math.log(CHANCE)) & top).select(*group, "size", "n", "n_total")
 
 
 def judged(values: DataFrame) -> DataFrame:
-    """Every value's ending, with ``at_limit`` (its length is at a spike of its source) and ``is_cut``.
+    """Every value's ending, with ``at_limit`` (its length is at a spike of its source), ``is_cut`` and ``reason``.
 
-    The endings, a few numbers for each value, are written to the shared folder, as histograms and verdicts both read them.
+    ``reason`` is ``limit`` for a value at a spike without terminal punctuation, ``open_end`` for another cut value, else
+    null. The endings, a few numbers for each value, are written to the shared folder, as histograms and verdicts both
+    read them.
     """
     ends = cut(endings(values), "endings")
+    once = of_values(ends)
     top = F.col("size") + F.when(F.col("unit") == "bytes", SLACK).otherwise(0)
-    near = spikes(ends).select("field_name", "source", "unit", F.col("size").alias("spike"), F.explode(F.sequence(F.col("size") - SLACK, top)).alias("size"))
+    near = spikes(once).select("field_name", "source", "unit", F.col("size").alias("spike"), F.explode(F.sequence(F.col("size") - SLACK, top)).alias("size"))
     limit = near.groupBy("field_name", "source", "unit", "size").agg(F.max(F.col("size") == F.col("spike")).alias("exact"))
     chars = limit.filter("unit = 'chars'").select("field_name", "source", F.col("size").alias("n_chars"), F.col("exact").alias("at_chars"))
     bytes_ = limit.filter("unit = 'bytes'").select("field_name", "source", F.col("size").alias("n_bytes"), F.col("exact").alias("at_bytes"))
-    both = ends.join(chars, ["field_name", "source", "n_chars"], "left").join(bytes_, ["field_name", "source", "n_bytes"], "left")
-    both = both.join(natural_thai_ends(values).select("thai_end", "n_ends"), "thai_end", "left")
+    natural = ends.filter("field_name is null").groupBy("thai_end").agg((F.sum("n_space") / F.sum("n_all")).alias("rate"))
+    thai = once.filter("thai_end is not null").join(natural, "thai_end", "left")  # only Thai values carry the key, so none is null
+    both = once.filter("thai_end is null").withColumn("rate", F.lit(None).cast("double")).unionByName(thai)
+    both = both.join(chars, ["field_name", "source", "n_chars"], "left").join(bytes_, ["field_name", "source", "n_bytes"], "left")
     at_limit = F.col("at_chars").isNotNull() | F.col("at_bytes").isNotNull()
     exactly = F.coalesce("at_chars", F.lit(False)) | F.coalesce("at_bytes", F.lit(False))
-    is_cut = (
-        F.col("ending").isin("cut", "open")
-        | (at_limit & (F.col("ending") == "ellipsis"))
-        | (exactly & F.col("ending").isin("tail", "thai"))
-        | ((F.col("ending") == "thai") & F.col("n_ends").isNull())
-    )
-    return both.select("field_name", "row_id", "source", "n_chars", "n_bytes", "ending", at_limit.alias("at_limit"), is_cut.alias("is_cut"))
+    by_limit = (at_limit & F.col("ending").isin("cut", "open", "ellipsis")) | (exactly & F.col("ending").isin("tail", "thai"))
+    by_end = F.col("ending").isin("cut", "open") | ((F.col("ending") == "thai") & (F.coalesce("rate", F.lit(0.0)) < THAI_RATE))
+    reason = F.when(by_limit, "limit").when(by_end, "open_end")
+    return both.select("field_name", "row_id", "source", "n_chars", "n_bytes", "ending", at_limit.alias("at_limit"), (by_limit | by_end).alias("is_cut"), reason.alias("reason"))
 
 
 def news_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,12 +237,16 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of cut values of each column and source."""
-    return judged(news_values(spark, sf_dir)).groupBy("field_name", "source").agg(F.count("*").alias("n_values"), F.count_if("is_cut").alias("n_cut"), F.count_if("at_limit").alias("n_at_limit"), F.avg(F.col("is_cut").cast("double")).alias("cut_share"))
+    """Cut values of each column and source by reason, and their share."""
+    by = judged(news_values(spark, sf_dir)).groupBy("field_name", "source")
+    return by.agg(
+        F.count("*").alias("n_values"), F.count_if("is_cut").alias("n_cut"), F.count_if(F.col("reason") == "limit").alias("n_by_limit"), F.count_if(F.col("reason") == "open_end").alias("n_by_open_end"),
+        F.count_if("at_limit").alias("n_at_limit"), F.avg(F.col("is_cut").cast("double")).alias("cut_share"),
+    )
 
 
 def p4_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spikes(endings(news_values(spark, sf_dir)))
+    return spikes(of_values(endings(news_values(spark, sf_dir))))
 
 
 QUERIES = {"p4_found": p4_found, "p4_by_source": p4_by_source, "p4_spikes": p4_spikes}

@@ -57,16 +57,17 @@ def test_sentence_rows(spark):
 
 
 def test_endings():
-    assert T.ending("All done.", True) == ("closed", True) and T.ending("He said “done.”", True)[0] == "closed"
-    assert T.ending("The river ro", True)[0] == "open" and T.ending("water � ".replace("�", "�"), True)[0] == "cut"
-    assert T.ending("It fell […]", True)[0] == "cut" and T.ending("by rain... (more)", True)[0] == "cut" and T.ending("Then nothing…", True)[0] == "ellipsis"
-    assert T.ending("Done.\n\nReporting: the North desk", True)[0] == "tail" and T.ending("x.\n- pumps: 4", True)[0] == "tail" and T.ending("x.\nUlm: 35,8", True)[0] == "tail"
-    assert T.ending("signed by Dr.", True)[0] == "open" and T.ending("closed at 7 p.m.", True)[0] == "closed" and T.ending("", True)[0] == "closed"
+    assert T.ending("All done.") == ("closed", True) and T.ending("He said “done.”")[0] == "closed"
+    assert T.ending("The river ro")[0] == "open" and T.ending("water � ".replace("�", "�"))[0] == "cut"
+    assert T.ending("It fell […]")[0] == "cut" and T.ending("by rain... (more)")[0] == "cut" and T.ending("Then nothing…")[0] == "ellipsis"
+    assert T.ending("Done.\n\nReporting: the North desk")[0] == "tail" and T.ending("x.\n- pumps: 4")[0] == "tail" and T.ending("x.\nUlm: 35,8")[0] == "tail"
+    assert T.ending("“" + "He left. " * 90)[0] == "open" and T.ending("“" + "He left. " * 90 + "”")[0] == "closed"
+    assert T.ending("a cité l'art.")[0] == "open" and T.ending("signed by Dr.")[0] == "open" and T.ending("closed at 7 p.m.")[0] == "closed" and T.ending("")[0] == "closed"
     full = json.dumps([{"sent_idx": 1, "text": "a", "conflict_resolved": ""}])
     for good in (full, f"```json\n{full}\n```", full + "\n====ALIGNMENT====", full + " // end", full.replace('": ', '"= '), full + "\nAll sentences are covered.", "Sentence 1 rests on version 2."):
-        assert T.structure_end(good, good)[0] == "closed", good
+        assert T.structure_end(good)[0] == "closed", good
     for bad in (full[:-1], full[:20], full[:-9], "```json\n" + full[:30], full + "\n====ALIGN", "Sentence 1 rests on ver"):
-        assert T.structure_end(bad, bad)[0] == "open", bad
+        assert T.structure_end(bad)[0] == "open", bad
 
 
 VALUES = "field_name string, row_id bigint, source string, text string, structured boolean"
@@ -79,10 +80,33 @@ def test_spikes(spark):
     rows += [("f", 200 + i, "a", prose(297) + "...", False) for i in range(12)] + [("f", 300, "a", prose(299), False), ("f", 301, "a", "Then nothing…", False), ("f", 302, "a", None, False), ("f", 303, "a", " ", False), ("f", 200, "a", prose(297) + "...", False)]
     got = T.judged(spark.createDataFrame(rows, VALUES))
     assert {r.row_id for r in got.filter("is_cut").collect()} == {200 + i for i in range(12)} and got.count() == 134
-    assert [(r.unit, r.size) for r in T.spikes(T.endings(spark.createDataFrame(rows, VALUES))).orderBy("unit").collect()] == [("bytes", 300), ("chars", 300)]
+    assert [(r.unit, r.size) for r in T.spikes(T.of_values(T.endings(spark.createDataFrame(rows, VALUES)))).orderBy("unit").collect()] == [("bytes", 300), ("chars", 300)]
+    assert {r.reason for r in got.filter("is_cut").collect()} == {"limit"}  # the closed ends at and off the limit stay
     assert T.judged(spark.createDataFrame([], VALUES)).count() == 0
 
 
+def test_spikes_are_decided_by_chance(spark):
+    def at(lengths):
+        rows = [("f", i, "s", "x" * n, False) for i, n in enumerate(lengths)]
+        return {(r.unit, r.size) for r in T.spikes(T.of_values(T.endings(spark.createDataFrame(rows, VALUES)))).collect()}
+
+    rng = random.Random(3)
+    assert at([rng.randrange(50, 1000) for _ in range(200)]) == set()  # no limit
+    assert at([rng.randrange(50, 990) for _ in range(30)] + [1000] * 5) == {("chars", 1000), ("bytes", 1000)}  # few values are enough
+    assert at([rng.randrange(50, 990) for _ in range(30)] + [700] * 5) == set()  # not at the maximum
+    assert at([1000]) == set()
+
+
+def test_thai_ends_by_rate(spark):
+    words = ["น้ำท่วม", "บ้านเรือน", "ชาวบ้าน", "สะพาน", "เจ้าหน้าที่"]
+    text = " ".join("".join(words[(i + j) % 5] for j in range(3)) for i in range(5))
+    for copies in (2, 40):  # the verdict on a text doesn't depend on the size of the corpus
+        rows = [("f", i, "s" + str(i % 7), text, False) for i in range(copies)] + [("f", 900, "s", text + " " + words[0], False), ("f", 901, "s", text + " น้ำท", False)]
+        got = {r.row_id: (r.is_cut, r.reason) for r in T.judged(spark.createDataFrame(rows, VALUES)).filter("row_id >= 900").collect()}
+        assert got == {900: (False, None), 901: (True, "open_end")}
+    assert list(T.thai_contexts("ชาวบ้าน บ้าน")) == [(c, s) for c, s in (("ชาว", False), ("าวบ", False), ("วบ้", False), ("บ้า", False), ("้าน", True), ("บ้า", False))]
+
+
 CASES = [
     "Title: {{ headline }}", "The ${place} council met.", "Sources: <%= figure %>", "By XXX DATE XXX", "the #REF! site", "Photo: [object Object]", "[INSERT BYLINE] said", "met <source_name> today", "Updated undefined", "stayed None until 3",
     "Lorem ipsum dolor sit amet candor", "Body text body text body text.", "404 Not Found", "Access denied\n\nnginx", "Please enable JavaScript to continue.", "请启用 JavaScript 后重新加载本页。", "（地点待补）举行", "Traceback (most recent call last):", '{"error": {"status": 403}}', "rose by NaN twice", "in %s and", "Published: (null)", "[This site requires JavaScript.] The council met.",
