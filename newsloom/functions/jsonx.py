@@ -43,20 +43,35 @@ def balanced(text: str, opening: str = "{") -> str | None:
     return None
 
 
+_LITERALS = {"true": "True", "false": "False", "null": "None"}
+_OUTSIDE = re.compile(r"""("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*')|,(?=\s*[}\]])|\b(true|false|null)\b""", re.S)
+
+
+def _loosened(text: str, literals: bool) -> str:
+    """Without trailing commas, and with JSON's literals as Python's; one scan that leaves quoted texts as they are."""
+
+    def put(m: re.Match) -> str:
+        return m.group(1) or (_LITERALS[m.group(2)] if literals else m.group(2)) if m.group(1) or m.group(2) else ""
+
+    return _OUTSIDE.sub(put, text)
+
+
 def repair(text: str) -> str | None:
-    """Valid JSON from nearly valid: trailing commas dropped, then read as a literal; None if neither helps."""
+    """Valid JSON from nearly valid: trailing commas dropped, then read as a literal (single quotes); None if neither helps.
+
+    What stands inside quotation marks is never changed.
+    """
     try:
         json.loads(text)
         return text
-    except ValueError:
+    except (ValueError, RecursionError):
         pass
-    plain = re.sub(r",\s*([}\]])", r"\1", text)
     try:
-        return json.dumps(json.loads(plain), ensure_ascii=False)
-    except ValueError:
+        return json.dumps(json.loads(_loosened(text, False)), ensure_ascii=False)
+    except (ValueError, RecursionError):
         pass
     try:
-        return json.dumps(ast.literal_eval(re.sub(r"\bnull\b", "None", re.sub(r"\btrue\b", "True", re.sub(r"\bfalse\b", "False", plain)))), ensure_ascii=False)
+        return json.dumps(ast.literal_eval(_loosened(text, True)), ensure_ascii=False)
     except (ValueError, SyntaxError, TypeError, MemoryError, RecursionError):
         return None
 

@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.sources.session import cut
+
 
 class TextModel(Protocol):
     def complete(self, system: str, user: str) -> str: ...
@@ -70,9 +72,9 @@ def complete(model: TextModel, system: str, user: str, retry: RetryPolicy = Retr
 
 @dataclass
 class StubModel:
-    """Offline stand-in: returns the user text's sentences in order, shortened to ``most`` characters."""
+    """Offline stand-in: returns the user's text with its white space squeezed, shortened to ``most`` characters if given."""
 
-    most: int = 4000
+    most: int | None = None
 
     def complete(self, system: str, user: str) -> str:
         return re.sub(r"\s+", " ", user).strip()[: self.most]
@@ -159,7 +161,8 @@ def make_model(kind: str, **options) -> TextModel:
 def apply_model(df: DataFrame, prompt: str, model: TextModel, system: str = "", out: str = "response", threads: int = 4, retry: RetryPolicy = RetryPolicy()) -> DataFrame:
     """``df`` with ``out`` and ``<out>_error``: each distinct prompt is sent once, and answers are joined back by hash.
 
-    Null prompts aren't sent. A failed call leaves null and the message; other rows go on.
+    The answers are written to the shared folder, so neither a second use nor a lost executor calls the model again.
+    Null prompts aren't sent and aren't joined. A failed call leaves null and the message; other rows go on.
     """
     key = F.sha2(F.col(prompt), 256)
     asked = df.filter(F.col(prompt).isNotNull()).select(key.alias("_key"), F.col(prompt).alias("_prompt")).dropDuplicates(["_key"])
@@ -170,8 +173,10 @@ def apply_model(df: DataFrame, prompt: str, model: TextModel, system: str = "",
                 got = list(pool.map(lambda p: complete(model, system, p, retry), pdf["_prompt"]))
                 yield pd.DataFrame({"_key": pdf["_key"], out: [g[0] for g in got], f"{out}_error": [g[1] for g in got]})
 
-    answers = asked.mapInPandas(run, f"_key string, {out} string, {out}_error string")
-    return df.withColumn("_key", key).join(answers, "_key", "left").drop("_key")
+    answers = cut(asked.mapInPandas(run, f"_key string, {out} string, {out}_error string"), "answers")
+    plain = [f.name for f in df.schema.fields if not hasattr(f.dataType, "fields") and f.dataType.typeName() not in ("map", "array", "variant")]
+    keyed = df.withColumn("_key", F.coalesce(key, F.concat(F.lit("none-"), F.xxhash64(*plain).cast("string"))))  # rows without a prompt spread over all tasks
+    return keyed.join(answers, "_key", "left").drop("_key")
 
 
 def embed_column(df: DataFrame, text: str, embedder: Embedder, out: str = "embedding") -> DataFrame:

@@ -18,35 +18,39 @@ def first_filled(*cols: str) -> Column:
 def normalise_versions(items: DataFrame) -> DataFrame:
     """``(id, input_text, rewritten_v1..3)`` from items that carry any of the alternative fields.
 
-    Precedence: direct versions, else the first three entries of the first list of rewrites, else legacy fields.
-    Missing columns count as null.
+    Precedence: direct versions (one that isn't null is enough), else the first three entries of the first list of
+    rewrites that isn't empty, else those of ``top_rewrites``, else legacy fields. A list is taken whole: an empty
+    entry stays empty, whatever the other lists hold. Missing columns count as null.
     """
     have = set(items.columns)
     pick = lambda *names: F.coalesce(*[F.nullif(F.col(n).cast("string"), F.lit("")) for n in names if n in have], F.lit(""))
     lists = [n for n in ("rewrite_versions", "top_rewrites", "rewrites") if n in have]
-    direct = [n for n in VERSIONS if n in have]
-
-    def entry(i: int) -> Column:
-        texts = [_entry_text(items, n, i) for n in lists]
-        return F.coalesce(*texts, F.lit("")) if texts else F.lit("")
-
-    legacy = [pick("final_rewritten_text", "final_text"), pick("alt_rewrite_1"), pick("alt_rewrite_2")]
+    none = F.array().cast("array<string>")
+    first = F.coalesce(*[F.when(F.size(n) > 0, _entry_texts(items, n)) for n in lists], none)
+    top = _entry_texts(items, "top_rewrites") if "top_rewrites" in lists else none
+    filled = lambda texts: F.coalesce(F.exists(texts, lambda t: t != ""), F.lit(False))
     is_direct = F.lit(False)
-    for n in direct:
-        is_direct = is_direct | F.col(n).isNotNull()
-    listed = [entry(i) for i in range(3)]
-    any_listed = (listed[0] != "") | (listed[1] != "") | (listed[2] != "")
-    out = [F.when(is_direct, pick(v)).when(any_listed, listed[i]).otherwise(legacy[i]).alias(v) for i, v in enumerate(VERSIONS)]
-    return items.select(pick("id", "news_id", "item_id").alias("id"), pick("input_text", "text", "original_text", "input").alias("input_text"), *out)
+    for n in VERSIONS:
+        if n in have:
+            is_direct = is_direct | F.col(n).isNotNull()
+    legacy = [pick("final_rewritten_text", "final_text"), pick("alt_rewrite_1"), pick("alt_rewrite_2")]
+    rows = items.select(pick("id", "news_id", "item_id").alias("id"), pick("input_text", "text", "original_text", "input").alias("input_text"), is_direct.alias("_direct"), first.alias("_first"), F.coalesce(top, none).alias("_top"), *[pick(v).alias(f"_d{i}") for i, v in enumerate(VERSIONS)], *[c.alias(f"_l{i}") for i, c in enumerate(legacy)])
+    at = lambda texts, i: F.coalesce(F.get(texts, F.lit(i)), F.lit(""))
+    out = [F.when(F.col("_direct"), F.col(f"_d{i}")).when(filled(F.col("_first")), at("_first", i)).when(filled(F.col("_top")), at("_top", i)).otherwise(F.col(f"_l{i}")).alias(v) for i, v in enumerate(VERSIONS)]
+    return rows.select("id", "input_text", *out)
 
 
-def _entry_text(items: DataFrame, name: str, i: int) -> Column:
+def _entry_texts(items: DataFrame, name: str) -> Column:
+    """The texts of a list's first three entries, '' where an entry has none."""
     element = items.schema[name].dataType.elementType
-    e = F.get(F.col(name), F.lit(i))
-    if not hasattr(element, "names"):
-        return F.nullif(e.cast("string"), F.lit(""))
-    fields = [f for f in ("final_rewritten_text", "final_text", "text", "content", "summary") if f in element.names]
-    return F.coalesce(*[F.nullif(e[f], F.lit("")) for f in fields], F.lit(None).cast("string"))
+
+    def text(e: Column) -> Column:
+        if not hasattr(element, "names"):
+            return F.coalesce(e.cast("string"), F.lit(""))
+        fields = [f for f in ("final_rewritten_text", "final_text", "text", "content", "summary") if f in element.names]
+        return F.coalesce(*[F.nullif(e[f].cast("string"), F.lit("")) for f in fields], F.lit(""))
+
+    return F.transform(F.slice(F.col(name), 1, 3), text)
 
 
 def usable_versions(items: DataFrame, columns: tuple[str, ...] = VERSIONS) -> DataFrame:

@@ -63,8 +63,33 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a lineage cut whose files outlive any executor."""
+    """Write ``df`` to the shared folder and read it back: a lineage cut whose files outlive any executor.
+
+    The files are deleted when the driver's JVM ends, or before by ``drop_cuts``.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where, files = _file_system(spark, path)
+    files.deleteOnExit(where)
+    made = getattr(spark.sparkContext, "_newsloom_cuts", None)
+    if made is None:
+        made = spark.sparkContext._newsloom_cuts = []
+    made.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def drop_cuts(spark: SparkSession) -> int:
+    """Delete the tables that ``cut`` has written in this session, once the results built on them are used; how many."""
+    made = getattr(spark.sparkContext, "_newsloom_cuts", [])
+    for path in made:
+        where, files = _file_system(spark, path)
+        files.delete(where, True)
+    n = len(made)
+    made.clear()
+    return n
