@@ -48,8 +48,29 @@ def test_against_brute_force(spark, monkeypatch):
     for seed in (1, 2):
         rows = corpus(seed)
         assert found(spark, rows) == brute(rows)
-    monkeypatch.setattr(S, "GROUP", 3)  # large groups go window by window
+    for group in (1, 3):  # larger groups go window by window
+        monkeypatch.setattr(S, "GROUP", group)
+        assert found(spark, rows) == brute(rows)
+
+
+def test_rows_come_through_chains(spark, monkeypatch):
+    rows = corpus(1)
+    monkeypatch.setattr(S, "GROUP", 10**6)
     assert found(spark, rows) == brute(rows)
+    real = S.chains  # without chains nothing is found
+    monkeypatch.setattr(S, "chains", lambda anchored, k=S.K, least=0.0: real(anchored, k, 1e9))
+    assert found(spark, rows) == set()
+
+
+def test_exact_runs_compare_characters():
+    rng = random.Random(9)
+    a = "".join(rng.choice("ab") for _ in range(900))
+    b = a[:250] + "x" + a[251:600] + "yy" + a[600:]
+    want = {(0, 0, 250), (251, 251, 349), (600, 602, 300)}
+    at = [(x, x) for x in (100, 140, 300, 400, 480)] + [(x, x + 2) for x in (610, 700, 790)]
+    assert set(S.exact_runs(at, S.codes_of(a), S.codes_of(b))) == want
+    assert S.exact_runs([(0, 0)], S.codes_of("c" * 199), S.codes_of("c" * 199)) == []  # equal hashes don't make a span, characters do
+    assert S.exact_runs([(100, 100)], S.codes_of("a" * 300), S.codes_of("a" * 150 + "b" * 150)) == []
 
 
 def test_empty_and_null(spark):
@@ -63,15 +84,43 @@ def test_chain_and_align():
     anchors = [(0, 10), (100, 110), (500, 20), (220, 230)]
     best = S.chain(anchors)[0]
     assert best[1] == [0, 1, 3] and len(S.chain(anchors)) == 2
-    assert S.align("abc", "abc") == 1.0 and 0.5 < S.align("abcdef", "abcxef") < 1.0
+    assert S.identity("abc", "abc", [], 2) == 1.0 and S.identity("abcdefgh", "abcxefgh", [(0, 0), (4, 4)], 3) == 1 - 1 / 8
+    assert abs(S.identity("a" * 5 + "b" * 40, "a" * 5 + "b" * 38, [(0, 0), (5, 5), (7, 5)], 5) - (1 - 2 / 45)) < 1e-9
     tree = S.Fenwick(4)
     tree.put(2, (5.0, 1))
     assert tree.get(2)[1] == -1 and tree.get(3) == (5.0, 1)
 
 
-def test_passages(spark):
-    p = S.passages(spark.createDataFrame(corpus(1), SCHEMA)).collect()
-    assert p and all(0.5 <= r.identity <= 1.0 for r in p) and all(r.fused_id != r.other_id for r in p)
+def test_passages(spark, monkeypatch):
+    rows = S.passages(spark.createDataFrame(corpus(1), SCHEMA)).collect()
+    assert rows and all(S.PASSAGE_IDENTITY <= r.identity <= 1.0 and r.score >= S.PASSAGE_SCORE and r.fused_id < r.other_id for r in rows)
+    monkeypatch.setattr(S, "GROUP", 2)
+    grouped = S.passages(spark.createDataFrame(corpus(1), SCHEMA)).collect()
+    ends = lambda rs: {(r.fused_id, r.field_name) for r in rs} | {(r.other_id, r.other_field) for r in rs}
+    assert ends(grouped) == ends(rows) and {r.linked_by for r in grouped} == {"pair", "group"}  # no text loses its last link
+
+
+def test_recall_of_fuzzy_passages(spark):
+    """Passages of 400 characters with an edit every 60 to 140 characters between unrelated texts."""
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefghij klmn") for _ in range(n))
+
+    def edited(t):
+        out, i = [], 0
+        while i < len(t):
+            j = i + rng.randrange(60, 140)
+            out += [t[i:j], rng.choice(("", "X", "YZ"))]
+            i = j + rng.choice((0, 1))
+        return "".join(out)
+
+    rows = []
+    for i in range(60):
+        p = text(400)
+        rows += [(2 * i, text(200) + p + text(100), None, None, 0), (2 * i + 1, text(80) + edited(p) + text(250), None, None, 0)]
+    rows += [(500 + i, text(600), None, None, 0) for i in range(40)]
+    got = S.passages(spark.createDataFrame(rows, SCHEMA)).collect()
+    hit = {r.fused_id // 2 for r in got if r.fused_id // 2 == r.other_id // 2}
+    assert len(hit) >= 0.9 * 60 and all(r.fused_id // 2 == r.other_id // 2 for r in got)
 
 
 def test_repeated_share():
