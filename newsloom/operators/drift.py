@@ -1,12 +1,12 @@
 """Schemas that drift between files: path-value maps, per-file type statistics, change reports, typed tables.
 
-``path_values`` loads rows as path-value maps with raw types, ``path_stats`` aggregates them by file,
-``drift`` compares each file of a feed with the one before, and ``typed_items`` / ``typed_versions``
-project everything into one consistent table, with ``cast_failures`` naming every value that did not fit.
+Every row is loaded as a path-value map with raw types (``path_value_map``; ``path_values`` is its table). All else
+reads these maps: ``path_stats`` aggregates them by file, ``drift`` compares each file of a feed with the one before, and
+``typed_items`` / ``typed_versions`` project typed columns, with ``cast_failures`` naming every value that did not fit.
 
 Scale: the statistics are aggregated inside each Arrow batch before the shuffle, so the shuffle carries
 (files x paths), not rows, and a feed that holds a third of all rows costs no more than the others. Files
-are paired on (feed, file) keys, one row of each file; a file's schema is bounded by its distinct paths.
+are put in order by their keys alone; a file's schema is bounded by its distinct paths.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsloom.operators.nested import parse
-from newsloom.sources.session import small_batches, table
+from newsloom.sources.session import cut, small_batches, table
 
 #: Joins the names of a path inside this module; unlike a dot it does not occur in field names.
 SEP = "\x1f"
@@ -43,39 +43,62 @@ def kind_of(v) -> str | None:
     return "string" if isinstance(v, str) else "object" if isinstance(v, dict) else "array"
 
 
-def paths_of(record) -> Iterator[tuple[str, str, object]]:
-    """(path, kind, value) of every non-null value below a record, elements of arrays under one path."""
-    stack = [("", record)]
+def path_value_map(record) -> dict[str, tuple[str, object]]:
+    """Path to (kind, value) of every non-null value below a record, in the order of a pre-order walk.
+
+    Names are joined by ``SEP``; an element of an array is named by its position in brackets. Objects and arrays have
+    the value None, as their content has paths of its own.
+    """
+    out: dict[str, tuple[str, object]] = {}
+    stack: list = [("", record)]
     while stack:
         path, v = stack.pop()
-        items = ((k, x) for k, x in v.items()) if isinstance(v, dict) else ((ELEMENT, x) for x in v) if isinstance(v, list) else ()
-        for k, x in items:
-            if (kind := kind_of(x)) is not None:
-                p = f"{path}{SEP}{k}" if path else k
-                yield p, kind, x
-                if kind in ("object", "array"):
-                    stack.append((p, x))
+        if path:
+            out[path] = (kind_of(v), None if isinstance(v, (dict, list)) else v)
+        items = list(v.items()) if isinstance(v, dict) else [(f"[{i}]", x) for i, x in enumerate(v)] if isinstance(v, list) else []
+        stack.extend((f"{path}{SEP}{k}" if path else k, x) for k, x in reversed(items) if x is not None)
+    return out
+
+
+def general(path: str) -> str:
+    """A path with ``ELEMENT`` for the positions in arrays."""
+    return SEP.join(ELEMENT if n[:1] == "[" and n[-1:] == "]" and n[1:-1].isdigit() else n for n in path.split(SEP)) if "[" in path else path
+
+
+def rebuilt(values: dict[str, tuple[str, object]]) -> dict:
+    """The object that a path-value map tells of, without nulls; elements of arrays keep their positions."""
+    root: dict = {}
+    at: dict[str, object] = {"": root}
+    for path, (kind, v) in values.items():
+        up, _, name = path.rpartition(SEP)
+        v = {} if kind == "object" else [] if kind == "array" else v
+        holder = at[up]
+        if isinstance(holder, list):
+            holder.extend([None] * (int(name[1:-1]) - len(holder)))
+            holder.append(v)
+        else:
+            holder[name] = v
+        if isinstance(v, (dict, list)):
+            at[path] = v
+    return root
 
 
 def path_values(records: DataFrame) -> DataFrame:
-    """``records(line_id, feed_id, batch_no, payload)`` with ``values``: path to the list of its (kind, text) values.
+    """``records(line_id, feed_id, batch_no, payload)`` with ``values``: path to the struct of its kind and value as text.
 
-    Paths are joined with dots for reading. A null or unreadable payload gives an empty map.
+    Paths are joined with dots for reading. Text of a value is its JSON, but for strings. A null or unreadable payload
+    and one that is no object give an empty map.
     """
     small_batches(records.sparkSession)
-    schema = T.MapType(T.StringType(), T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())])))
+    schema = T.MapType(T.StringType(), T.StructType([T.StructField("kind", T.StringType()), T.StructField("value", T.StringType())]))
 
     @F.pandas_udf(schema)
     def load(payload: pd.Series) -> pd.Series:
         out = []
         for text in payload:
-            found = defaultdict(list)
-            for p, kind, v in paths_of(parse(text)):
-                if kind not in ("object", "array"):
-                    found[p.replace(SEP, ".")].append({"kind": kind, "value": v if isinstance(v, str) else json.dumps(v)})
-                else:
-                    found[p.replace(SEP, ".")].append({"kind": kind, "value": None})
-            out.append(dict(found))
+            rec = parse(text)
+            found = path_value_map(rec) if isinstance(rec, dict) else {}
+            out.append({p.replace(f"{SEP}[", "[").replace(SEP, "."): {"kind": k, "value": v if v is None or isinstance(v, str) else json.dumps(v)} for p, (k, v) in found.items()})
         return pd.Series(out)
 
     return records.select("line_id", "feed_id", "batch_no", load("payload").alias("values"))
@@ -94,8 +117,8 @@ def path_stats(records: DataFrame) -> DataFrame:
             for feed, batch, payload in zip(pdf.feed_id, pdf.batch_no, pdf.payload):
                 key = (None if pd.isna(feed) else int(feed), None if pd.isna(batch) else int(batch))
                 seen[(*key, "", "object")] += 1  # the file is there even if its records are empty
-                for p, kind, _ in paths_of(parse(payload)):
-                    seen[(*key, p, kind)] += 1
+                for p, (kind, _) in path_value_map(parse(payload)).items():
+                    seen[(*key, general(p), kind)] += 1
             out = pd.DataFrame([(*k, n) for k, n in seen.items()], columns=["feed_id", "batch_no", "path", "kind", "n"])
             yield out.astype({"feed_id": "Int64", "batch_no": "Int32", "n": "int64"})
 
@@ -200,12 +223,12 @@ def drift(records: DataFrame, field_aliases: DataFrame) -> DataFrame:
     within a file change nothing, as a file's schema is the union over its records.
     """
     aliases = load_aliases(field_aliases)
-    files = (
-        path_stats(records).filter("feed_id is not null and batch_no is not null")
-        .groupBy("feed_id", "batch_no").agg(F.collect_list(F.struct("path", "kind")).alias("paths"))
-    )
+    stats = path_stats(records).filter("feed_id is not null and batch_no is not null")
+    files = cut(stats.groupBy("feed_id", "batch_no").agg(F.collect_list(F.struct("path", "kind")).alias("paths")), "files")
     order = Window.partitionBy("feed_id").orderBy("batch_no")
-    pairs = files.withColumn("before", F.lag("paths").over(order)).filter("before is not null")
+    keys = files.select("feed_id", "batch_no").withColumn("earlier", F.lag("batch_no").over(order)).filter("earlier is not null")
+    before = files.select("feed_id", F.col("batch_no").alias("earlier"), F.col("paths").alias("before"))
+    pairs = keys.join(files, ["feed_id", "batch_no"]).join(before, ["feed_id", "earlier"]).select("feed_id", "batch_no", "paths", "before")
 
     def changes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -277,6 +300,15 @@ def _cast(v, sql_type: str) -> tuple[object, str | None]:
     return None, f"{kind_of(v)} is not {sql_type}"
 
 
+def entries(name: str, v, aliases: Aliases) -> list | None:
+    """The entries of a field that holds rewrites: a list, an object as a list of one, a text of JSON as what it holds; None for other fields."""
+    if not aliases.is_rewrites(name):
+        return None
+    if isinstance(v, str):
+        v = parse(v)
+    return v if isinstance(v, list) else [v] if isinstance(v, dict) else None
+
+
 def _columns(obj: dict, columns: dict[str, str], place: str, aliases: Aliases) -> tuple[list, list[tuple[str, str, str, str]]]:
     """The values of the columns and of ``OTHER``; the failures, a row of each value without a column among them.
 
@@ -287,7 +319,7 @@ def _columns(obj: dict, columns: dict[str, str], place: str, aliases: Aliases) -
     got: dict[str, tuple[str, object]] = {}
     rest: list[tuple[str, object]] = []
     for name, v in obj.items():
-        if v is None or place == "item" and aliases.is_rewrites(name) and isinstance(v, list):
+        if v is None or place == "item" and entries(name, v, aliases) is not None:
             continue
         target = next((c for c in sorted(aliases.canonical.get((place, name), ())) if c in columns), by_fold.get(folded(name)))
         if target and (target not in got or name == target):
@@ -336,7 +368,8 @@ def _typed(records: DataFrame, field_aliases: DataFrame, what: str) -> DataFrame
             for line, feed, batch, payload in zip(pdf.line_id, pdf.feed_id, pdf.batch_no, pdf.payload):
                 key = tuple(None if pd.isna(x) else int(x) for x in (line, feed, batch))
                 rec = parse(payload)
-                if not isinstance(rec, dict):
+                rec = rebuilt(path_value_map(rec)) if isinstance(rec, dict) else None
+                if rec is None:
                     if what == "items":
                         rows.append((*key, *[None] * len(ITEM_COLUMNS), None))
                     elif what == "failures" and payload is not None:
@@ -350,15 +383,16 @@ def _typed(records: DataFrame, field_aliases: DataFrame, what: str) -> DataFrame
                     rows.extend((*key, None, *f) for f in failures)
                 no = 0
                 for name, v in rec.items():
-                    if aliases.is_rewrites(name) and isinstance(v, list):
-                        for entry in v:
-                            no += 1
-                            entry = {"final_rewritten_text": entry} if isinstance(entry, str) else entry if isinstance(entry, dict) else {"entry": entry}
-                            values, failures = _columns(entry, ENTRY_COLUMNS, "entry", aliases)
-                            if what == "versions":
-                                rows.append((*key, no, *values))
-                            else:
-                                rows.extend((*key, no, *f) for f in failures)
+                    for entry in entries(name, v, aliases) or ():
+                        no += 1
+                        if entry is None:
+                            continue
+                        entry = {"final_rewritten_text": entry} if isinstance(entry, str) else entry if isinstance(entry, dict) else {"entry": entry}
+                        values, failures = _columns(entry, ENTRY_COLUMNS, "entry", aliases)
+                        if what == "versions":
+                            rows.append((*key, no, *values))
+                        else:
+                            rows.extend((*key, no, *f) for f in failures)
             out = pd.DataFrame(rows, columns=names)
             yield out.astype({c: {"bigint": "Int64", "int": "Int32", "double": "Float64", "boolean": "boolean"}[t] for c, t in kinds.items() if t != "string"})
 
@@ -376,7 +410,10 @@ def typed_items(records: DataFrame, field_aliases: DataFrame) -> DataFrame:
 
 
 def typed_versions(records: DataFrame, field_aliases: DataFrame) -> DataFrame:
-    """One consistent row of each entry of a line's list of rewrites; a bare text is its final text."""
+    """One consistent row of each entry of a line's list of rewrites; a bare text is its final text.
+
+    A null entry has no row, the others keep their number.
+    """
     return _typed(records, field_aliases, "versions")
 
 
@@ -393,13 +430,39 @@ def p2_path_stats(spark: SparkSession, d: str) -> DataFrame:
     return path_stats(once(_tables(spark, d)[0])).filter("path <> ''").withColumn("path", F.expr(f"replace(replace(path, '{SEP}[]', '[]'), '{SEP}', '.')"))
 
 
+def p2_path_values(spark: SparkSession, d: str) -> DataFrame:
+    """One row of each value of each line, with its path, kind and text."""
+    rows = path_values(once(_tables(spark, d)[0]))
+    return rows.select("line_id", "feed_id", "batch_no", F.explode("values").alias("path", "v")).select("line_id", "feed_id", "batch_no", "path", "v.kind", "v.value")
+
+
 QUERIES = {
     "p2_found": lambda s, d: drift(*_tables(s, d)),
+    "p2_path_values": p2_path_values,
     "p2_path_stats": p2_path_stats,
     "p2_items": lambda s, d: typed_items(*_tables(s, d)),
     "p2_versions": lambda s, d: typed_versions(*_tables(s, d)),
     "p2_cast_failures": lambda s, d: cast_failures(*_tables(s, d)),
 }
 
-#: DuckDB reads the same JSON through its own parser: top-level kinds of every file.
-SQL: dict[str, str] = {}
+_KIND = "CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'number' END"
+#: The path-value maps by DuckDB's own parser. 
+_VALUES = f"""
+    RECURSIVE line AS (
+      SELECT line_id, any_value(feed_id) AS feed_id, any_value(batch_no) AS batch_no, any_value(payload) AS payload FROM rewrite_records GROUP BY line_id
+    ), node AS (
+      SELECT line_id, feed_id, batch_no, CAST(payload AS JSON) AS v, '' AS path, '' AS place FROM line WHERE json_valid(payload)
+      UNION ALL
+      SELECT line_id, feed_id, batch_no, child, name, shape FROM (
+        SELECT line_id, feed_id, batch_no, json_extract(v, '$."' || k || '"') AS child, CASE WHEN path = '' THEN k ELSE path || '.' || k END AS name, CASE WHEN place = '' THEN k ELSE place || '.' || k END AS shape
+        FROM (SELECT *, unnest(json_keys(v)) AS k FROM node WHERE json_type(v) = 'OBJECT')
+        UNION ALL
+        SELECT line_id, feed_id, batch_no, json_extract(v, '$[' || i || ']'), path || '[' || i || ']', place || '[]'
+        FROM (SELECT *, unnest(range(CAST(json_array_length(v) AS BIGINT))) AS i FROM node WHERE json_type(v) = 'ARRAY')
+      ) WHERE json_type(child) <> 'NULL'
+    ), val AS (SELECT line_id, feed_id, batch_no, path, place, {_KIND} AS kind, v FROM node WHERE path <> '')
+"""
+SQL: dict[str, str] = {
+    "p2_path_values": f"WITH {_VALUES} SELECT line_id, feed_id, batch_no, path, kind, CASE WHEN kind = 'string' THEN v ->> '$' WHEN kind IN ('number', 'boolean') THEN CAST(v AS VARCHAR) END AS value FROM val",
+    "p2_path_stats": f"WITH {_VALUES} SELECT feed_id, batch_no, place AS path, kind, count(*) AS n FROM val GROUP BY ALL",
+}

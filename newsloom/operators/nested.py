@@ -111,13 +111,23 @@ def link_by_containment(nodes: list[list]) -> list[int]:
     return parents
 
 
-def _scalars(obj: dict) -> dict[str, str]:
+def _scalars(obj: dict, prefix: str = "") -> dict[str, str]:
+    """The fields of an object as text: scalars, those of plain objects inside it by dotted path, arrays with scalars as JSON.
+
+    What becomes nodes of its own (arrays of objects, list fields) and nulls are left out.
+    """
     out = {}
     for k, v in obj.items():
+        v = as_list(k, v)
         if isinstance(v, str):
-            out[k] = v
-        elif isinstance(v, bool) or (v is not None and not isinstance(v, (dict, list))):
-            out[k] = json.dumps(v)
+            out[prefix + k] = v
+        elif isinstance(v, dict):
+            out.update(_scalars(v, f"{prefix}{k}."))
+        elif isinstance(v, list):
+            if not v or any(x is not None and not isinstance(x, dict) for x in v):
+                out[prefix + k] = json.dumps(v, ensure_ascii=False, separators=(",", ":"))
+        elif v is not None:
+            out[prefix + k] = json.dumps(v)
     return out
 
 
@@ -126,8 +136,8 @@ def label_nodes(records: DataFrame, attrs: bool = True) -> DataFrame:
 
     ``doc`` is JSON text, ``root`` the field name the document stands for (null: the document is the
     record), ``within`` a top-level field that emission is restricted to (null: none). Null, empty and
-    unreadable documents give no rows, null elements keep their position without a row. A null ``rec_id``
-    stays null. ``attrs`` holds the scalar fields of each object as text (null fields left out).
+    unreadable documents give no rows (``unreadable`` reports them), null elements keep their position without a
+    row. A null ``rec_id`` stays null. ``attrs`` holds the fields of each object as text (``_scalars``).
     """
     small_batches(records.sparkSession)
 
@@ -166,14 +176,38 @@ def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
 
 
 def node_table(nodes: DataFrame, node_type: str, columns: dict[str, str]) -> DataFrame:
-    """The flat table of one node type: keys, parent link and ``columns`` (name to SQL type) from the attributes.
+    """The flat table of one node type: keys, parent link and ``columns`` (attribute path to SQL type).
 
-    A value that can't be cast is null.
+    A dot in a path becomes ``_`` in the column's name. A value that can't be cast is null.
     """
-    own = [F.expr(f"try_cast(attrs['{c}'] as {t})").alias(c) for c, t in columns.items()]
+    own = [F.expr(f"try_cast(attrs['{c}'] as {t})").alias(c.replace(".", "_")) for c, t in columns.items()]
     return nodes.filter(F.col("node_type") == node_type).select("rec_table", "rec_id", "pre", "parent_pre", "path", "parent_path", "position", *own)
 
 
+def unreadable(records: DataFrame) -> DataFrame:
+    """``(rec_table, rec_id, reason, n_chars)`` of the documents that give no nodes because they can't be read.
+
+    ``reason`` is ``not_json`` or ``too_deep`` (for the parser). A null document isn't unreadable, nor is the text ``null``.
+    """
+    small_batches(records.sparkSession)
+
+    @F.pandas_udf("string")
+    def why(docs: pd.Series) -> pd.Series:
+        out = []
+        for text in docs:
+            try:
+                json.loads(text)
+                out.append(None)
+            except RecursionError:
+                out.append("too_deep")
+            except ValueError:
+                out.append("not_json")
+        return pd.Series(out, dtype=object)
+
+    found = records.filter("doc is not null").select("rec_table", "rec_id", why("doc").alias("reason"), F.length("doc").alias("n_chars"))
+    return found.filter("reason is not null")
+
+
 def nested_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three nested sources as ``(rec_table, rec_id, root, within, doc)``; a run's repeated rows count once."""
     null = F.lit(None).cast("string")
@@ -206,42 +240,90 @@ def p1_node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def p1_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat conflicts table of the nested sources."""
-    return node_table(label_nodes(nested_records(spark, sf_dir)), "conflicts", {
-        "entity_text": "string", "original_span": "string", "injected_span": "string", "type": "string", "note": "string",
-        "target_entity": "string", "span_start": "int", "span_end": "int", "version_id": "string",
-    })
-
+def p1_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unreadable(nested_records(spark, sf_dir))
+
+
+#: The flat table of every node type: attribute path to SQL type.
+TABLES: dict[str, dict[str, str]] = {
+    "alignment": {"sent_idx": "int", "text": "string", "sources": "string", "evidence": "string", "conflict_resolved": "string"},
+    "tool_calls": {"node": "string", "tool": "string", "ts": "double", "duration": "double", "input.segment_id": "string", "input.version_id": "string", "output.segment_id": "string"},
+    "rewritten_versions": {
+        "version_id": "string", "reduced_version_id": "string", "version_score": "double", "final_passed": "boolean", "success_ratio": "double", "successful_segments_count": "int",
+        "total_segments_count": "int", "quality_label": "string",
+    },
+    "segments": {"segment_id": "string", "text": "string", "reduced_text": "string", "final_rewritten_text": "string", "final_passed": "boolean", "used_fallback": "boolean"},
+    "history": {
+        "attempt": "int", "rewritten_text": "string", "is_iterative": "boolean", "feedback_used": "string", "faithfulness.passed": "boolean", "faithfulness.score": "double",
+        "faithfulness.explanation": "string", "diversity.passed": "boolean", "diversity.score": "double", "segment_id": "string", "final_passed": "boolean", "used_fallback": "boolean",
+    },
+    "tags": {"tag_id": "string", "tag_type": "string", "text": "string", "sentence": "string", "reason": "string"},
+    "reduced_versions": {"version_id": "string", "keep_tag_ids": "string", "reason": "string"},
+    "missing": {"text": "string", "where_hint": "string"},
+    "extra": {"text": "string", "where_hint": "string"},
+    "suggested_edits": {"action": "string", "text": "string", "position_hint": "string"},
+    "conflicts": {
+        "entity_text": "string", "original_span": "string", "injected_span": "string", "type": "string", "note": "string", "target_entity": "string", "span_start": "int", "span_end": "int", "version_id": "string",
+    },
+    "candidates": {"value": "string", "score": "double"},
+}
 
-def p1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat tool call table of the nested sources."""
-    return node_table(label_nodes(nested_records(spark, sf_dir)), "tool_calls", {"node": "string", "tool": "string", "ts": "double", "duration": "double"})
 
+def _table_query(node_type: str, columns: dict[str, str]):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return node_table(label_nodes(nested_records(spark, sf_dir)), node_type, columns)
+
+    run.__doc__ = f"Flat table of the ``{node_type}`` nodes of all nested sources."
+    return run
+
+
+QUERIES = {"p1_found": p1_found, "p1_nodes": p1_nodes, "p1_node_counts": p1_node_counts, "p1_unreadable": p1_unreadable}
+QUERIES |= {f"p1_{'alignment_rows' if t == 'alignment' else t}": _table_query(t, c) for t, c in TABLES.items()}
+
+#: The same walk in SQL: every value is a row, in pre-order by the list of its ordinals. Null fields of the typed column count as absent.
+_NODES = f"""
+    RECURSIVE docs AS (
+      SELECT 'aligned_news' AS t, aligned_id AS id, json_object('alignment', alignment) AS v, CAST(NULL AS VARCHAR) AS within FROM aligned_news WHERE alignment IS NOT NULL
+      UNION ALL SELECT 'rewrite_runs', run_id, CAST(any_value(state_json) AS JSON), NULL FROM rewrite_runs WHERE state_json IS NOT NULL AND json_valid(state_json) GROUP BY run_id
+      UNION ALL SELECT 'injection_results', result_id, CAST(injection_results AS JSON), 'injected_versions' FROM injection_results WHERE json_valid(injection_results)
+    ), node AS (
+      SELECT t, id, v, '' AS path, '' AS name, CAST(NULL AS INTEGER) AS position, false AS scoped, within IS NULL AS allowed, 0 AS depth, '$' AS parent, CAST([] AS BIGINT[]) AS ord, within FROM docs
+      UNION ALL
+      SELECT t, id, CASE WHEN json_type(raw) = 'OBJECT' AND listed THEN json_array(raw) ELSE raw END, cpath, cname, cpos, scoped OR cname IN {SCOPES}, allowed OR (depth = 0 AND cname = within), depth + 1,
+        CASE WHEN counted THEN path ELSE parent END, list_append(ord, i), within
+      FROM (
+        SELECT *, CASE WHEN listed AND json_type(child) = 'VARCHAR' AND json_valid(child ->> '$') THEN CAST(child ->> '$' AS JSON) ELSE child END AS raw
+        FROM (
+          SELECT *, (position IS NOT NULL AND scoped AND allowed) AS counted, json_extract(v, '$."' || k || '"') AS child, CASE WHEN path = '' THEN k ELSE path || '.' || k END AS cpath, k AS cname, CAST(NULL AS INTEGER) AS cpos,
+            k IN {LIST_FIELDS} AS listed
+          FROM (SELECT *, unnest(json_keys(v)) AS k, unnest(range(len(json_keys(v)))) AS i FROM node WHERE json_type(v) = 'OBJECT')
+          UNION ALL
+          SELECT * EXCLUDE (k, i), k, i, false, json_extract(v, '$[' || k || ']'), path || '[' || k || ']', name, CAST(k AS INTEGER), false
+          FROM (SELECT *, CAST(unnest(range(CAST(json_array_length(v) AS BIGINT))) AS VARCHAR) AS k, unnest(range(CAST(json_array_length(v) AS BIGINT))) AS i FROM node WHERE json_type(v) = 'ARRAY')
+        ) WHERE NOT (t = 'aligned_news' AND json_type(child) = 'NULL' AND cpos IS NULL)
+      )
+    ), numbered AS (
+      SELECT *, CAST(row_number() OVER (PARTITION BY t, id ORDER BY ord) - 1 AS INTEGER) AS pre FROM node
+    ), found AS (
+      SELECT t AS rec_table, id AS rec_id, pre, path, parent AS parent_path, name AS node_type, position, depth, v FROM numbered WHERE position IS NOT NULL AND scoped AND allowed AND json_type(v) = 'OBJECT'
+    ), linked AS (
+      SELECT f.*, p.pre AS parent_pre FROM found f LEFT JOIN found p ON p.rec_table = f.rec_table AND p.rec_id = f.rec_id AND p.path = f.parent_path
+    )
+"""
 
-def p1_alignment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat alignment table: one row of each sentence with provenance."""
-    rows = node_table(label_nodes(nested_records(spark, sf_dir)), "alignment", {"sent_idx": "int", "text": "string", "conflict_resolved": "string"})
-    return rows.drop("pre")
 
+def _table_sql(node_type: str, columns: dict[str, str]) -> str:
+    kinds = {"int": "INTEGER", "double": "DOUBLE", "boolean": "BOOLEAN", "string": "VARCHAR"}
+    own = ", ".join(f"TRY_CAST(v ->> '$.{c}' AS {kinds[t]}) AS {c.replace('.', '_')}" for c, t in columns.items())
+    return f"WITH {_NODES} SELECT rec_table, rec_id, pre, parent_pre, path, parent_path, position, {own} FROM linked WHERE node_type = '{node_type}'"
 
-QUERIES = {
-    "p1_found": p1_found, "p1_nodes": p1_nodes, "p1_node_counts": p1_node_counts, "p1_conflicts": p1_conflicts,
-    "p1_tool_calls": p1_tool_calls, "p1_alignment_rows": p1_alignment_rows,
-}
 
-#: The alignment table has a typed column behind it, so it has an independent SQL form.
 SQL = {
-    "p1_alignment_rows": """
-        WITH e AS (
-          SELECT aligned_id, unnest(alignment) AS el, unnest(range(len(alignment))) AS i
-          FROM aligned_news WHERE alignment IS NOT NULL
-        ), s AS (
-          SELECT aligned_id, el, i FROM e WHERE el IS NOT NULL
-        )
-        SELECT 'aligned_news' AS rec_table, aligned_id AS rec_id, CAST(NULL AS INTEGER) AS parent_pre,
-               'alignment[' || i || ']' AS path, '$' AS parent_path, CAST(i AS INTEGER) AS position,
-               el.sent_idx AS sent_idx, el.text AS text, el.conflict_resolved AS conflict_resolved
-        FROM s
+    "p1_found": f"WITH {_NODES} SELECT rec_table, rec_id, parent_path, path AS child_path FROM found",
+    "p1_node_counts": f"WITH {_NODES} SELECT rec_table, node_type, count(*) AS n_nodes, count(*) FILTER (parent_pre IS NULL) AS n_roots, CAST(max(depth) AS BIGINT) AS max_depth FROM linked GROUP BY ALL",
+    "p1_unreadable": """
+        SELECT 'rewrite_runs' AS rec_table, run_id AS rec_id, 'not_json' AS reason, CAST(length(any_value(state_json)) AS INTEGER) AS n_chars FROM rewrite_runs WHERE NOT json_valid(state_json) GROUP BY run_id
+        UNION ALL SELECT 'injection_results', result_id, 'not_json', CAST(length(injection_results) AS INTEGER) FROM injection_results WHERE NOT json_valid(injection_results)
     """,
-}
+}
+SQL |= {f"p1_{'alignment_rows' if t == 'alignment' else t}": _table_sql(t, c) for t, c in TABLES.items()}

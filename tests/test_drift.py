@@ -53,4 +53,19 @@ def test_typed_tables(spark):
 
 def test_path_values(spark):
     r = D.path_values(frames(spark, [(1, 1, {"a": [{"b": 1}, {"b": "x"}]})])[0]).collect()[0]
-    assert [(x.kind, x.value) for x in r["values"]["a.[].b"]] == [("string", "x"), ("number", "1")]
+    assert {p: (x.kind, x.value) for p, x in r["values"].items()} == {"a": ("array", None), "a[0]": ("object", None), "a[0].b": ("number", "1"), "a[1]": ("object", None), "a[1].b": ("string", "x")}
+
+
+def test_records_survive_the_maps():
+    record = {"a": [{"b": 1}, None, "x", []], "[1]": True, "c": {"[]": {}, "d": 0.5}, "none": None}
+    assert D.rebuilt(D.path_value_map(record)) == {"a": [{"b": 1}, None, "x", []], "[1]": True, "c": {"[]": {}, "d": 0.5}}
+    assert D.path_value_map(None) == D.path_value_map({}) == {} and D.path_value_map([1]) == {"[0]": ("number", 1)}
+
+
+def test_rewrites_in_uneven_forms(spark):
+    rows = [{"rewrites": {"text": "a"}}, {"rewrites": '[{"text": "b"}, "c"]'}, {"rewrites": "no json"}, {"rewrites": [{"text": "d"}]}]
+    records = spark.createDataFrame([(i, 1, 1, json.dumps(r)) for i, r in enumerate(rows)], "line_id bigint, feed_id bigint, batch_no int, payload string")
+    aliases = spark.createDataFrame([("item", "rewrite_versions", "rewrites"), ("entry", "final_rewritten_text", "text")], "place string, canonical string, alias string")
+    got = sorted((r.line_id, r.version_no, r.final_rewritten_text) for r in D.typed_versions(records, aliases).collect())
+    assert got == [(0, 1, "a"), (1, 1, "b"), (1, 2, "c"), (3, 1, "d")]
+    assert D.typed_items(records, aliases).filter("line_id = 2").collect()[0].other_fields == {"rewrites": '"no json"'}

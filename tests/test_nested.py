@@ -50,3 +50,18 @@ def test_intervals_nest(value):
     for i, p in enumerate(N.link_by_containment(nodes)):
         around = [j for j, n in enumerate(nodes) if n[0] < nodes[i][0] and n[1] > nodes[i][1]]
         assert p == (max(around, key=lambda j: nodes[j][0]) if around else -1)
+
+
+def test_arrays_of_scalars_and_plain_objects_are_kept(spark):
+    doc = {"tool_calls": [{"node": "n", "input": {"ids": ["a", "é"], "deep": {"x": 1.5, "none": None}}, "tags": [{"tag_id": "t"}], "history": '[{"attempt": 1}]', "empty": [], "mixed": [1, {"y": 2}], "flag": True}]}
+    got = {r.path: r for r in N.label_nodes(spark.createDataFrame([("t", 1, None, None, json.dumps(doc))], SCHEMA)).collect()}
+    assert got["tool_calls[0]"].attrs == {"node": "n", "input.ids": '["a","é"]', "input.deep.x": "1.5", "empty": "[]", "mixed": '[1,{"y":2}]', "flag": "true"}
+    assert set(got) == {"tool_calls[0]", "tool_calls[0].tags[0]", "tool_calls[0].history[0]", "tool_calls[0].mixed[1]"}
+    flat = N.node_table(N.label_nodes(spark.createDataFrame([("t", 1, None, None, json.dumps(doc))], SCHEMA)), "tags", {"tag_id": "string"}).collect()[0]
+    assert flat.parent_pre == got["tool_calls[0]"].pre and flat.pre == got["tool_calls[0].tags[0]"].pre
+
+
+def test_unreadable_documents_are_reported(spark):
+    docs = [None, "null", "{}", "", "{", '{"a": 1', "[" * 100000, "3"]
+    df = spark.createDataFrame([("t", i, None, None, d) for i, d in enumerate(docs)], SCHEMA)
+    assert {(r.rec_id, r.reason) for r in N.unreadable(df).collect()} == {(3, "not_json"), (4, "not_json"), (5, "not_json"), (6, "too_deep")}

@@ -17,6 +17,6 @@ def test_values_without_a_column_are_kept(spark):
     assert items[1].id == "3" and items[1].other_fields == {"newsid": "2", "overallstats.ncalls": "4", "overallstats.ncalls#2": "5"}
     assert items[2].other_fields is None
     versions = D.typed_versions(records, aliases).orderBy("version_no").collect()
-    assert [(v.final_rewritten_text, v.other_fields) for v in versions] == [("a", {"tone": '"calm"', "text.unit": '"u"'}), (None, {"entry": "7"}), (None, {})]
+    assert [(v.final_rewritten_text, v.other_fields) for v in versions] == [("a", {"tone": '"calm"', "text.unit": '"u"'}), (None, {"entry": "7"})]
     failed = {(r.line_id, r.version_no, r.field_name) for r in D.cast_failures(records, aliases).filter("reason = 'no column'").collect()}
     assert failed == {(0, None, k) for k in items[0].other_fields} | {(1, None, k) for k in items[1].other_fields} | {(0, 1, "tone"), (0, 1, "text.unit"), (0, 2, "entry")}
