@@ -15,7 +15,7 @@ grows with the corpus; a shard leaves at most about half a container unfilled.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -29,7 +29,9 @@ CAPACITY = 2048
 SHARD_ITEMS = 20_000
 #: The LP prices configurations on this many units of capacity; sizes are rounded to the nearest unit.
 UNITS = 256
-ROUNDS = 1200
+#: Rounds at most, and the duality gap at which they end.
+ROUNDS = 1500
+GAP = 0.005
 STEP = 0.5
 EAGER = 40.0
 
@@ -57,37 +59,59 @@ def knapsack(value: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
     return counts
 
 
-def solve(demand: np.ndarray, rounds: int = ROUNDS, step: float = STEP) -> list[tuple[np.ndarray, float]]:
-    """Fractional cover of ``demand`` (by size in units) by configurations: (counts by size, how many of them).
+@dataclass
+class Cover:
+    """A fractional cover: (counts by size, how many of them), its value, the best lower bound found and the rounds it took."""
+
+    patterns: list[tuple[np.ndarray, float]]
+    value: float
+    bound: float
+    rounds: int
+
+    @property
+    def gap(self) -> float:
+        return self.value / self.bound - 1 if self.bound else 0.0
+
+
+def solve(demand: np.ndarray, rounds: int = ROUNDS, step: float = STEP, gap: float = GAP) -> Cover:
+    """Fractional cover of ``demand`` (by size in units) by configurations.
 
     Multiplicative weights for the covering LP: the weight of a size is exp(-EAGER * its coverage) over its
     demand; each round takes the best configuration for the weights as often as covers ``step`` of the demand of
-    its scarcest size. The sum is scaled so that the median size is just covered. Deterministic.
+    its scarcest size. The sum is scaled so that the least covered size is just covered. By LP duality the weights of a
+    round bound every cover from below: demand times weights over the weight of the best configuration. Rounds end
+    when value and best bound are within ``gap``. Deterministic.
     """
     sizes = np.flatnonzero(demand)
     if not len(sizes):
-        return []
+        return Cover([], 0.0, 0.0, 0)
     d = demand[sizes].astype(float)
-    covered = np.zeros(len(sizes))
+    covered, total = np.zeros(len(sizes)), 0.0
+    bound = float(d @ sizes) / (len(demand) - 1)  # with the sizes as weights no configuration weighs more than the capacity
     used: dict[bytes, list] = {}
-    for _ in range(rounds):
+    done = 0
+    for done in range(1, rounds + 1):
         value = np.zeros(len(demand))
         value[sizes] = np.exp(-(covered - covered.min()) * EAGER) / d
         counts = knapsack(value)[sizes]
+        bound = max(bound, float(d @ value[sizes]) / float(counts @ value[sizes]))
         amount = step * float((d / np.maximum(counts, 1e-9))[counts > 0].min())
         entry = used.setdefault(counts.tobytes(), [counts, 0.0])
         entry[1] += amount
+        total += amount
         covered += counts * amount / d
-    scale = float(np.median(covered))
+        if covered.min() > 0 and total / covered.min() <= bound * (1 + gap):
+            break
+    scale = float(covered.min()) if covered.min() > 0 else float(covered[covered > 0].min())
     left, out = d.copy(), []
     for counts, amount in sorted(used.values(), key=lambda e: -float(e[0] @ sizes)):
-        n = min(amount / max(scale, 1e-9), float((left / np.maximum(counts, 1e-9))[counts > 0].min()))
+        n = min(amount / scale, float((left / np.maximum(counts, 1e-9))[counts > 0].min()))
         if n > 0:
             left -= counts * n
             full = np.zeros(len(demand), dtype=np.int64)
             full[sizes] = counts
             out.append((full, n))
-    return out
+    return Cover(out, total / scale, bound, done)
 
 
 class Gaps:
@@ -182,7 +206,7 @@ def fill(sizes: np.ndarray, patterns: list[tuple[np.ndarray, float]], share: flo
 
 
 def token_sizes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """``(doc_id, n_tokens)`` of each document whose text is neither null nor empty.
+    """``(doc_id, n_tokens, other)`` of each document whose text is neither null nor empty; ``other`` tells rows with a null id apart.
 
     A repeated id counts once, with its longest text; of rows with a null id, equal texts count once.
     """
@@ -192,7 +216,18 @@ def token_sizes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).alias("other"),
         count_udf(vocabulary or default_vocabulary())(text_col).alias("n_tokens"),
     )
-    return docs.groupBy("doc_id", "other").agg(F.max("n_tokens").alias("n_tokens")).drop("other")
+    return docs.groupBy("doc_id", "other").agg(F.max("n_tokens").alias("n_tokens"))
+
+
+def histogram(items: DataFrame, capacity: int, units: int) -> tuple[np.ndarray, int]:
+    """(number of items by size in units, number of items) of ``items``, without the full pieces of longer ones; at most ``capacity`` rows are read."""
+    rest = F.expr(f"if(n_tokens <= {capacity}, n_tokens, n_tokens % {capacity})")
+    demand, total = np.zeros(units + 1, dtype=np.int64), 0
+    for r in items.groupBy(rest.alias("size")).agg(F.count("*").alias("n")).collect():
+        total += r.n
+        if r.size > 0:
+            demand[int(to_units(np.array([r.size]), capacity, units)[0])] += r.n
+    return demand, total
 
 
 def pack(sizes: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_ITEMS, units: int = UNITS) -> DataFrame:
@@ -203,15 +238,9 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_IT
     rows. Equal sizes are told apart by id only, so the result doesn't depend on the partitioning.
     """
     units = min(units, capacity)
-    items = cut(sizes.filter("n_tokens > 0").select("doc_id", F.col("n_tokens").cast("int").alias("n_tokens")), "sizes")
-    rest = F.expr(f"if(n_tokens <= {capacity}, n_tokens, n_tokens % {capacity})")
-    histogram = {r.size: r.n for r in items.groupBy(rest.alias("size")).agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
-    total = sum(histogram.values())
-    demand = np.zeros(units + 1, dtype=np.int64)
-    for size, n in histogram.items():
-        if size > 0:
-            demand[int(to_units(np.array([size]), capacity, units)[0])] += n
-    patterns = solve(demand)
+    items = cut(sizes.filter("n_tokens > 0").select("doc_id", F.col("n_tokens").cast("int").alias("n_tokens"), (F.col("other") if "other" in sizes.columns else F.lit(None).cast("bigint")).alias("other")), "sizes")
+    demand, total = histogram(items, capacity, units)
+    patterns = solve(demand).patterns
     shards = max(1, -(-total // shard_items))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -230,7 +259,7 @@ def pack(sizes: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_IT
         out["container_id"] += int(key[0]) << 32
         return out.astype({"container_id": "int64", "position": "int32", "piece_no": "int32", "token_start": "int64", "n_tokens": "int32"})
 
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(shards))
+    shard = F.pmod(F.xxhash64("doc_id", "other"), F.lit(shards))
     return items.withColumn("shard", shard).groupBy("shard").applyInPandas(lambda key, pdf: run(key, pdf), PACK_SCHEMA)
 
 
@@ -247,4 +276,11 @@ def p8_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p8_pack": p8_pack, "p8_summary": p8_summary}
+def p8_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row on the linear program: its value, the lower bound from the weights, their gap, and the rounds; sizes in units."""
+    demand, total = histogram(token_sizes(table(spark, sf_dir, "documents")).filter("n_tokens > 0"), CAPACITY, UNITS)
+    got = solve(demand)
+    return spark.createDataFrame([(total, got.value, got.bound, got.gap, got.rounds)], "n_items bigint, lp_value double, lp_bound double, gap double, rounds int")
+
+
+QUERIES = {"p8_pack": p8_pack, "p8_summary": p8_summary, "p8_bounds": p8_bounds}

@@ -291,13 +291,14 @@ def keyboard(word: str) -> bool:
 
 def recurring(text: str) -> bool:
     """Whether two or three words stand three times in a row, or a word four times without commas."""
-    words = text.lower().replace(".", "").replace("!", "").split()
-    for k in (1, 2, 3):
+    low = text.lower().replace(".", "").replace("!", "")
+    apart, joined = low.split(), low.replace(",", "").split()
+    for k, words in ((1, apart), (2, joined), (3, joined)):
         run = b"\1" * max(2 * k, 3)
         same = bytes(map(operator.eq, words, words[k:]))
         at = same.find(run)
         while at >= 0:
-            unit = words[at : at + k] if k == 1 else [w.rstrip(",") for w in words[at : at + k]]
+            unit = words[at : at + k]
             if all(w.isalpha() for w in unit) and (len(set(unit)) > 1 or (k == 1 and len(unit[0]) > 1)):
                 return True
             at = same.find(run, at + 1)

@@ -8,12 +8,15 @@ pattern for the text before the position, one for the text after, and a verdict;
 of a text's own language come first, then those of the other languages of its script, then the common one, so a
 missing or wrong language label changes little. The script is read from the text itself.
 
-Scale: a map over rows, without a shuffle; work is linear in the text.
+Scale: a map over rows, without a shuffle; work is linear in the text but for a binary search among its quotations. A
+rule sees ``CONTEXT`` characters to either side, more than any of its patterns can span.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,6 +35,10 @@ TERMINAL = regex.compile(r"[.!?…‥。！？｡।॥؟۔]+")
 LINE = re.compile(r"\r\n|[\n\r\x0b\x0c\x85  ]")
 LIST_MARK = regex.compile(r"\s*(?:[•◦▪‣·*–—-]|\d{1,3}[.)、]|\p{L}[.)]|\(\p{L}|\d{1,3}\))\s+")
 
+#: Opening marks that a closing mark can close.
+_OPENERS = {c: [o for o, closing in OPENING.items() if c in closing] for closing in OPENING.values() for c in closing}
+CONTEXT = 48
+
 BREAK, KEEP = True, False
 #: (verdict, how a closed quotation stands or None for any, before, after); ``before`` ends at the position.
 Rule = tuple[bool, str | None, str, str]
@@ -151,20 +158,23 @@ def cascade(script: str, lang: str | None) -> list:
 
 
 def protected(line: str) -> list[tuple[int, int]]:
-    """Outermost (open, close) positions of balanced quotations and brackets of a line."""
+    """Outermost (open, close) positions of balanced quotations and brackets of a line, ascending."""
     spans, stack = [], []
+    held: Counter = Counter()  # the opening marks in the stack
     for i, ch in enumerate(line):
         if stack and ch in OPENING[line[stack[-1]]]:
+            held[line[stack[-1]]] -= 1
             spans.append((stack.pop(), i))
         elif ch in OPENING:
             if ch == "»" and not (i + 1 < len(line) and not line[i + 1].isspace() and (i == 0 or line[i - 1].isspace())):
                 continue
             stack.append(i)
-        elif ch in CLOSERS:  # a closing mark whose opening lies further down: those above it stay open
-            at = next((k for k in range(len(stack) - 1, -1, -1) if ch in OPENING[line[stack[k]]]), None)
-            if at is not None:
-                spans.append((stack[at], i))
-                del stack[at:]
+            held[ch] += 1
+        elif ch in CLOSERS and any(held[o] for o in _OPENERS.get(ch, ())):  # its opening mark lies further down: those above it stay open
+            while ch not in OPENING[line[stack[-1]]]:
+                held[line[stack.pop()]] -= 1
+            held[line[stack[-1]]] -= 1
+            spans.append((stack.pop(), i))
     spans.sort()
     out: list[tuple[int, int]] = []
     for a, b in spans:
@@ -173,11 +183,23 @@ def protected(line: str) -> list[tuple[int, int]]:
     return out
 
 
-def _closed(line: str, start: int, end: int, spans: list[tuple[int, int]]) -> tuple[int, tuple[int, int] | None, bool]:
+class Spans:
+    """The protected spans of a line, which don't overlap, by position."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        self.spans, self.starts, self.opens = spans, [a for a, _ in spans], {a for a, _ in spans}
+
+    def around(self, at: int) -> tuple[int, int] | None:
+        """The span that starts before ``at`` and ends at it or later."""
+        i = bisect_left(self.starts, at) - 1
+        return self.spans[i] if i >= 0 and at <= self.spans[i][1] else None
+
+
+def _closed(line: str, start: int, end: int, spans: Spans) -> tuple[int, tuple[int, int] | None, bool]:
     """(position after the marks that terminal punctuation at start..end closes, the quotation closed, inside one)."""
-    span = next((s for s in spans if s[0] < start <= s[1]), None)
+    span = spans.around(start)
     if span is None:
-        while end < len(line) and line[end] in CLOSERS and not any(s[0] == end for s in spans):
+        while end < len(line) and line[end] in CLOSERS and end not in spans.opens:
             end += 1
         return end, None, False
     j = end
@@ -186,24 +208,33 @@ def _closed(line: str, start: int, end: int, spans: list[tuple[int, int]]) -> tu
     if j != span[1]:
         return end, None, True
     j += 1
-    while j < len(line) and line[j] in CLOSERS and not any(s[0] == j for s in spans):
+    while j < len(line) and line[j] in CLOSERS and j not in spans.opens:
         j += 1
     return j, span, False
 
 
 def _standing(line: str, begin: int, span: tuple[int, int]) -> str:
+    """How a quotation stands in the sentence that starts at ``begin``; the sentence itself isn't copied."""
     if line[span[0]] in BRACKETS:
         return "bracket"
-    before = line[begin : span[0]]
-    mark = LIST_MARK.match(before + " ")
-    if not before.strip() or (mark and mark.end() >= len(before.rstrip()) + 1) or before.strip() in "-–—•*":
+    last = span[0] - 1
+    while last >= begin and line[last].isspace():
+        last -= 1
+    if last < begin:
         return "lead"
-    return "colon" if before.rstrip()[-1:] in ":：" else "mid"
+    while line[begin].isspace():
+        begin += 1
+    if last - begin < 8:
+        before = line[begin : span[0]]
+        mark = LIST_MARK.match(before + " ")
+        if (mark and mark.end() >= len(before.rstrip()) + 1) or before.strip() in "-–—•*":
+            return "lead"
+    return "colon" if line[last] in ":：" else "mid"
 
 
 def split_line(line: str, script: str, lang: str | None) -> list[int]:
     """Positions inside a line after which a new sentence starts."""
-    rules, spans = cascade(script, lang), protected(line)
+    rules, spans = cascade(script, lang), Spans(protected(line))
     mark = LIST_MARK.match(line)
     candidates = [(m.start(), m.end(), False) for m in TERMINAL.finditer(line)]
     if script == "thai":
@@ -214,7 +245,8 @@ def split_line(line: str, script: str, lang: str | None) -> list[int]:
     begin = 0
     for start, end, space in candidates:
         if space:
-            if not any(a < start < b for a, b in spans) and line[begin:start].strip():
+            around = spans.around(start)
+            if (around is None or start == around[1]) and start > begin:
                 cuts.append(end)
                 begin = end
             continue
@@ -222,8 +254,8 @@ def split_line(line: str, script: str, lang: str | None) -> list[int]:
         if inside or pos <= begin:
             continue
         how = _standing(line, begin, span) if span else None
-        low = max(0, pos - 48)
-        before, after = line[low:pos], line[pos : pos + 48]
+        low = max(0, pos - CONTEXT)
+        before, after = line[low:pos], line[pos : pos + CONTEXT]
         for verdict, want, b, a in rules:
             if want is not None and want != how:
                 continue

@@ -6,11 +6,12 @@
 2. ``encode``: chunks meet by content; each is encoded once. Its first and last piece, up to the first and from
    the last position where no token can cross, stay text; the ids in between are final.
 3. ``join``: the chunks of a document in order; at each join the open text of both sides is encoded again,
-   reaching over as many chunks as it takes until both ends lie where the chunk encodings agree exactly.
+   reaching over as many chunks as it takes until both ends lie at closed positions.
 
-No token crosses a position between a letter and a non-letter, or a digit and a non-digit, that follows it: every
-alternative of the pre-tokeniser that can end in a letter (digit) ends there. So the result equals the encoding
-of the whole text, whatever the chunks.
+A position is closed if a letter stands before it and none after it, or a digit before it and none after it. No token
+crosses one: every alternative of the pre-tokeniser that can end in a letter (digit) ends there. So the encodings of both
+sides agree exactly with the whole text's there, by construction and without a test at run time, whatever the chunks.
+That holds for ``PATTERN`` only, so a vocabulary of another pre-tokeniser is refused.
 
 Scale: two shuffles, of distinct chunk texts and of packed ids (two bytes each). A chunk that stands in a third of
 all documents is emitted once a batch, and after ``SALT_EVERY`` batches of a task under another salt, so no task
@@ -59,10 +60,14 @@ def default_vocabulary() -> str:
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str):
-    """The encoder of a vocabulary file, built once in each Python worker."""
+    """The encoder of a vocabulary file, built once in each Python worker. Other vocabularies than ``VOCABULARY`` raise ``ValueError``."""
     import tiktoken
 
+    if Path(path).name != VOCABULARY:
+        raise ValueError(f"closed positions are known for the pre-tokeniser of {VOCABULARY} only, not for {Path(path).name}")
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    if max(ranks.values()) >= 1 << 16:
+        raise ValueError("ids are packed in two bytes")
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
@@ -257,8 +262,23 @@ def count_udf(vocabulary: str):
     return n
 
 
+def reuse(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row: chunks, distinct chunks, characters, and the share of characters that need no encoding because their chunk is known."""
+    places = F.octet_length("places") / F.lit(_PLACE.itemsize)
+    pieces = chunk(documents, id_col, text_col).groupBy("piece").agg(F.sum(places).cast("bigint").alias("n"))
+    size = F.length("piece").cast("bigint")
+    return pieces.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_chunks"), F.count("*").alias("n_distinct"), F.coalesce(F.sum(size * F.col("n")), F.lit(0)).alias("n_chars"),
+        F.coalesce(F.sum(size * (F.col("n") - 1)) / F.nullif(F.sum(size * F.col("n")), F.lit(0)), F.lit(0.0)).alias("reused_share"),
+    )
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p7_ids": p7_ids}
+def p7_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reuse(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p7_ids": p7_ids, "p7_reuse": p7_reuse}

@@ -48,6 +48,18 @@ def test_positions_cover_the_text():
         assert not t[last:].strip()
 
 
+def test_long_lines_take_linear_time():
+    import time
+
+    def took(k):
+        began = time.perf_counter()
+        S.split("He said “Go now. Stop.” and ran, " * k + "(" * k + "x. " + "」" * k, "en")
+        return time.perf_counter() - began
+
+    took(10)
+    assert took(8000) < 40 * max(took(800), 0.01)
+
+
 def test_sentence_rows(spark):
     el = "struct<sent_idx: int, text: string, sources: array<int>, evidence: array<string>, conflict_resolved: string>"
     schema = f"aligned_id bigint, lang string, fused_content string, alignment array<{el}>, row_no int"

@@ -89,3 +89,25 @@ def test_pack(spark):
 def test_sizes(spark, enc):
     df = spark.createDataFrame([(1, "a b", ""), (1, "a b", ""), (2, "", ""), (3, None, ""), (None, "x", ""), (None, "y z", "")], SCHEMA)
     assert sorted((r.doc_id or 0, r.n_tokens) for r in K.token_sizes(df).collect()) == [(0, 1), (0, 2), (1, 2)]
+
+
+def test_cover_and_bound():
+
+    demand = np.zeros(65, dtype=np.int64)
+    for size, n in ((40, 30), (24, 50), (20, 10), (7, 90), (64, 4)):
+        demand[size] = n
+    got = K.solve(demand, rounds=600)
+    made = sum(n * counts for counts, n in got.patterns)
+    assert all(int(counts @ np.arange(65)) <= 64 for counts, _ in got.patterns) and (made <= demand + 1e-6).all()
+    assert demand @ np.arange(65) / 64 <= got.bound + 1e-9 <= got.value + 2e-9 and got.gap < 0.1  # 30 of 40+24, 20 of 24, ...
+    assert made.sum() >= 0.9 * demand.sum()
+    assert K.solve(np.zeros(5, dtype=np.int64)).patterns == []
+    with pytest.raises(ValueError):
+        T.encoder("/nowhere/other_vocabulary.tiktoken")
+
+
+def test_reuse(spark):
+    text = "the river rose by two metres in a night and fell again. " * 60
+    r = T.reuse(spark.createDataFrame([(1, text), (2, text), (3, None), (4, "")], "doc_id bigint, text string")).collect()[0]
+    assert r.n_chars == 2 * len(text) and 0.4 < r.reused_share < 1 and r.n_distinct < r.n_chunks
+    assert T.reuse(spark.createDataFrame([], "doc_id bigint, text string")).collect()[0].n_chunks == 0
