@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.text import col, full_stops, hits, holds_any, strip
 
+#: Words that are no keywords. Fixed values.
+STOP_WORDS = frozenset("the of is and to in that we for an are by be as on with can if from which you it this then at have all not one has or".split())
+
 BASE_THRESHOLD = 0.2
 LEAST_CHARS = 25
 

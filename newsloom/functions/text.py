@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space at the ends of a text, the same set for Spark and for the SQL counterparts.
@@ -56,6 +56,13 @@ def words(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(col(c)), F.lit(f"({WORD})"), 1)
 
 
+def value_text(df: DataFrame, name: str) -> Column:
+    """A column's value as text: '' for null, text as it is, other scalars as written, anything nested as JSON."""
+    kind = df.schema[name].dataType.typeName()
+    nested = kind in ("array", "struct", "map", "variant")
+    return F.coalesce(F.to_json(name) if nested else F.col(name).cast("string"), F.lit(""))
+
+
 def has_han(c: Column | str) -> Column:
     return col(c).rlike(HAN)
 

@@ -40,10 +40,47 @@ class Tokenizer(Protocol):
     def tokens(self, text: str) -> list[str]: ...
 
 
-class Faithfulness(Protocol):
-    """Judge of a rewrite: (passed, feedback)."""
+@dataclass(frozen=True)
+class RetryPolicy:
+    """``tries`` attempts; the pause after attempt n is ``first * factor ** n`` seconds, or ``first * (n + 1)`` if ``linear``."""
+
+    tries: int = 3
+    first: float = 0.0
+    factor: float = 2.0
+    linear: bool = False
+
+    def run(self, call):
+        for n in range(self.tries):
+            try:
+                return call(), None
+            except Exception as e:  # a provider may raise anything; the row keeps the message
+                error = f"{type(e).__name__}: {e}"
+                if n + 1 < self.tries and self.first:
+                    time.sleep(self.first * ((n + 1) if self.linear else self.factor**n))
+        return None, error
+
+
+#: How often and how patiently each stage asks again, and the temperature it asks with.
+RETRIES = {
+    "align": RetryPolicy(tries=4, first=1.0), "inject": RetryPolicy(tries=3, first=1.0), "evaluate": RetryPolicy(tries=4, first=1.0),
+    "rewrite": RetryPolicy(tries=2, first=0.2, linear=True), "analyze": RetryPolicy(tries=2, first=0.3, linear=True), "fuse": RetryPolicy(tries=1),
+}
+TEMPERATURES = {"align": 0.0, "inject": 0.0, "evaluate": 0.7, "rewrite": 0.7, "analyze": 0.7, "fuse": 0.7}
+
+
+def complete(self, system: str, user: str) -> str: ...
 
-    def __call__(self, source: str, rewrite: str) -> tuple[bool, str]: ...
+
+class Embedder(Protocol):
+    def embed(self, texts: list[str]) -> np.ndarray: ...
+
+
+class EntityExtractor(Protocol):
+    def entities(self, text: str) -> list[tuple[str, str, int, int]]: ...
+
+
+class Tokenizer(Protocol):
+    def tokens(self, text: str) -> list[str]: ...
 
 
 @dataclass(frozen=True)
@@ -97,7 +134,25 @@ class HttpChatModel:
         body = {"model": self.model, "temperature": self.temperature, "messages": [{"role": "system", "content": system}, {"role": "user", "content": user}]}
         headers = {"Content-Type": "application/json", "Authorization": f"Bearer {os.environ.get(self.key_variable, 'none')}"}
         with urllib.request.urlopen(urllib.request.Request(f"{url}/chat/completions", json.dumps(body).encode(), headers), timeout=self.timeout) as r:
-            return json.loads(r.read())["choices"][0]["message"]["content"]
+            return response_text(json.loads(r.read()))
+
+
+def response_text(answer) -> str:
+    """The text of a model's answer in any of the usual shapes: text, a content field, choices, generations, or a list of parts."""
+    if answer is None:
+        return ""
+    if isinstance(answer, str):
+        return answer
+    if isinstance(answer, list):
+        return "".join(map(response_text, answer[:1] if answer and isinstance(answer[0], list) else answer))
+    get = answer.get if isinstance(answer, dict) else lambda k: getattr(answer, k, None)
+    for name in ("content", "text", "message", "output_text"):
+        if get(name) is not None:
+            return response_text(get(name))
+    for name in ("choices", "generations"):
+        if get(name):
+            return response_text(get(name)[0])
+    return str(answer)
 
 
 @dataclass
@@ -148,6 +203,25 @@ class WordTokenizer:
         return re.findall(r"[一-鿿]|[^\W一-鿿]+", text.lower())
 
 
+@dataclass
+class KeywordTokenizer:
+    """Words of any script in lower case; of runs of Han characters every two neighbours, as most words have two."""
+
+    def tokens(self, text: str) -> list[str]:
+        out = []
+        for run in re.findall(r"[一-鿿]+|[^\W一-鿿]+", text.lower()):
+            out += [run[i : i + 2] for i in range(len(run) - 1)] if "一" <= run[0] <= "鿿" and len(run) > 1 else [run]
+        return out
+
+
+def stage_model(kind: str, stage: str, **options) -> TextModel:
+    """A provider with the temperature of a stage, where it takes one."""
+    made = make_model(kind, **options)
+    if hasattr(made, "temperature") and "temperature" not in options:
+        made.temperature = TEMPERATURES.get(stage, made.temperature)
+    return made
+
+
 REGISTRY: dict[str, type] = {"stub": StubModel, "http": HttpChatModel}
 
 
@@ -180,11 +254,14 @@ def apply_model(df: DataFrame, prompt: str, model: TextModel, system: str = "",
 
 
 def embed_column(df: DataFrame, text: str, embedder: Embedder, out: str = "embedding") -> DataFrame:
-    """``df`` with the embedding of a text column; null for null."""
+    """``df`` with the embedding of a text column; null for null, and for all rows of a batch that the embedder fails on."""
 
     @F.pandas_udf("array<float>")
     def run(texts: pd.Series) -> pd.Series:
-        vectors = embedder.embed([t if isinstance(t, str) else "" for t in texts])
+        try:
+            vectors = embedder.embed([t if isinstance(t, str) else "" for t in texts])
+        except Exception:  # an embedder may raise anything; what needs the vectors has its own fallback
+            return pd.Series([None] * len(texts), dtype=object)
         return pd.Series([list(map(float, v)) if isinstance(t, str) else None for t, v in zip(texts, vectors)])
 
     return df.withColumn(out, run(text))

@@ -1,15 +1,11 @@
-"""Rewriting: the attempt loop, version scores, best versions, feedback and routing."""
+"""Scores of rewritten versions, the best ones and overall counts; the loop that makes them is in ``graph``."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.functions.score import quality_label
-from newsloom.models.providers import Faithfulness, TextModel, complete
 
 
 def version_scores(segments: DataFrame, by: list[str]) -> DataFrame:
@@ -29,48 +25,3 @@ def top_versions(versions: DataFrame, by: str, score: str, order: list[str], k:
 
 def overall_stats(versions: DataFrame, by: list[str] | None = None) -> DataFrame:
     return versions.groupBy(*(by or [])).agg(F.count("*").alias("total_versions"), F.count_if(F.col("success_ratio") == 1.0).alias("fully_successful_versions"), F.avg("success_ratio").alias("average_success_ratio"))
-
-
-def final_status(all_passed: Column, attempt: Column, max_attempts: Column) -> Column:
-    return F.when(all_passed, "success").when(attempt < max_attempts, "retry").otherwise("fallback")
-
-
-def feedback(passed: Column, missing: Column, extra: Column, edits: Column) -> Column:
-    """Feedback text for the next attempt; empty after a pass. The lists hold structs of the evaluation record."""
-    line = lambda x, hint: F.concat(F.lit("- "), F.coalesce(x["text"], F.lit("")), F.lit(" (position: "), F.coalesce(x[hint], F.lit("")), F.lit(")"))
-    part = lambda head, items, f: F.when(F.size(items) > 0, F.concat(F.array(F.lit(head)), F.transform(items, f))).otherwise(F.array().cast("array<string>"))
-    lines = F.concat(
-        part("Content to add:", missing, lambda m: line(m, "where_hint")),
-        part("Content to delete or correct:", extra, lambda m: line(m, "where_hint")),
-        part("Specific modification suggestions:", edits, lambda m: F.concat(F.lit("- "), F.coalesce(m["action"], F.lit("Modify")), F.lit(": "), F.coalesce(m["text"], F.lit("")), F.lit(" (position: "), F.coalesce(m["position_hint"], F.lit("")), F.lit(")"))),
-    )
-    return F.when(passed, "").otherwise(F.array_join(lines, "\n"))
-
-
-def rewrite_segments(segments: DataFrame, model: TextModel, judge: Faithfulness, attempts: int = 3) -> DataFrame:
-    """Rewrites of ``segments(doc, seg, text)`` with up to ``attempts`` tries each.
-
-    A try that the judge passes ends the loop; after the last one the source text stands in, marked as fallback and
-    passed. An empty source gives an empty, failed row; errors stay in the row. Runs in batches, no shuffle.
-    """
-    schema = "doc bigint, seg int, final_rewritten_text string, final_passed boolean, used_fallback boolean, ok boolean, n_attempts int, error string"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for doc, seg, text in zip(pdf.doc, pdf.seg, pdf.text):
-                if not isinstance(text, str) or not text.strip():
-                    rows.append((doc, seg, "", False, False, False, 0, "empty text"))
-                    continue
-                note, error, out = "", None, None
-                for n in range(1, attempts + 1):
-                    got, error = complete(model, "rewrite", text if not note else f"{text}\n\n{note}")
-                    if error is None:
-                        passed, note = judge(text, got)
-                        if passed:
-                            out = got
-                            break
-                rows.append((doc, seg, out if out is not None else text, True, out is None, out is not None, n, error))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return segments.select("doc", "seg", "text").mapInPandas(run, schema)

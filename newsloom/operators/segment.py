@@ -18,18 +18,24 @@ def split_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def merge_lengths(lengths: Column, ideal: int = IDEAL, longest: int = LONGEST) -> Column:
-    """Segment number of each length, from 1: the next joins while the segment is below ``ideal`` and the sum within ``longest``.
+    """``array<struct<start, n, chars>>`` of the segments of lengths: the next joins while the segment is below ``ideal`` and the sum within ``longest``.
 
-    A fold inside the JVM; the accumulator grows by one number a step.
+    A fold inside the JVM. A step adds an element to the accumulator only where a segment ends, so the work is the
+    number of lengths and of segments squared over the segments' size, not the lengths squared.
     """
-    start = F.struct(F.lit(0).cast("bigint").alias("cur"), F.lit(0).alias("seg"), F.array().cast("array<int>").alias("out"))
+    segment = lambda start, n, chars: F.struct(start.cast("int").alias("start"), n.cast("int").alias("n"), chars.cast("bigint").alias("chars"))
+    none = F.array().cast("array<struct<start: int, n: int, chars: bigint>>")
+    start = F.struct(F.lit(0).cast("bigint").alias("chars"), F.lit(0).alias("at"), F.lit(0).alias("n"), none.alias("out"))
 
-    def step(acc: Column, n: Column) -> Column:
-        joins = (acc["seg"] > 0) & (acc["cur"] < ideal) & (acc["cur"] + n <= longest)
-        seg = F.when(joins, acc["seg"]).otherwise(acc["seg"] + 1)
-        return F.struct(F.when(joins, acc["cur"] + n).otherwise(n.cast("bigint")).alias("cur"), seg.alias("seg"), F.concat(acc["out"], F.array(seg)).alias("out"))
+    def step(acc: Column, length: Column) -> Column:
+        joins = (acc["n"] > 0) & (acc["chars"] < ideal) & (acc["chars"] + length <= longest)
+        ends = (acc["n"] > 0) & ~joins
+        out = F.when(ends, F.concat(acc["out"], F.array(segment(acc["at"], acc["n"], acc["chars"])))).otherwise(acc["out"])
+        return F.struct(
+            F.when(joins, acc["chars"] + length).otherwise(length.cast("bigint")).alias("chars"), F.when(ends, acc["at"] + acc["n"]).otherwise(acc["at"]).alias("at"), F.when(joins, acc["n"] + 1).otherwise(1).alias("n"), out.alias("out")
+        )
 
-    return F.aggregate(lengths, start, step, lambda acc: acc["out"])
+    return F.aggregate(lengths, start, step, lambda acc: F.when(acc["n"] > 0, F.concat(acc["out"], F.array(segment(acc["at"], acc["n"], acc["chars"])))).otherwise(none))
 
 
 def length_segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ideal: int = IDEAL, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
@@ -39,15 +45,26 @@ def length_segments(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     kept = F.filter(F.transform(paragraphs(text_col), lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda x: F.length(x["p"]) >= least)
     rows = docs.select(id_col, kept.alias("kept")).filter(F.size("kept") > 0)
-    rows = rows.withColumn("seg", merge_lengths(F.transform("kept", lambda x: F.length(x["p"])), ideal, longest))
-    member = F.filter(F.transform("kept", lambda x, i: F.struct(F.get("seg", i).alias("s"), x["i"].alias("i"), x["p"].alias("p"))), lambda m: m["s"] == F.col("segment_id"))
-    rows = rows.select(id_col, "kept", "seg", F.explode(F.sequence(F.lit(1), F.array_max("seg"))).alias("segment_id")).withColumn("m", member)
+    rows = rows.select(id_col, "kept", F.posexplode(merge_lengths(F.transform("kept", lambda x: F.length(x["p"])), ideal, longest)).alias("no", "s"))
+    rows = rows.select(id_col, (F.col("no") + 1).alias("segment_id"), "s", F.slice("kept", F.col("s.start") + 1, F.col("s.n")).alias("m"))
     return rows.select(
-        id_col, "segment_id", F.aggregate("m", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x["p"])).alias("char_count"), F.size("m").alias("n_paragraphs"),
+        id_col, "segment_id", F.col("s.chars").alias("char_count"), F.col("s.n").alias("n_paragraphs"),
         F.transform("m", lambda x: x["i"]).alias("original_indices"), F.array_join(F.transform("m", lambda x: x["p"]), " ").alias("content"),
     )
 
 
+def merge_lengths_of(lengths: list[int], ideal: int = IDEAL, longest: int = LONGEST) -> list[int]:
+    """``merge_lengths`` of plain numbers."""
+    out, seg, size = [], 0, 0
+    for n in lengths:
+        if seg and size < ideal and size + n <= longest:
+            size += n
+        else:
+            seg, size = seg + 1, n
+        out.append(seg)
+    return out
+
+
 def segment_stats(segments: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return segments.groupBy(id_col).agg(
         F.count("*").alias("segment_count"), F.sum("char_count").alias("total_chars"), F.avg("char_count").alias("average_chars"), F.min("char_count").alias("min_chars"), F.max("char_count").alias("max_chars"),

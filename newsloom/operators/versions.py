@@ -65,6 +65,23 @@ def long_versions(items: DataFrame, id_col: str, columns: tuple[str, ...]) -> Da
     return items.select(id_col, pairs).select(id_col, "v.version_id", "v.text").filter(F.col("text").isNotNull() & (strip("text") != ""))
 
 
+#: Kinds of entities that conflicts are made of. Fixed values.
+ENTITY_TYPES = ("PERSON", "ORG", "GPE", "DATE", "CARDINAL", "MONEY", "PERCENT")
+
+
+def usable_entities(entities: DataFrame, by: list[str], order: str, text: str = "text", label: str = "label") -> DataFrame:
+    """Entities of the seven kinds, each text and label once for ``by``: the first in ``order``. Others and empty ones are left out."""
+    known = entities.filter(F.col(label).isin(*ENTITY_TYPES) & (F.coalesce(F.col(text), F.lit("")) != ""))
+    rest = [c for c in entities.columns if c not in (*by, text, label)]
+    rows = known.groupBy(*by, text, label).agg(F.min_by(F.struct(*rest), order).alias("_r"))
+    return rows.select(*by, text, label, "_r.*")
+
+
+def conflict_totals(conflicts: DataFrame, by: list[str]) -> DataFrame:
+    """Conflicts and entities with conflicts of each group; an entity counts even if only one version has it, an empty one doesn't."""
+    return conflicts.groupBy(*by).agg(F.count("*").alias("total_conflicts"), F.countDistinct(F.nullif("entity_text", F.lit(""))).alias("entities_with_conflicts"))
+
+
 def shared_entities(entities: DataFrame, id_col: str = "id") -> DataFrame:
     """Entities of ``(id, version_id, text, label)`` that occur in all versions of their item: relational division by counts."""
     distinct = entities.select(id_col, "version_id", "text", "label").distinct()

@@ -17,6 +17,8 @@ VERSION_SCHEMA = T.StructType(
     + [T.StructField(c, T.ArrayType(ENTRY)) for c in ("rewrite_versions", "top_rewrites", "rewrites")]
 )
 
+FUSED_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "input_text", "fused_content", "rewritten_v1", "rewritten_v2", "rewritten_v3", "rewrite_1", "rewrite_2", "rewrite_3")])
+
 
 def read_news(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """News items of a JSON list or object (``lines``: one object a line); unreadable files give no rows.
@@ -43,6 +45,22 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return texts.select(F.lit("").alias("id"), "input_text", *[F.lit("").alias(f"rewritten_v{i}") for i in (1, 2, 3)])
 
 
+def read_list(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """Records of files whose root is a list; a file with another root, or none that can be read, gives no rows (``unreadable_files`` tells)."""
+    files = spark.read.text(path, wholetext=True).filter(F.col("value").rlike(r"^\s*\["))
+    records = files.select(F.explode(F.from_json("value", T.ArrayType(schema))).alias("r"))
+    return records.filter("r is not null").select("r.*")
+
+
+def unreadable_files(spark: SparkSession, path: str, lists_only: bool = False) -> DataFrame:
+    """``(file, reason)`` of files that give no records: ``not_json``, or ``not_a_list`` if only lists are taken."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    kind = F.when(F.try_parse_json("value").isNull(), "not_json")
+    if lists_only:
+        kind = kind.when(~F.col("value").rlike(r"^\s*\["), "not_a_list")
+    return files.select("file", kind.alias("reason")).filter("reason is not null")
+
+
 def articles(news: DataFrame) -> DataFrame:
     """Items with content, stripped."""
     from newsloom.functions.text import strip
@@ -64,6 +82,13 @@ def write_by_item(df: DataFrame, path: str, key: str) -> None:
     df.repartition(key).write.mode("overwrite").partitionBy(key).json(path)
 
 
+def write_results(results: DataFrame, summaries: DataFrame, trace: DataFrame, path: str, key: str) -> None:
+    """A result and a summary for each item, and the trace as a table of its own, so that nothing overwrites anything."""
+    write_by_item(results, f"{path}/result", key)
+    write_by_item(summaries, f"{path}/summary", key)
+    trace.write.mode("overwrite").json(f"{path}/trace")
+
+
 def head(df: DataFrame, n: int, order: str) -> DataFrame:
     """The first ``n`` items in a stated order; all of them if ``n`` isn't positive."""
     return df.orderBy(order).limit(n) if n > 0 else df
