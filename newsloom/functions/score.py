@@ -23,31 +23,49 @@ LEAST_CHARS = 25
 class Lexicon:
     """Terms and patterns of the decision list. Fixed values."""
 
-    keep: list[str] = field(default_factory=lambda: (
-        "地震 台风 洪水 火灾 灾害 灾难 灾情 受灾 防灾 减灾 应急 救援 疏散 避难 安全 防护 震级 震中 震源 余震 震感 震波 震度 "
-        "建筑 设施 结构 房屋 学校 医院 公园 避难所 损坏 倒塌 裂缝 倾斜 加固 整修 维护 修复 历史 文化 保护 遗产 古迹 文物 保存 "
-        "政府 部门 机构 组织 管理 规划 政策 措施 数据 统计 报告 分析 评估 监测 预警 预测 地区 城市 省份 县市 乡镇 街道 社区 "
-        "居民 民众 市民 村民 住户 家庭"
-    ).split())
+    keep: list[str] = field(default_factory=lambda: [
+        "地震", "台风", "洪水", "火灾", "灾害", "灾难", "灾情", "受灾", "防灾", "减灾", "应急", "救援", "疏散", "避难", "安全", "防护", "震级", "震中", "震源", "余震", "震感", "震波", "震度",
+        "建筑", "设施", "结构", "房屋", "学校", "医院", "公园", "避难所", "损坏", "倒塌", "裂缝", "倾斜", "加固", "整修", "维护", "修复", "历史", "文化", "保护", "遗产", "古迹", "文物", "保存",
+        "政府", "部门", "机构", "组织", "管理", "规划", "政策", "措施", "数据", "统计", "报告", "分析", "评估", "监测", "预警", "预测", "地区", "城市", "省份", "县市", "乡镇", "街道", "社区",
+        "居民", "民众", "市民", "村民", "住户", "家庭",
+    ])
     figures: str = r"[0-9]{4}年|[0-9]+(?:月|日|人|元|%|级|度|次)"
     places: str = r"[\p{L}\p{N}_](?:市|县|区|镇|村|街道|社区|学校|医院|公园|省|自治区|直辖市)"
-    says: list[str] = field(default_factory=lambda: "表示 说 称 透露 指出 强调 认为 介绍 说明 报道".split())
+    says: list[str] = field(default_factory=lambda: [
+        "表示", "说", "称", "透露", "指出", "强调", "认为", "介绍", "说明", "报道",
+    ])
     drop: str = (
         r"订阅.*电子报|请输入.*格式|感谢.*订阅|每天.*分钟.*掌握.*件|早安世界.*电子报|分钟掌握.*件天下事|点击.*链接|关注.*公众号|下载.*APP|注册.*账号|版权.*所有|免责.*声明|隐私.*政策|使用.*条款"
         r"|^请输入.*$|^点击.*$|^订阅.*$|^感谢.*$"
     )
-    critical: list[str] = field(default_factory=lambda: "订阅 电子报 请输入 电子信箱 感谢 早安世界 分钟掌握 天下事".split())
-    formal: list[str] = field(default_factory=lambda: "订阅 点击 输入 感谢 电子报 请输入".split())
-    important: list[str] = field(default_factory=lambda: (
-        "地震 台风 洪水 火灾 灾害 救援 疏散 避难 伤亡 损失 防灾 减灾 应急 安全 防护 预警 监测 评估 重建 修复 "
-        "建筑 设施 结构 损坏 倒塌 裂缝 倾斜 加固 整修 维护 历史 文化 保护 遗产 古迹 文物"
-    ).split())
-    urgent: list[str] = field(default_factory=lambda: "地震 台风 洪水 火灾 灾害 救援 疏散 避难 防灾 减灾 应急 安全 防护 预警".split())
-    times: list[str] = field(default_factory=lambda: "今天 昨日 昨天 近日 最近 目前 现在 当时 事发".split())
-    context_places: list[str] = field(default_factory=lambda: "地区 市 县 镇 村 街道 社区 学校 医院 商场".split())
-    context_says: list[str] = field(default_factory=lambda: "表示 说 称 透露 指出 强调 认为 介绍".split())
-    threshold_says: list[str] = field(default_factory=lambda: "表示 说 称 透露 指出 强调 认为 介绍 说明".split())
-    threshold_places: list[str] = field(default_factory=lambda: "市 县 区 镇 村 街道 社区 学校 医院 公园".split())
+    critical: list[str] = field(default_factory=lambda: [
+        "订阅", "电子报", "请输入", "电子信箱", "感谢", "早安世界", "分钟掌握", "天下事",
+    ])
+    formal: list[str] = field(default_factory=lambda: [
+        "订阅", "点击", "输入", "感谢", "电子报", "请输入",
+    ])
+    important: list[str] = field(default_factory=lambda: [
+        "地震", "台风", "洪水", "火灾", "灾害", "救援", "疏散", "避难", "伤亡", "损失", "防灾", "减灾", "应急", "安全", "防护", "预警", "监测", "评估", "重建", "修复", "建筑", "设施", "结构",
+        "损坏", "倒塌", "裂缝", "倾斜", "加固", "整修", "维护", "历史", "文化", "保护", "遗产", "古迹", "文物",
+    ])
+    urgent: list[str] = field(default_factory=lambda: [
+        "地震", "台风", "洪水", "火灾", "灾害", "救援", "疏散", "避难", "防灾", "减灾", "应急", "安全", "防护", "预警",
+    ])
+    times: list[str] = field(default_factory=lambda: [
+        "今天", "昨日", "昨天", "近日", "最近", "目前", "现在", "当时", "事发",
+    ])
+    context_places: list[str] = field(default_factory=lambda: [
+        "地区", "市", "县", "镇", "村", "街道", "社区", "学校", "医院", "商场",
+    ])
+    context_says: list[str] = field(default_factory=lambda: [
+        "表示", "说", "称", "透露", "指出", "强调", "认为", "介绍",
+    ])
+    threshold_says: list[str] = field(default_factory=lambda: [
+        "表示", "说", "称", "透露", "指出", "强调", "认为", "介绍", "说明",
+    ])
+    threshold_places: list[str] = field(default_factory=lambda: [
+        "市", "县", "区", "镇", "村", "街道", "社区", "学校", "医院", "公园",
+    ])
 
 
 def whitelisted(p: Column, lex: Lexicon, keywords: Column | None = None) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -9,6 +13,10 @@ from pyspark.sql import functions as F
 from newsloom.functions.text import col, strip, words
 
 
+#: Runs of letters, digits and underscores, as ``text.WORD`` has them; combining marks end a word.
+_TERM = re.compile(r"[^\W]+")
+
+
 def _dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -89,20 +97,30 @@ def levenshtein_long(a: Column | str, b: Column | str) -> Column:
     return F.when((strip(a) == "") | (strip(b) == ""), 0.0).when(a == b, 1.0).otherwise(1.0 - distance(a, b) / longest)
 
 
+def term_cosine(a: str, b: str) -> float:
+    """Cosine of word and word-pair weights of two texts; linear in their words."""
+    counts = []
+    for text in (a, b):
+        w = _TERM.findall(text.lower())
+        counts.append(Counter(w) + Counter(map(" ".join, zip(w, w[1:]))))
+    x, y = counts
+    alone = 1 + math.log(1.5)
+    square = lambda own, other: sum((n if t in other else n * alone) ** 2 for t, n in own.items())
+    norm = math.sqrt(square(x, y)) * math.sqrt(square(y, x))
+    return sum(n * y[t] for t, n in x.items() if t in y) / norm if norm else 0.0
+
+
 def tfidf(a: Column | str, b: Column | str) -> Column:
     """Cosine of word and word-pair weights in the two-text corpus, with smoothed inverse frequencies.
 
-    A term in both texts weighs 1, one in a single text 1 + ln(3/2). 0 if a text has no words.
+    A term in both texts weighs 1, one in a single text 1 + ln(3/2). 0 if a text has no words, null if one is null.
     """
-    grams = lambda w: F.concat(w, F.when(F.size(w) > 1, F.transform(F.slice(w, F.lit(1), F.size(w) - 1), lambda x, i: F.concat_ws(" ", x, F.get(w, i + 1)))).otherwise(F.array().cast("array<string>")))
-    x, y = grams(words(a)), grams(words(b))
-    count = lambda terms, t: F.size(F.filter(terms, lambda z: z == t)).cast("double")
-    dx, dy = F.array_distinct(x), F.array_distinct(y)
-    both = F.array_intersect(dx, dy)
-    square = lambda d, terms: F.aggregate(d, F.lit(0.0), lambda s, t: s + F.pow(count(terms, t) * F.when(F.array_contains(both, t), 1.0).otherwise(1.0 + F.log(F.lit(1.5))), 2))
-    dot = F.aggregate(both, F.lit(0.0), lambda s, t: s + count(x, t) * count(y, t))
-    norm = F.sqrt(square(dx, x)) * F.sqrt(square(dy, y))
-    return F.when(norm > 0, dot / norm).otherwise(0.0)
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or q is None else term_cosine(p, q) for p, q in zip(x, y)], dtype="float64")
+
+    return run(col(a), col(b))
 
 
 def verdict(mean: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,18 +150,28 @@ def holds_any(c: Column | str, lexicon: list[str]) -> Column:
     return out
 
 
+_BLANK_LINE = re.compile(r"\n[ \t\f\r]*\n")
+
+
 def blank_line_segments(c: Column | str) -> Column:
     """Segments between blank lines with character offsets, numbered in the stream of pieces, blank ones counted.
 
-    ``array<struct<segment_id, text, start_char, end_char>>``; the text is stripped, the offsets span the piece.
+    ``array<struct<segment_id, text, start_char, end_char>>``; the text is stripped, the offsets span the piece. Null
+    for null. One pass in Arrow batches, as offsets are running sums.
     """
-    pieces = F.split(col(c), r"\n[ \t\f\r]*\n")
-    seps = F.regexp_extract_all(col(c), F.lit(r"(\n[ \t\f\r]*\n)"), 1)
-    ends = F.transform(pieces, lambda p, i: F.aggregate(F.slice(F.transform(pieces, F.length), F.lit(1), i + 1), F.lit(0), lambda a, x: a + x) + F.aggregate(F.slice(F.transform(seps, F.length), F.lit(1), i), F.lit(0), lambda a, x: a + x))
-    rows = F.transform(
-        pieces,
-        lambda p, i: F.struct(
-            F.concat(F.lit("seg_"), F.lpad((i + 1).cast("string"), 3, "0")).alias("segment_id"), strip(p).alias("text"), (F.get(ends, i) - F.length(p)).alias("start_char"), F.get(ends, i).alias("end_char")
-        ),
-    )
-    return F.filter(rows, lambda r: r["text"] != "")
+
+    @F.pandas_udf("array<struct<segment_id: string, text: string, start_char: int, end_char: int>>")
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            rows, at = [], 0
+            for n, m in enumerate([*_BLANK_LINE.finditer(t or ""), None], 1):
+                end = m.start() if m else len(t or "")
+                piece = (t or "")[at:end].strip(SPACES)
+                if piece:
+                    rows.append({"segment_id": f"seg_{n:03d}", "text": piece, "start_char": at, "end_char": end})
+                at = m.end() if m else end
+            out.append(rows if t is not None else None)
+        return pd.Series(out)
+
+    return run(col(c))

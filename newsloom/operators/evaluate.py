@@ -100,6 +100,6 @@ def corpus_report(evaluated: DataFrame, by: list[str] | None = None) -> DataFram
     )
 
 
-def fusion_stats(fused: DataFrame) -> DataFrame:
+def fusion_stats(fused: DataFrame, by: list[str] | None = None) -> DataFrame:
     """How many items there are and how many got a fused text."""
-    return fused.agg(F.count("*").alias("total"), F.count_if(F.coalesce(F.col("fused_content") != "", F.lit(False))).alias("success"))
+    return fused.groupBy(*(by or [])).agg(F.count("*").alias("total"), F.count_if(F.coalesce(F.col("fused_content") != "", F.lit(False))).alias("success"))

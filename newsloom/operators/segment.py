@@ -107,24 +107,28 @@ def vector_segments(pieces: DataFrame, tau: float = 0.5, tau_low: float = 0.35,
     return pieces.select("doc", "ord", "char_count", "embedding").groupBy("doc").applyInPandas(run, "doc bigint, segment_id int, first_ord bigint, n_pieces bigint, char_count bigint")
 
 
-def min_max(value: Column, by: list[str]) -> Column:
-    """Value scaled to 0..1 within its group; 1 where all are equal."""
-    w = Window.partitionBy(*by)
-    low, high = F.min(value).over(w), F.max(value).over(w)
-    return F.when(F.abs(high - low) <= 1e-9 * F.greatest(F.abs(high), F.abs(low)), 1.0).otherwise((value - low) / (high - low))
+def min_max(values: Column) -> Column:
+    """The numbers of an array scaled to 0..1; 1 where all are equal."""
+    low, high = F.array_min(values), F.array_max(values)
+    equal = F.abs(high - low) <= 1e-9 * F.greatest(F.abs(high), F.abs(low))
+    return F.transform(values, lambda v: F.when(equal, 1.0).otherwise((v - low) / (high - low)))
 
 
 def key_sentences(docs: DataFrame, keywords: list[str], k: int = 2, id_col: str = "doc_id", text_col: str = "text", weights: tuple[float, float, float] = (0.3, 0.3, 0.4)) -> DataFrame:
-    """``(id, ord, sentence, score)`` of a text's ``k`` best sentences by length, position and keyword density; ties by position."""
-    rows = docs.select(id_col, F.posexplode(sentences(text_col)).alias("ord", "sentence")).select("*", words("sentence").alias("tokens"))
-    known = F.aggregate("tokens", F.lit(0), lambda n, t: n + F.when(t.isin(keywords), 1).otherwise(0))
-    density = F.when(F.size("tokens") > 0, known / F.size("tokens")).otherwise(0.0)
-    n = F.count("*").over(Window.partitionBy(id_col))
-    rows = rows.select(id_col, "ord", "sentence", F.length("sentence").cast("double").alias("len"), ((n - F.col("ord")) / n).alias("pos"), density.alias("kd"))
-    score = sum((min_max(F.col(c), [id_col]) * w for c, w in zip(("len", "pos", "kd"), weights)), F.lit(0.0))
-    rows = rows.select(id_col, "ord", "sentence", F.round(score, 9).alias("score"))
-    best = Window.partitionBy(id_col).orderBy(F.desc("score"), "ord")
-    return rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("rank")
+    """``(id, ord, sentence, score)`` of a text's ``k`` best sentences by length, position and keyword density; ties by position.
+
+    A text's sentences stay in its row, so nothing is shuffled; order by ``ord`` for the order of the text.
+    """
+    rows = docs.select(id_col, sentences(text_col).alias("u")).filter(F.size("u") > 0)
+    known = lambda tokens: F.size(F.filter(tokens, lambda t: t.isin(keywords)))
+    dense = F.transform(F.transform("u", words), lambda t: F.when(F.size(t) > 0, known(t) / F.size(t)).otherwise(0.0))
+    place = F.transform("u", lambda _, i: (F.size("u") - i) / F.size("u"))
+    rows = rows.select(id_col, "u", F.transform("u", lambda x: F.length(x).cast("double")).alias("a"), place.alias("b"), dense.alias("c"))
+    rows = rows.select(id_col, "u", *[min_max(F.col(c)).alias(c) for c in "abc"])
+    score = F.transform("a", lambda x, i: F.round(x * weights[0] + F.get("b", i) * weights[1] + F.get("c", i) * weights[2], 9))
+    best = F.slice(F.array_sort(F.transform(score, lambda x, i: F.struct((-x).alias("by"), i.alias("ord")))), 1, k)
+    rows = rows.select(id_col, "u", F.explode(best).alias("r"))
+    return rows.select(id_col, F.col("r.ord").alias("ord"), F.get("u", F.col("r.ord")).alias("sentence"), (-F.col("r.by")).alias("score"))
 
 
 def corpus_keywords(docs: DataFrame, k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,12 +15,12 @@ def first_filled(*cols: str) -> Column:
     return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in cols], F.lit(""))
 
 
-def normalise_versions(items: DataFrame) -> DataFrame:
+def normalise_versions(items: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(id, input_text, rewritten_v1..3)`` from items that carry any of the alternative fields.
 
     Precedence: direct versions (one that isn't null is enough), else the first three entries of the first list of
     rewrites that isn't empty, else those of ``top_rewrites``, else legacy fields. A list is taken whole: an empty
-    entry stays empty, whatever the other lists hold. Missing columns count as null.
+    entry stays empty, whatever the other lists hold. Missing columns count as null. ``keep`` names columns to carry along.
     """
     have = set(items.columns)
     pick = lambda *names: F.coalesce(*[F.nullif(F.col(n).cast("string"), F.lit("")) for n in names if n in have], F.lit(""))
@@ -34,10 +34,10 @@ def normalise_versions(items: DataFrame) -> DataFrame:
         if n in have:
             is_direct = is_direct | F.col(n).isNotNull()
     legacy = [pick("final_rewritten_text", "final_text"), pick("alt_rewrite_1"), pick("alt_rewrite_2")]
-    rows = items.select(pick("id", "news_id", "item_id").alias("id"), pick("input_text", "text", "original_text", "input").alias("input_text"), is_direct.alias("_direct"), first.alias("_first"), F.coalesce(top, none).alias("_top"), *[pick(v).alias(f"_d{i}") for i, v in enumerate(VERSIONS)], *[c.alias(f"_l{i}") for i, c in enumerate(legacy)])
+    rows = items.select(*keep, pick("id", "news_id", "item_id").alias("id"), pick("input_text", "text", "original_text", "input").alias("input_text"), is_direct.alias("_direct"), first.alias("_first"), F.coalesce(top, none).alias("_top"), *[pick(v).alias(f"_d{i}") for i, v in enumerate(VERSIONS)], *[c.alias(f"_l{i}") for i, c in enumerate(legacy)])
     at = lambda texts, i: F.coalesce(F.get(texts, F.lit(i)), F.lit(""))
     out = [F.when(F.col("_direct"), F.col(f"_d{i}")).when(filled(F.col("_first")), at("_first", i)).when(filled(F.col("_top")), at("_top", i)).otherwise(F.col(f"_l{i}")).alias(v) for i, v in enumerate(VERSIONS)]
-    return rows.select("id", "input_text", *out)
+    return rows.select(*keep, "id", "input_text", *out)
 
 
 def _entry_texts(items: DataFrame, name: str) -> Column:

@@ -144,7 +144,7 @@ def corpus_keywords(s, d):
 
 
 @query("""
-    WITH d AS (SELECT doc_id, regexp_extract_all(lower(title), '[\\p{L}\\p{N}_]+') AS w FROM documents WHERE title IS NOT NULL),
+    WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM documents WHERE text IS NOT NULL),
     c AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word FROM d) GROUP BY ALL),
     f AS (SELECT word, count(*) AS n_docs FROM c GROUP BY word), t AS (SELECT count(DISTINCT doc_id) AS total FROM documents),
     x AS (SELECT doc_id, word, round(n * ln((1 + total) / (1 + n_docs)), 6) AS weight FROM c JOIN f USING (word), t),
@@ -152,7 +152,7 @@ def corpus_keywords(s, d):
     SELECT doc_id, word, weight, CAST(rank AS INTEGER) AS rank FROM k WHERE rank <= 5
 """)
 def keyword_topk(s, d):
-    return G.document_keywords(docs(s, d), text_col="title")
+    return G.document_keywords(docs(s, d))
 
 
 _KEYWORDS = ["the", "of", "water", "from", "to", "relief", "survey"]
@@ -173,11 +173,25 @@ def key_sentences_topk(s, d):
     return G.key_sentences(docs(s, d).filter("text is not null"), _KEYWORDS).withColumn("score", F.round("score", 6))
 
 
-_NEWS_PAR = "par AS (SELECT DISTINCT id, content AS p FROM news_raw WHERE content IS NOT NULL)"
+_STOP = "[" + ", ".join(f"'{w}'" for w in sorted(S.STOP_WORDS)) + "]"
+_KEYS = rf"list_filter(list_distinct(regexp_extract_all(lower(coalesce({{0}}, '')), '[\p{{{{L}}}}\p{{{{N}}}}_]+')), lambda w: length(w) > 1 AND NOT list_contains({_STOP}, w))"
+_NEWS_PAR = f"""
+    news AS (SELECT DISTINCT id, title, main_topic, content, regexp_replace(content, '[ \\t]+', ' ', 'g') AS t FROM news_raw WHERE content IS NOT NULL),
+    steps AS (SELECT *, {_clean("string_split(t, chr(10) || chr(10))")} AS b, {_clean("string_split(t, chr(10))")} AS l, {_clean("[t]")} AS w FROM news),
+    parts AS (SELECT id, title, main_topic, CASE WHEN len(b) > 1 THEN b WHEN len(l) > 1 THEN l ELSE w END AS ps FROM steps),
+    par AS (SELECT id, title, main_topic, CAST(unnest(range(len(ps))) AS INTEGER) AS ord, unnest(ps) AS p FROM parts)
+"""
 
 
 def _news(s, d) -> DataFrame:
-    return table(s, d, "news_raw").select("id", F.col("content").alias("p")).filter("p is not null").distinct()
+    """The paragraphs of each article; repeated rows count once."""
+    n = table(s, d, "news_raw").select("id", "title", "main_topic", "content").filter("content is not null").distinct()
+    return n.select("id", "title", "main_topic", F.posexplode(X.paragraphs("content")).alias("ord", "p"))
+
+
+def _keys(c: str):
+    """Keywords of a text by its words alone: longer than a character and no function words."""
+    return F.filter(F.array_distinct(X.words(F.coalesce(c, F.lit("")))), lambda w: (F.length(w) > 1) & ~w.isin(sorted(S.STOP_WORDS)))
 
 
 def _context_sql() -> str:
@@ -205,37 +219,48 @@ def _drop_sql(c: str = "q") -> str:
     return f"(regexp_matches({c}, '{LEX.drop}') OR {_hits(c, LEX.critical)} >= 3 OR (length({c}) < 50 AND {_hits(c, LEX.formal)} > 0))"
 
 
-@query(f"WITH {_NEWS_PAR} SELECT id, round(CAST({_context_sql()} AS DOUBLE), 6) AS context_score, count(*) AS n FROM par GROUP BY ALL")
+@query(f"WITH {_NEWS_PAR} SELECT id, ord, round(CAST({_context_sql()} AS DOUBLE), 6) AS context_score FROM par")
 def context_relevance(s, d):
-    return _news(s, d).groupBy("id", F.round(S.context_relevance(F.col("p"), LEX), 6).alias("context_score")).agg(F.count("*").alias("n"))
+    return _news(s, d).select("id", "ord", F.round(S.context_relevance(F.col("p"), LEX), 6).alias("context_score"))
 
 
-@query(f"WITH {_NEWS_PAR} SELECT id, length(p) AS n_chars, round(CAST({_quality_sql()} AS DOUBLE), 6) AS quality FROM par")
+@query(f"WITH {_NEWS_PAR} SELECT id, ord, length(p) AS n_chars, round(CAST({_quality_sql()} AS DOUBLE), 6) AS quality FROM par")
 def paragraph_quality(s, d):
-    return _news(s, d).select("id", F.length("p").cast("bigint").alias("n_chars"), F.round(S.content_quality(F.col("p")), 6).alias("quality"))
+    return _news(s, d).select("id", "ord", F.length("p").cast("bigint").alias("n_chars"), F.round(S.content_quality(F.col("p")), 6).alias("quality"))
 
 
-@query(f"WITH {_NEWS_PAR} SELECT id, length(p) AS n_chars, round(CAST({_threshold_sql()} AS DOUBLE), 6) AS threshold FROM par")
+@query(f"WITH {_NEWS_PAR} SELECT id, ord, length(p) AS n_chars, round(CAST({_threshold_sql()} AS DOUBLE), 6) AS threshold FROM par")
 def dynamic_threshold(s, d):
-    return _news(s, d).select("id", F.length("p").cast("bigint").alias("n_chars"), F.round(S.threshold(F.col("p"), LEX), 6).alias("threshold"))
+    return _news(s, d).select("id", "ord", F.length("p").cast("bigint").alias("n_chars"), F.round(S.threshold(F.col("p"), LEX), 6).alias("threshold"))
 
 
-@query(f"WITH {_NEWS_PAR}, b AS (SELECT id, p, {_strip('p')} AS q FROM par) SELECT id, length(p) AS n_chars, {_keep_sql()} AS whitelisted, {_drop_sql()} AS blacklisted FROM b")
+@query(f"WITH {_NEWS_PAR}, b AS (SELECT id, ord, p, {_strip('p')} AS q FROM par) SELECT id, ord, length(p) AS n_chars, {_keep_sql()} AS whitelisted, {_drop_sql()} AS blacklisted FROM b")
 def blacklist_flags(s, d):
     p = F.col("p")
-    return _news(s, d).select("id", F.length("p").cast("bigint").alias("n_chars"), S.whitelisted(p, LEX).alias("whitelisted"), S.blacklisted(p, LEX).alias("blacklisted"))
+    return _news(s, d).select("id", "ord", F.length("p").cast("bigint").alias("n_chars"), S.whitelisted(p, LEX).alias("whitelisted"), S.blacklisted(p, LEX).alias("blacklisted"))
+
+
+_SHARE = "CASE WHEN len({0}) > 0 THEN len(list_intersect(own, {0})) / greatest(len(own), 1) ELSE 0.0 END"
+_ALIKE = "CASE WHEN len(list_distinct(list_concat(ws, {0}))) = 0 THEN 0.0 ELSE len(list_intersect(ws, {0})) / len(list_distinct(list_concat(ws, {0}))) END"
+_WORDS = r"list_distinct(regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}_]+'))"
 
 
 @query(f"""
-    WITH {_NEWS_PAR}, b AS (SELECT id, p, {_strip('p')} AS q, round(CAST(0.25 * {_context_sql()} + 0.15 * {_quality_sql()} AS DOUBLE), 9) AS score, round(CAST({_threshold_sql()} AS DOUBLE), 9) AS thr FROM par)
-    SELECT id, length(p) AS n_chars, CASE WHEN length(p) < 25 THEN 'short' WHEN {_keep_sql()} THEN 'keep' WHEN {_drop_sql()} THEN 'blacklist' WHEN score < thr THEN 'irrelevant' ELSE 'keep' END AS decision FROM b
+    WITH {_NEWS_PAR}, w AS (SELECT *, {_strip('p')} AS q, {_KEYS.format('p')} AS own, {_KEYS.format('title')} AS kt, {_KEYS.format('main_topic')} AS km, {_WORDS.format('p')} AS ws, {_WORDS.format('title')} AS wt, {_WORDS.format('main_topic')} AS wm FROM par),
+    b AS (SELECT *, greatest({_ALIKE.format('wt')}, {_ALIKE.format('wm')}) AS sim, least({_SHARE.format('kt')} * 0.4 + {_SHARE.format('km')} * 0.3 + least({_hits('p', LEX.important)} * 0.08, 0.4), 1.0) AS kw FROM w),
+    c AS (SELECT *, round(CAST(0.25 * sim + 0.35 * kw + 0.25 * {_context_sql()} + 0.15 * {_quality_sql()} AS DOUBLE), 9) AS score, round(CAST({_threshold_sql()} AS DOUBLE), 9) AS thr, len(list_filter(list_concat(kt, km), lambda k: contains(p, k))) > 0 AS named FROM b)
+    SELECT id, ord, round(score, 6) AS score, CASE WHEN length(p) < 25 THEN 'short' WHEN named OR {_keep_sql()} THEN 'keep' WHEN {_drop_sql()} THEN 'blacklist' WHEN score < thr THEN 'irrelevant' ELSE 'keep' END AS decision FROM c
 """)
 def relevance_decision(s, d):
-    p = F.col("p")
-    zero = F.lit(0.0)
-    score = F.round(S.confidence(zero, zero, S.context_relevance(p, LEX), S.content_quality(p)), 9)
-    kept = F.when(F.length(p) < S.LEAST_CHARS, "short").when(S.whitelisted(p, LEX), "keep").when(S.blacklisted(p, LEX), "blacklist").when(score < F.round(S.threshold(p, LEX), 9), "irrelevant").otherwise("keep")
-    return _news(s, d).select("id", F.length("p").cast("bigint").alias("n_chars"), kept.alias("decision"))
+    """The decision list on every paragraph; shared words stand in for the embedder, so that both engines can compute it."""
+    p, wt, wm = F.col("p"), similarity.word_set(F.coalesce("title", F.lit(""))), similarity.word_set(F.coalesce("main_topic", F.lit("")))
+    rows = _news(s, d).select("*", _keys("p").alias("own"), _keys("title").alias("kt"), _keys("main_topic").alias("km"), similarity.word_set("p").alias("ws"), wt.alias("wt"), wm.alias("wm"))
+    sim = F.greatest(similarity.jaccard_sets("ws", "wt"), similarity.jaccard_sets("ws", "wm"))
+    kw = S.keyword_relevance(p, F.col("own"), F.col("kt"), F.col("km"), LEX)
+    score = F.round(S.confidence(sim, kw, S.context_relevance(p, LEX), S.content_quality(p)), 9)
+    named = S.whitelisted(p, LEX, F.concat("kt", "km"))
+    kept = F.when(F.length(p) < S.LEAST_CHARS, "short").when(named, "keep").when(S.blacklisted(p, LEX), "blacklist").when(F.col("score") < F.round(S.threshold(p, LEX), 9), "irrelevant").otherwise("keep")
+    return rows.withColumn("score", score).select("id", "ord", F.round("score", 6).alias("score"), kept.alias("decision"))
 
 
 def _filled(c: str) -> str:
@@ -274,19 +299,6 @@ def jaccard_versions(s, d):
     return _word_sets(s, d).select("fused_id", "version_id", F.round(similarity.jaccard_sets("x", "y"), 6).alias("jaccard"))
 
 
-_ASCII = r"regexp_replace({0}, '[^ -~]', '', 'g')[1:300]"
-
-
-@query(rf"""
-    WITH {_PAIRS}, c AS (SELECT fused_id, version_id, {_ASCII.format('a')} AS a, {_ASCII.format('b')} AS b FROM pair)
-    SELECT fused_id, version_id, round(CASE WHEN trim(a) = '' OR trim(b) = '' THEN 0.0 WHEN a = b THEN 1.0 ELSE 1.0 - levenshtein(a, b) / greatest(length(a), length(b)) END, 6) AS similarity FROM c
-""")
-def levenshtein_versions(s, d):
-    plain = lambda c: F.substring(F.regexp_replace(c, "[^ -~]", ""), 1, 300)
-    rows = _version_pairs(s, d).select("fused_id", "version_id", plain("a").alias("a"), plain("b").alias("b"))
-    return rows.select("fused_id", "version_id", F.round(similarity.levenshtein("a", "b"), 6).alias("similarity"))
-
-
 @query()
 def levenshtein_texts(s, d):
     """Edit similarity of the whole texts in any script; DuckDB's levenshtein counts bytes, so there is no SQL."""
@@ -294,20 +306,6 @@ def levenshtein_texts(s, d):
     return _version_pairs(s, d).select("fused_id", "version_id", F.round(similarity.levenshtein_long("a", "b"), 6).alias("similarity"))
 
 
-@query(r"""
-    WITH p AS (SELECT id, title AS a, main_topic AS b, seendate FROM (SELECT DISTINCT id, title, main_topic, seendate FROM news_raw) WHERE title IS NOT NULL AND main_topic IS NOT NULL),
-    w AS (SELECT *, regexp_extract_all(lower(a), '[\p{L}\p{N}_]+') AS wa, regexp_extract_all(lower(b), '[\p{L}\p{N}_]+') AS wb FROM p),
-    g AS (SELECT id, seendate, list_concat(wa, list_transform(range(1, len(wa)), lambda i: wa[i] || ' ' || wa[i + 1])) AS x, list_concat(wb, list_transform(range(1, len(wb)), lambda i: wb[i] || ' ' || wb[i + 1])) AS y FROM w),
-    t AS (SELECT id, seendate, 0 AS side, unnest(x) AS term FROM g UNION ALL SELECT id, seendate, 1, unnest(y) FROM g),
-    c AS (SELECT id, seendate, term, count(*) FILTER (side = 0) AS na, count(*) FILTER (side = 1) AS nb FROM t GROUP BY ALL),
-    s AS (SELECT id, seendate, sum(na * nb) AS dot, sum(CASE WHEN na > 0 THEN (na * CASE WHEN nb > 0 THEN 1 ELSE 1 + ln(1.5) END) ** 2 ELSE 0 END) AS qa, sum(CASE WHEN nb > 0 THEN (nb * CASE WHEN na > 0 THEN 1 ELSE 1 + ln(1.5) END) ** 2 ELSE 0 END) AS qb FROM c GROUP BY ALL)
-    SELECT g.id, g.seendate, round(coalesce(CASE WHEN qa * qb > 0 THEN dot / (sqrt(qa) * sqrt(qb)) ELSE 0 END, 0), 6) AS tfidf FROM g LEFT JOIN s USING (id, seendate)
-""")
-def tfidf_similarity(s, d):
-    n = table(s, d, "news_raw").select("id", "title", "main_topic", "seendate").distinct().filter("title is not null and main_topic is not null")
-    return n.select("id", "seendate", F.round(similarity.tfidf("title", "main_topic"), 6).alias("tfidf"))
-
-
 @query("SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
 def cosine_pairs(s, d):
     e = table(s, d, "embeddings")
@@ -315,15 +313,43 @@ def cosine_pairs(s, d):
     return e.join(nxt, "vec_id").select("vec_id", F.round(similarity.cosine("embedding", "other"), 6).alias("cosine"))
 
 
+_GRAMS = "list_concat({0}, list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
+_CANDIDATES = f"""
+    item AS (SELECT * FROM fused_news WHERE {_strip("coalesce(fused_content, '')")} <> '' AND {_strip("coalesce(input_text, '')")} <> ''),
+    cand AS (SELECT fused_id, v AS version_id, fused_content AS a, t AS b FROM (SELECT fused_id, fused_content, unnest(['original', 'rewritten_v1', 'rewritten_v2', 'rewritten_v3']) AS v, unnest([input_text, rewritten_v1, rewritten_v2, rewritten_v3]) AS t FROM item) WHERE {_strip("coalesce(t, '')")} <> ''),
+    words AS (SELECT *, regexp_extract_all(lower(a), '[\\p{{L}}\\p{{N}}_]+') AS wa, regexp_extract_all(lower(b), '[\\p{{L}}\\p{{N}}_]+') AS wb FROM cand),
+    terms AS (SELECT fused_id, version_id, 0 AS side, unnest({_GRAMS.format('wa')}) AS term FROM words UNION ALL SELECT fused_id, version_id, 1, unnest({_GRAMS.format('wb')}) FROM words),
+    counts AS (SELECT fused_id, version_id, term, count(*) FILTER (side = 0) AS na, count(*) FILTER (side = 1) AS nb FROM terms GROUP BY ALL),
+    sums AS (SELECT fused_id, version_id, sum(na * nb) AS dot, sum(CASE WHEN na > 0 THEN (na * CASE WHEN nb > 0 THEN 1 ELSE 1 + ln(1.5) END) ** 2 ELSE 0 END) AS qa, sum(CASE WHEN nb > 0 THEN (nb * CASE WHEN na > 0 THEN 1 ELSE 1 + ln(1.5) END) ** 2 ELSE 0 END) AS qb FROM counts GROUP BY ALL),
+    scored AS (
+      SELECT w.fused_id, w.version_id, coalesce(CASE WHEN qa * qb > 0 THEN dot / (sqrt(qa) * sqrt(qb)) ELSE 0 END, 0) AS tfidf,
+        CASE WHEN len(list_distinct(list_concat(wa, wb))) = 0 THEN 0.0 ELSE len(list_intersect(list_distinct(wa), list_distinct(wb))) / len(list_distinct(list_concat(wa, wb))) END AS jaccard
+      FROM words w LEFT JOIN sums USING (fused_id, version_id)
+    )
+"""
+
+
+def _scored(s, d) -> DataFrame:
+    rows = E.candidates(table(s, d, "fused_news"), "fused_id")
+    return rows.select("fused_id", "version_id", similarity.tfidf("fused", "text").alias("tfidf"), similarity.jaccard("fused", "text").alias("jaccard"))
+
+
+@query(f"WITH {_CANDIDATES} SELECT fused_id, version_id, round(tfidf, 6) AS tfidf FROM scored")
+def tfidf_similarity(s, d):
+    small_batches(s)
+    return _scored(s, d).select("fused_id", "version_id", F.round("tfidf", 6).alias("tfidf"))
+
+
 @query(f"""
-    WITH {_PAIRS}, w AS (SELECT *, {_SETS.format('a')} AS x, {_SETS.format('b')} AS y FROM pair), j AS (SELECT fused_id, version_id, {_JACCARD} AS j FROM w),
-    m AS (SELECT fused_id, round(avg(j), 9) AS m, round(var_pop(j), 9) AS v FROM j GROUP BY fused_id)
-    SELECT fused_id, round(m, 6) AS mean_similarity, v > 0.1 AS methods_differ, CASE WHEN m >= 0.8 THEN 'high' WHEN m >= 0.6 THEN 'medium' WHEN m >= 0.4 THEN 'low' ELSE 'very low' END AS verdict FROM m
+    WITH {_CANDIDATES}, m AS (SELECT fused_id, avg(tfidf) AS t, avg(jaccard) AS j, max(tfidf) FILTER (version_id = 'original') AS o FROM scored GROUP BY fused_id)
+    SELECT fused_id, round(t, 6) AS tfidf, round(j, 6) AS jaccard, round(((t - j) / 2) ** 2, 9) > 0.1 AS methods_differ,
+      CASE WHEN round(t, 9) >= 0.8 THEN 'high' WHEN round(t, 9) >= 0.6 THEN 'medium' WHEN round(t, 9) >= 0.4 THEN 'low' ELSE 'very low' END AS verdict, coalesce(round(o, 9) < 0.5, false) AS original_low FROM m
 """)
-def similarity_verdict(s, d):
-    j = _word_sets(s, d).select("fused_id", similarity.jaccard_sets("x", "y").alias("j"))
-    m = j.groupBy("fused_id").agg(F.round(F.avg("j"), 9).alias("m"), F.round(F.var_pop("j"), 9).alias("v"))
-    return m.select("fused_id", F.round("m", 6).alias("mean_similarity"), (F.col("v") > 0.1).alias("methods_differ"), similarity.verdict(F.col("m")).alias("verdict"))
+def similarity_by_method(s, d):
+    """Means by method over the candidates and the variance of the means, for the two methods that both engines have."""
+    small_batches(s)
+    m = E.method_means(_scored(s, d), "fused_id", ["tfidf", "jaccard"], "tfidf")
+    return m.select("fused_id", F.round("tfidf", 6).alias("tfidf"), F.round("jaccard", 6).alias("jaccard"), "methods_differ", "verdict", "original_low")
 
 
 _CONFLICTS = """
@@ -495,8 +521,7 @@ def evaluation_report(s, d):
 
 @query("SELECT fusion_method, count(*) AS total, count(*) FILTER (fused_content <> '') AS success FROM fused_news GROUP BY fusion_method")
 def fusion_stats(s, d):
-    f = table(s, d, "fused_news")
-    return f.groupBy("fusion_method").agg(F.count("*").alias("total"), F.count_if(F.coalesce(F.col("fused_content") != "", F.lit(False))).alias("success"))
+    return E.fusion_stats(table(s, d, "fused_news"), ["fusion_method"])
 
 
 @query("SELECT event_id, props AS json, '' AS reason FROM events WHERE props IS NOT NULL")
