@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,9 +62,10 @@ WHOLE_FACTOR = inner_factor(0.975, REWEIGHT)
 def units_of(text: str) -> tuple[list[str] | str, bool]:
     """(units, dense): words in lower case, or the characters themselves where scripts without spaces prevail."""
     low = text.lower()
-    dense = _DROP.sub("", low)
-    if 3 * len(_DENSE.findall(dense)) > len(dense):
-        return dense, True
+    if not low.isascii():
+        dense = _DROP.sub("", low)
+        if 3 * len(_DENSE.findall(dense)) > len(dense):
+            return dense, True
     return _WORD.findall(low), False
 
 
@@ -91,16 +93,30 @@ def repeated(text: str) -> tuple[int, int]:
     return marked, total
 
 
+_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)
+
+
+def used_before(letters: str, n: int) -> float:
+    """Share of the groups of ``n`` characters that occurred before, by 64-bit sums."""
+    m = len(letters) - n + 1
+    if m < 1:
+        return 0.0
+    codes = np.frombuffer(letters.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    h = codes[:m] * np.uint64(_MULTIPLIERS[0])
+    for i in range(1, n):
+        h += codes[i : m + i] * np.uint64(_MULTIPLIERS[i])
+    h.sort()
+    return float(np.count_nonzero(h[1:] == h[:-1])) / m
+
+
 def vector(text: str) -> tuple[float, ...]:
     """The statistics of a text, transformed; a text without letters has zeros."""
     units, dense = units_of(text)
     letters, n = (units, 2) if dense else ("".join(units), 5)
-    m = len(letters) - n + 1
     words = 1 - len(set(units)) / len(units) if units else 0.0
-    groups = 1 - len({letters[i : i + n] for i in range(m)}) / m if m > 0 else 0.0
     raw = text.encode("utf-8", "surrogatepass")
     smaller = 1 - min(len(zlib.compress(raw, 1)) / len(raw), 1.0) if raw else 0.0
-    return (*(math.asin(math.sqrt(x)) for x in (words, groups, smaller)), math.log1p(len(letters)))
+    return (*(math.asin(math.sqrt(x)) for x in (words, used_before(letters, n), smaller)), math.log1p(len(letters)))
 
 
 VECTOR_SCHEMA = "field_name string, row_id bigint, lang string, source string, " + ", ".join(f"x{i} double" for i in range(DIMS))
@@ -237,31 +253,46 @@ def scored(texts: DataFrame, every: bool = True) -> DataFrame:
     """
     small_batches(texts.sparkSession)
     model = fit(cut(vectors(texts), "vectors"))
+
+    @F.pandas_udf("binary")
+    def packed(mean: pd.Series, precision: pd.Series) -> pd.Series:
+        return pd.Series([np.concatenate([m, p]).astype("<f8").tobytes() for m, p in zip(mean, precision)])
+
+    model = cut(model.select(*KEYS, packed("mean", "precision").alias("m")), "packed")
     row = model.filter(F.col("lang") == ALL).take(1)
-    overall = (row[0]["mean"], row[0]["precision"]) if row else None
+    overall = bytes(row[0]["m"]) if row else None
+    names = [c.split()[0] for c in SCORE_SCHEMA.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
+
+        def estimate(m: bytes) -> tuple[np.ndarray, np.ndarray]:
+            if m not in known:
+                values = np.frombuffer(m, dtype="<f8")
+                known[m] = values[:DIMS], values[DIMS:].reshape(DIMS, DIMS)
+            return known[m]
+
+        for batch in batches:
             rows = []
-            for field, row_id, lang, source, text, *models in pdf.itertuples(index=False):
-                x = np.array(vector(text))
+            for field, row_id, lang, source, text, own, wider in zip(*(c.to_pylist() for c in batch.columns)):
                 largest, rejected = None, True
-                estimates = [(m, p) for m, p in zip(models[::2], models[1::2]) if m is not None] or ([overall] if overall else [])
+                estimates = [m for m in (own, wider) if m is not None] or ([overall] if overall else [])
                 if estimates:
-                    d = [x - np.asarray(m) for m, _ in estimates]
-                    d2 = [float(y @ np.asarray(p).reshape(DIMS, DIMS) @ y) for y, (_, p) in zip(d, estimates)]
+                    x = np.array(vector(text))
+                    d = [(x - mean, precision) for mean, precision in map(estimate, estimates)]
+                    d2 = [float(y @ precision @ y) for y, precision in d]
                     largest = max(d2)
-                    rejected = any(v > CUTOFF and (y[:SIGNS] > 0).any() for v, y in zip(d2, d))
+                    rejected = any(v > CUTOFF and (y[:SIGNS] > 0).any() for v, (y, _) in zip(d2, d))
                 if rejected or every:
                     marked, total = repeated(text)
                     rows.append((field, row_id, lang, source, total, marked, marked / total if total else 0.0, largest, rejected))
-            out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCORE_SCHEMA.split(", ")])
-            yield out.astype({"distance2": "Float64"})
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    by_lang = model.filter(F.col("source") == ALL).select("lang", F.col("mean").alias("mean2"), F.col("precision").alias("precision2"))
+    by_lang = model.filter(F.col("source") == ALL).select("lang", F.col("m").alias("wider"))
     judged = prepared(texts).join(model, KEYS, "left").join(by_lang, "lang", "left")
-    rows = judged.select("field_name", "row_id", *KEYS, "text", "mean", "precision", "mean2", "precision2").mapInPandas(run, SCORE_SCHEMA)
-    rest = [c.split()[0] for c in SCORE_SCHEMA.split(", ")][2:]
+    rows = judged.select("field_name", "row_id", *KEYS, "text", "m", "wider").mapInArrow(run, SCORE_SCHEMA)
+    rest = names[2:]
     once = rows.groupBy("field_name", "row_id").agg(F.max(F.struct("share", *[c for c in rest if c != "share"])).alias("r"))
     return once.select("field_name", "row_id", *[F.col("r")[c].alias(c) for c in rest])
 
