@@ -308,6 +308,20 @@ def news_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fused.unionByName(rewrites)
 
 
+def exact_shares(texts: DataFrame) -> DataFrame:
+    """``(field_name, row_id, n_chars, repeated_chars)`` of every text, without any estimate; of rows of one key the largest counts."""
+    small_batches(texts.sparkSession)
+    schema = "field_name string, row_id bigint, n_chars bigint, repeated_chars bigint"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [repeated(t) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([n for _, n in got], pa.int64()), pa.array([m for m, _ in got], pa.int64())], names=["field_name", "row_id", "n_chars", "repeated_chars"])
+
+    rows = prepared(texts).select("field_name", F.col("row_id").cast("bigint"), "text").mapInArrow(run, schema)
+    return rows.groupBy("field_name", "row_id").agg(F.max("n_chars").alias("n_chars"), F.max("repeated_chars").alias("repeated_chars"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetitive(news_texts(spark, sf_dir)).select("field_name", "row_id")
 
@@ -322,4 +336,27 @@ def p6_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_shares(spark, sf_dir).groupBy("field_name", "lang", "source").agg(F.count("*").alias("n_texts"), F.count_if("rejected").alias("n_rejected"), F.avg("share").alias("mean_share"))
 
 
-QUERIES = {"p6_found": p6_found, "p6_shares": p6_shares, "p6_by_source": p6_by_source}
+def p6_exact_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_shares(news_texts(spark, sf_dir))
+
+
+QUERIES = {"p6_found": p6_found, "p6_shares": p6_shares, "p6_exact_shares": p6_exact_shares, "p6_by_source": p6_by_source}
+
+#: The definition of repeated content in SQL, phrase by phrase.
+SQL = {
+    "p6_exact_shares": r"""
+    WITH text AS (
+      SELECT DISTINCT 'fused_content' AS field_name, fused_id AS row_id, fused_content AS t FROM fused_news
+      UNION SELECT DISTINCT 'final_rewritten_text', rewrite_id, final_rewritten_text FROM top_rewrites
+    ), low AS (SELECT field_name, row_id, lower(t) AS l, regexp_replace(lower(t), '[\s\p{Z}\x{85}\p{Nd}]+', '', 'g') AS d FROM text WHERE regexp_matches(t, '[^\s\p{Z}\x{85}]')),
+    kind AS (SELECT *, 3 * length(regexp_replace(d, '[^\x{3040}-\x{30ff}\x{3400}-\x{9fff}\x{f900}-\x{faff}\x{0e00}-\x{0e7f}]', '', 'g')) > length(d) AS dense FROM low),
+    unit AS (SELECT field_name, row_id, CASE WHEN dense THEN 10 ELSE 5 END AS n, CASE WHEN dense THEN string_split(d, '') ELSE regexp_extract_all(l, '[^\s\p{Z}\x{85}\p{Nd}!-/:-@\[-`{-~\x{a1}-\x{bf}\x{2010}-\x{205e}\x{0964}\x{060c}\x{061b}\x{061f}\x{06d4}\x{3000}-\x{303f}\x{ff01}-\x{ff20}\x{ff3b}-\x{ff40}\x{ff5b}-\x{ff65}]+') END AS u FROM kind),
+    size AS (SELECT field_name, row_id, coalesce(list_sum(list_transform(u, lambda x: length(x))), 0) AS n_chars FROM unit),
+    gram AS (SELECT field_name, row_id, n, u, unnest(range(1, len(u) - n + 2)) AS i FROM unit WHERE len(u) >= n),
+    keyed AS (SELECT field_name, row_id, n, u, i, array_to_string(u[i:i + n - 1], ' ') AS g FROM gram),
+    again AS (SELECT *, row_number() OVER (PARTITION BY field_name, row_id, g ORDER BY i) > 1 AS seen FROM keyed),
+    mark AS (SELECT DISTINCT field_name, row_id, p, length(u[p]) AS c FROM (SELECT field_name, row_id, u, unnest(range(i, i + n)) AS p FROM again WHERE seen)),
+    total AS (SELECT field_name, row_id, sum(c) AS c FROM mark GROUP BY ALL)
+    SELECT s.field_name, s.row_id, max(CAST(s.n_chars AS BIGINT)) AS n_chars, max(CAST(coalesce(c, 0) AS BIGINT)) AS repeated_chars FROM size s LEFT JOIN total USING (field_name, row_id) GROUP BY ALL
+""",
+}

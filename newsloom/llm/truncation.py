@@ -250,3 +250,21 @@ def p4_spikes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p4_found": p4_found, "p4_by_source": p4_by_source, "p4_spikes": p4_spikes}
+
+#: The histogram test in SQL.
+SQL = {
+    "p4_spikes": rf"""
+    WITH val AS (
+      SELECT 'injected_text' AS field_name, injection_id AS row_id, any_value(source) AS source, any_value(injected_text) AS t FROM injected_versions WHERE injected_text IS NOT NULL GROUP BY injection_id
+      UNION ALL SELECT 'fused_content', fused_id, any_value(source), any_value(fused_content) FROM fused_news WHERE fused_content IS NOT NULL GROUP BY fused_id
+      UNION ALL SELECT 'raw_alignment', aligned_id, any_value(source), any_value(raw_alignment) FROM aligned_news WHERE raw_alignment IS NOT NULL GROUP BY aligned_id
+    ), one AS (SELECT field_name, lower(source) AS source, unnest(['chars', 'bytes']) AS unit, unnest([length(t), strlen(t)]) AS size FROM val WHERE regexp_matches(t, '[^\s\p{{Z}}\x{{85}}]')),
+    h AS (SELECT field_name, source, unit, size, count(*) AS n FROM one GROUP BY ALL),
+    w AS (
+      SELECT *, sum(n) OVER (g ORDER BY size RANGE BETWEEN {NEIGHBOURS} PRECEDING AND {NEIGHBOURS} FOLLOWING) AS around, sum(n) OVER (g ORDER BY size RANGE BETWEEN {SLACK} PRECEDING AND {SLACK} FOLLOWING) AS at_edge,
+        sum(n) OVER (g ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS up, sum(n) OVER (g) AS n_total, max(size) OVER (g) - min(size) OVER (g) + 1 AS span FROM h WINDOW g AS (PARTITION BY field_name, source, unit)
+    ), m AS (SELECT *, greatest((around - at_edge) / {2.0 * (NEIGHBOURS - SLACK)}, (n_total - at_edge) / span, 0.001) AS mean, CAST(n - 1 AS DOUBLE) AS k FROM w)
+    SELECT field_name, source, unit, CAST(size AS INTEGER) AS size, n, CAST(n_total AS BIGINT) AS n_total FROM m
+    WHERE (CASE WHEN k > mean THEN k - mean + k * ln(mean / greatest(k, 1e-9)) ELSE 0 END) < ln({CHANCE}) AND (up - n) / n_total <= greatest({BEYOND}, n / n_total)
+""",
+}
