@@ -50,7 +50,7 @@ def main(argv: list[str] | None = None) -> int:
     elif a.stage == "evaluate":
         out = stages.evaluate_items(io.head(io.read_list(spark, a.input, io.FUSED_SCHEMA), a.sample, "id"), model, HashEmbedder())
     else:
-        items = io.head(io.read_versions(spark, a.input), a.sample, "id")
+        items = io.head(io.read_items(spark, a.input), a.sample, "id")
         if a.stage.startswith("inject"):
             out = stages.inject(long_versions(items, "id", VERSIONS), model, PatternEntities(), a.stage == "inject-shared")
         else:

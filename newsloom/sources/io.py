@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newsloom.operators.nested import parse
 from newsloom.operators.versions import normalise_versions
 
 NEWS_SCHEMA = T.StructType(
@@ -33,6 +37,57 @@ def read_versions(spark: SparkSession, path: str, lines: bool = False) -> DataFr
     return normalise_versions(spark.read.schema(VERSION_SCHEMA).option("mode", "DROPMALFORMED").json(path, multiLine=not lines))
 
 
+#: Fields that tell a record, and those that tell a list of records, when the root of a file is looked at.
+_RECORD = ("rewrite_versions", "top_rewrites", "rewrites", "rewritten_v1")
+_LISTED = ("rewrite_versions", "top_rewrites", "rewritten_v1", "input_text", "id")
+_ENTRY_TEXT = ("final_rewritten_text", "final_text", "text", "content", "summary")
+_PLAIN = [f.name for f in VERSION_SCHEMA.fields if f.dataType == T.StringType()]
+_LISTS = ("rewrite_versions", "top_rewrites", "rewrites")
+
+
+def records_of(data) -> list:
+    """The records of a parsed file: the elements of a list; an object that is a record; else its first list of records; else the object."""
+    if isinstance(data, list):
+        return data
+    if not isinstance(data, dict):
+        return []
+    if not any(k in data for k in _RECORD):
+        for v in data.values():
+            if isinstance(v, list) and v and isinstance(v[0], dict) and any(k in v[0] for k in _LISTED):
+                return [x for x in v if isinstance(x, dict)]
+    return [data]
+
+
+def _entry(e) -> str:
+    if isinstance(e, dict):
+        return next((e[k] for k in _ENTRY_TEXT if isinstance(e.get(k), str) and e[k]), "")
+    return e if isinstance(e, str) else ""
+
+
+def read_items(spark: SparkSession, path: str) -> DataFrame:
+    """Items with versions of files in any of the shapes that ``records_of`` knows, as ``(id, input_text, rewritten_v1..3)``.
+
+    An element of a list that is a text is an item with that input text, one of another kind an empty item. A file that
+    can't be read gives no items (``unreadable_files`` tells). A file is one task; large feeds should come as lines.
+    """
+    fields = ", ".join([f"{c}: string" for c in _PLAIN] + [f"{c}: array<string>" for c in _LISTS])
+
+    @F.pandas_udf(f"array<struct<{fields}>>")
+    def unwrap(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            items = []
+            for r in records_of(parse(text)):
+                r = r if isinstance(r, dict) else {"input_text": r if isinstance(r, str) else ""}
+                item = {c: None if r.get(c) is None else r[c] if isinstance(r[c], str) else json.dumps(r[c], ensure_ascii=False) for c in _PLAIN}
+                items.append(item | {c: [_entry(e) for e in r[c]] if isinstance(r.get(c), list) else None for c in _LISTS})
+            out.append(items)
+        return pd.Series(out)
+
+    files = spark.read.text(path, wholetext=True)
+    return normalise_versions(files.select(F.explode(unwrap("value")).alias("r")).select("r.*"))
+
+
 def read_wrapped(spark: SparkSession, path: str, list_field: str) -> DataFrame:
     """Items of an object that holds them in one of its lists."""
     wrapped = T.StructType([T.StructField(list_field, T.ArrayType(VERSION_SCHEMA))])

@@ -168,3 +168,17 @@ def test_list_only_reader(spark, tmp_path):
     (tmp_path / "c.json").write_text("[{")
     assert sorted(r.id for r in io.read_list(spark, str(tmp_path), io.FUSED_SCHEMA).filter("id is not null").collect()) == ["1", "2"]
     assert {(r.file.rsplit("/", 1)[1], r.reason) for r in io.unreadable_files(spark, str(tmp_path), True).collect()} == {("b.json", "not_a_list"), ("c.json", "not_json")}
+
+
+def test_items_of_any_shape(spark, tmp_path):
+    shapes = [
+        [{"id": "1", "rewritten_v1": "a", "rewritten_v2": None}, "bare", 7],
+        {"id": "2", "top_rewrites": [{"final_rewritten_text": "t"}, "s", 3]},
+        {"meta": [1], "items": [{"news_id": "3", "text": "T", "rewrites": [{"summary": "x"}], "input_text": ""}, "skipped"]},
+        {"item_id": "4", "final_text": "f"},
+    ]
+    for i, shape in enumerate(shapes):
+        (tmp_path / f"{i}.json").write_text(json.dumps(shape))
+    (tmp_path / "bad.json").write_text("{")
+    got = {tuple(r) for r in io.read_items(spark, str(tmp_path)).collect()}
+    assert got == {("1", "", "a", "", ""), ("", "bare", "", "", ""), ("", "", "", "", ""), ("2", "", "t", "s", ""), ("3", "T", "x", "", ""), ("4", "", "f", "", "")}
