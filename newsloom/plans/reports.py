@@ -13,7 +13,7 @@ from newsloom.operators import masking as M
 from newsloom.operators import rewrite as R
 from newsloom.operators import segment as G
 from newsloom.operators import versions as V
-from newsloom.sources.session import small_batches, table
+from newsloom.sources.session import small_batches, spread, table
 
 LEX = S.Lexicon()
 QUERIES: dict = {}
@@ -72,7 +72,7 @@ _MERGE = f"""
 
 
 def docs(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents")
+    return spread(table(s, d, "documents").select("doc_id", "text", "title"))
 
 
 @query(f"WITH {_PARAGRAPHS} SELECT doc_id, CAST(ord AS INTEGER) AS ord, paragraph FROM par")
@@ -282,7 +282,7 @@ _PAIRS = "pair AS (SELECT fused_id, v AS version_id, fused_content AS a, t AS b
 
 
 def _version_pairs(s, d) -> DataFrame:
-    f = table(s, d, "fused_news").filter("fused_content is not null")
+    f = spread(table(s, d, "fused_news").select("fused_id", "fused_content", "input_text", *V.VERSIONS).filter("fused_content is not null"))
     rows = f.selectExpr("fused_id", "fused_content as a", "stack(4, 'input_text', input_text, 'rewritten_v1', rewritten_v1, 'rewritten_v2', rewritten_v2, 'rewritten_v3', rewritten_v3) as (version_id, b)")
     return rows.filter("b is not null")
 
@@ -290,7 +290,8 @@ def _version_pairs(s, d) -> DataFrame:
 def _word_sets(s, d) -> DataFrame:
     """Word sets of each fused text and of its versions; every text is tokenised once."""
     texts = ["input_text", *V.VERSIONS]
-    sets = table(s, d, "fused_news").filter("fused_content is not null").select("fused_id", similarity.word_set("fused_content").alias("x"), *[similarity.word_set(t).alias(t) for t in texts])
+    fused = spread(table(s, d, "fused_news").select("fused_id", "fused_content", *texts).filter("fused_content is not null"))
+    sets = fused.select("fused_id", similarity.word_set("fused_content").alias("x"), *[similarity.word_set(t).alias(t) for t in texts])
     return sets.selectExpr("fused_id", "x", f"stack({len(texts)}, {', '.join(f"'{t}', {t}" for t in texts)}) as (version_id, y)").filter("y is not null")
 
 
@@ -330,8 +331,9 @@ _CANDIDATES = f"""
 
 
 def _scored(s, d) -> DataFrame:
-    rows = E.candidates(table(s, d, "fused_news"), "fused_id")
-    return rows.select("fused_id", "version_id", similarity.tfidf("fused", "text").alias("tfidf"), similarity.jaccard("fused", "text").alias("jaccard"))
+    rows = E.candidates(spread(table(s, d, "fused_news").select("fused_id", "fused_content", "input_text", *V.VERSIONS)), "fused_id")
+    rows = rows.select("fused_id", "version_id", "fused", "text", similarity.word_set("fused").alias("x"), similarity.word_set("text").alias("y"))
+    return rows.select("fused_id", "version_id", similarity.tfidf("fused", "text").alias("tfidf"), similarity.jaccard_sets("x", "y").alias("jaccard"))
 
 
 @query(f"WITH {_CANDIDATES} SELECT fused_id, version_id, round(tfidf, 6) AS tfidf FROM scored")

@@ -13,7 +13,7 @@ from newsloom.operators import masking as M
 from newsloom.operators import segment as G
 from newsloom.plans import reports as P
 from newsloom.sources import io
-from newsloom.sources.session import small_batches, table
+from newsloom.sources.session import small_batches, spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -29,7 +29,7 @@ def query(sql: str):
 
 
 def _docs(s, d) -> DataFrame:
-    return table(s, d, "documents").filter("text is not null")
+    return spread(table(s, d, "documents").select("doc_id", "text", "title", "lang").filter("text is not null"))
 
 
 @query(f"SELECT DISTINCT id, {P._strip('content')} AS content FROM news_raw WHERE content IS NOT NULL AND {P._strip('content')} <> ''")

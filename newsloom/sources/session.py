@@ -42,6 +42,16 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out over all cores where its source has fewer splits than there are cores.
+
+    A small file is one split, however much work its rows cost. A table with more splits comes back as it is, so nothing
+    is moved at scale.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
