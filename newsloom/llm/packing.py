@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.llm.tokens import count_udf, default_vocabulary
-from newsloom.sources.session import cut, small_batches, table
+from newsloom.sources.session import cut, small_batches, spread, table
 
 CAPACITY = 2048
 SHARD_ITEMS = 20_000
@@ -211,7 +211,7 @@ def token_sizes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     A repeated id counts once, with its longest text; of rows with a null id, equal texts count once.
     """
     small_batches(documents.sparkSession)
-    docs = documents.filter(F.col(text_col).isNotNull() & (F.col(text_col) != "")).select(
+    docs = spread(documents.select(id_col, text_col).filter(F.col(text_col).isNotNull() & (F.col(text_col) != ""))).select(
         F.col(id_col).cast("bigint").alias("doc_id"),
         F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).alias("other"),
         count_udf(vocabulary or default_vocabulary())(text_col).alias("n_tokens"),

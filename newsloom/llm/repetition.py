@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.sources.session import cut, small_batches, table
+from newsloom.sources.session import cut, small_batches, spread, table
 
 WORDS, CHARS = 5, 10
 SHARE = 1 / 3
@@ -131,7 +131,7 @@ SIGNS = 3
 def prepared(texts: DataFrame) -> DataFrame:
     """``texts(field_name, row_id, lang, source, text)`` with labels in lower case; null, empty and blank texts are left out."""
     norm = lambda c: F.coalesce(F.lower(F.trim(c)), F.lit("")).alias(c)
-    return texts.filter("text is not null and text rlike '(?U)\\\\S'").select("field_name", "row_id", norm("lang"), norm("source"), "text")
+    return spread(texts.filter("text is not null and text rlike '(?U)\\\\S'").select("field_name", "row_id", norm("lang"), norm("source"), "text"))
 
 
 def vectors(texts: DataFrame) -> DataFrame:
@@ -220,7 +220,8 @@ def fit(v: DataFrame, sample: int = SAMPLE) -> DataFrame:
                     rows.append((lang, source, mean.tolist(), np.linalg.inv(HALF_FACTOR * cov + RIDGE * np.eye(DIMS)).ravel().tolist()))
             yield pd.DataFrame(rows, columns=["lang", "source", "mean", "precision"])
 
-    model = cut(small.mapInPandas(start, MODEL_SCHEMA), "start")
+    tasks = max(v.sparkSession.sparkContext.defaultParallelism, int(v.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    model = cut(small.repartition(tasks, *KEYS).mapInPandas(start, MODEL_SCHEMA), "start")  # small rows, much work: the number keeps them apart
     xs = [F.col(x) for x in XS]
     d2 = distance2(xs, F.col("mean"), F.col("precision"))
     half = both.join(model, KEYS).groupBy(*KEYS).agg(F.percentile_approx(d2, 0.5, 1000).alias("limit"))

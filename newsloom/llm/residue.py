@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.sources.session import small_batches, table
+from newsloom.sources.session import small_batches, spread, table
 
 FAMILIES = ("placeholder", "failed_value", "filler", "notice")
 #: Code bits for each thousand characters from which a text counts as one about code, if there are more than CODE_BITS.
@@ -403,7 +403,7 @@ def with_flags(documents: DataFrame, keep: list[str], text_col: str = "text") ->
             columns = [pa.array([g[i] for g in got], pa.bool_()) for i in range(4)] + [pa.array([any(g) for g in got], pa.bool_())]
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + columns, names=[*keep, *FAMILIES, "is_residue"])
 
-    return documents.select(*keep, text_col).mapInArrow(run, schema)
+    return spread(documents.select(*keep, text_col)).mapInArrow(run, schema)
 
 
 def flag_residue(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.sources.session import small_batches, table
+from newsloom.sources.session import small_batches, spread, table
 
 SEPARATOR = "====ALIGNMENT===="
 OPENING = {"“": "”", "„": "“”", "«": "»", "»": "«", "「": "」", "『": "』", "(": ")", "（": "）", "[": "]", "【": "】", "《": "》", "〈": "〉", "{": "}", '"': '"', "‹": "›", "‚": "‘’"}
@@ -322,7 +322,7 @@ def sentences(aligned: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["aligned_id", "row_no", "sent_no", "sent_start", "sent_end"]).astype({"aligned_id": "Int64"})
 
     texts = F.transform("alignment", lambda x: x["text"]).alias("texts")
-    return aligned.select("aligned_id", "lang", "fused_content", texts).mapInPandas(run, SENTENCE_SCHEMA)
+    return spread(aligned.select("aligned_id", "lang", "fused_content", texts)).mapInPandas(run, SENTENCE_SCHEMA)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

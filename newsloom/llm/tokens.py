@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.sources.session import small_batches, table
+from newsloom.sources.session import small_batches, spread, table
 
 #: Pre-tokeniser of the public vocabulary; fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -137,7 +137,7 @@ def chunk(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 names=["piece", "salt", "places"],
             )
 
-    return documents.select(id_col, text_col).mapInArrow(run, schema)
+    return spread(documents.select(id_col, text_col)).mapInArrow(run, schema)
 
 
 def encode_chunks(chunks: DataFrame, vocabulary: str) -> DataFrame:

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from newsloom.sources.session import cut, small_batches, table
+from newsloom.sources.session import cut, small_batches, spread, table
 
 #: A spike is as tall as chance makes it with less than this probability, with at most BEYOND of the values above it.
 CHANCE = 1e-6
@@ -167,7 +167,7 @@ def endings(values: DataFrame) -> DataFrame:
             out += [(None, None, None, None, None, None, None, c, n, contexts["space"][c]) for c, n in contexts["all"].items()]
             yield pd.DataFrame(out, columns=names).astype({"row_id": "Int64", "n_chars": "Int32", "n_bytes": "Int32", "n_all": "Int64", "n_space": "Int64", "closed": "boolean"})
 
-    return rows.mapInPandas(run, END_SCHEMA)
+    return spread(rows).mapInPandas(run, END_SCHEMA)
 
 
 def of_values(ends: DataFrame) -> DataFrame:
