@@ -125,14 +125,3 @@ def tfidf(a: Column | str, b: Column | str) -> Column:
 
 def verdict(mean: Column) -> Column:
     return F.when(mean >= 0.8, "high").when(mean >= 0.6, "medium").when(mean >= 0.4, "low").otherwise("very low")
-
-
-def observations(original: Column, methods: list[Column], mean: Column, jaccard_mean: Column) -> Column:
-    """Remarks and recommendations on a text's similarities, as an array of codes."""
-    n = F.lit(float(len(methods)))
-    avg = sum(methods[1:], methods[0]) / n
-    variance = sum(((m - avg) * (m - avg) for m in methods[1:]), (methods[0] - avg) * (methods[0] - avg)) / n
-    return F.array_compact(F.array(
-        F.when(original < 0.5, F.lit("original_low")), F.when(variance > 0.1, F.lit("methods_differ")),
-        F.when(mean < 0.6, F.lit("check_key_facts")), F.when(jaccard_mean < 0.3, F.lit("check_wording")),
-    ))

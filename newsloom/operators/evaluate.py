@@ -50,14 +50,19 @@ def candidates(items: DataFrame, id_col: str, fused: str = "fused_content", orig
 
 def method_means(rows: DataFrame, id_col: str, methods: list[str], main: str) -> DataFrame:
     """One row of each item of ``rows(id, version_id, *methods)``: the mean of each method over the candidates that have it,
-    the verdict on the mean of ``main``, ``methods_differ`` (population variance of the means above 0.1) and ``original_low``.
+    the verdict on the mean of ``main``, ``methods_differ`` (population variance of the means above 0.1), ``original_low``,
+    and ``observations``: these two and what to look at, as codes.
     """
     means = [F.coalesce(F.avg(m), F.lit(0.0)).alias(m) for m in methods]
     out = rows.groupBy(id_col).agg(*means, F.max(F.when(F.col("version_id") == "original", F.col(main))).alias("_original"))
     mean = sum((F.col(m) for m in methods[1:]), F.col(methods[0])) / len(methods)
     variance = sum(((F.col(m) - mean) * (F.col(m) - mean) for m in methods[1:]), (F.col(methods[0]) - mean) * (F.col(methods[0]) - mean)) / len(methods)
     out = out.withColumn("methods_differ", F.round(variance, 9) > 0.1).withColumn("verdict", similarity.verdict(F.round(main, 9)))
-    return out.withColumn("original_low", F.coalesce(F.round("_original", 9) < 0.5, F.lit(False))).drop("_original")
+    out = out.withColumn("original_low", F.coalesce(F.round("_original", 9) < 0.5, F.lit(False))).drop("_original")
+    remarks = [F.when(F.col("original_low"), "original_low"), F.when(F.col("methods_differ"), "methods_differ"), F.when(F.round(main, 9) < 0.6, "check_key_facts")]
+    if "jaccard" in methods:
+        remarks.append(F.when(F.round("jaccard", 9) < 0.3, "check_wording"))
+    return out.withColumn("observations", F.array_compact(F.array(*remarks)))
 
 
 def analysis(items: DataFrame, means: DataFrame, id_col: str) -> DataFrame:

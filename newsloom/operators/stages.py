@@ -244,7 +244,7 @@ def evaluate_items(items: DataFrame, model: TextModel, embedder: Embedder, id_co
     g = E.classify(check_problems(whole, model), id_col).select(id_col, F.col("by_type").alias("global_problems"), F.col("total_count").alias("global_problem_count"))
     s = E.classify(check_problems(E.tasks(sentences, E.SENTENCE_PROBLEMS), model), id_col).select(id_col, F.col("by_type").alias("sentence_problems"), F.col("total_count").alias("sentence_problem_count"))
     means = E.analysis(body, E.method_means(version_similarity(body, id_col, embedder), id_col, METHODS, "semantic"), id_col)
-    means = means.select(id_col, *[F.col(m).alias(f"{m}_similarity") for m in METHODS], "verdict", "methods_differ", "original_low", F.col("success").alias("similarity_success"))
+    means = means.select(id_col, *[F.col(m).alias(f"{m}_similarity") for m in METHODS], "verdict", "methods_differ", "original_low", "observations", F.col("success").alias("similarity_success"))
     out = items.select(id_col, ok.alias("evaluation_success")).join(g, id_col, "left").join(s, id_col, "left").join(means, id_col, "left")
     none, zero = F.create_map().cast("map<string, bigint>"), F.lit(0).cast("bigint")
     for c in ("global_problems", "sentence_problems"):

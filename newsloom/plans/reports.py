@@ -345,13 +345,14 @@ def tfidf_similarity(s, d):
 @query(f"""
     WITH {_CANDIDATES}, m AS (SELECT fused_id, avg(tfidf) AS t, avg(jaccard) AS j, max(tfidf) FILTER (version_id = 'original') AS o FROM scored GROUP BY fused_id)
     SELECT fused_id, round(t, 6) AS tfidf, round(j, 6) AS jaccard, round(((t - j) / 2) ** 2, 9) > 0.1 AS methods_differ,
-      CASE WHEN round(t, 9) >= 0.8 THEN 'high' WHEN round(t, 9) >= 0.6 THEN 'medium' WHEN round(t, 9) >= 0.4 THEN 'low' ELSE 'very low' END AS verdict, coalesce(round(o, 9) < 0.5, false) AS original_low FROM m
+      CASE WHEN round(t, 9) >= 0.8 THEN 'high' WHEN round(t, 9) >= 0.6 THEN 'medium' WHEN round(t, 9) >= 0.4 THEN 'low' ELSE 'very low' END AS verdict, coalesce(round(o, 9) < 0.5, false) AS original_low,
+      array_to_string(list_filter([CASE WHEN coalesce(round(o, 9) < 0.5, false) THEN 'original_low' END, CASE WHEN round(((t - j) / 2) ** 2, 9) > 0.1 THEN 'methods_differ' END, CASE WHEN round(t, 9) < 0.6 THEN 'check_key_facts' END, CASE WHEN round(j, 9) < 0.3 THEN 'check_wording' END], lambda x: x IS NOT NULL), '|') AS observations FROM m
 """)
 def similarity_by_method(s, d):
     """Means by method over the candidates and the variance of the means, for the two methods that both engines have."""
     small_batches(s)
     m = E.method_means(_scored(s, d), "fused_id", ["tfidf", "jaccard"], "tfidf")
-    return m.select("fused_id", F.round("tfidf", 6).alias("tfidf"), F.round("jaccard", 6).alias("jaccard"), "methods_differ", "verdict", "original_low")
+    return m.select("fused_id", F.round("tfidf", 6).alias("tfidf"), F.round("jaccard", 6).alias("jaccard"), "methods_differ", "verdict", "original_low", F.array_join("observations", "|").alias("observations"))
 
 
 _CONFLICTS = """

@@ -46,9 +46,11 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` dealt out over all cores where its source has fewer splits than there are cores.
 
     A small file is one split, however much work its rows cost. A table with more splits comes back as it is, so nothing
-    is moved at scale.
+    is moved at scale, and so does what a shuffle has dealt out already (asking for its splits would run it).
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 

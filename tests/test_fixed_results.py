@@ -42,3 +42,13 @@ def test_cut_tables_are_deleted(spark):
     path = df.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
     assert df.agg(F.sum("id").alias("s")).collect()[0].s == 3 and os.path.isdir(path)
     assert session.drop_cuts(spark) == 1 and not os.path.exists(path)
+
+
+def test_small_tables_are_dealt_out(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    one = spark.read.parquet(str(tmp_path / "one"))
+    assert session.spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and session.spread(one).count() == 100
+    many = spark.range(100, numPartitions=9)
+    assert session.spread(many) is many
+    grouped = one.groupBy("id").count()
+    assert session.spread(grouped) is grouped

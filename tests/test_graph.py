@@ -148,6 +148,7 @@ def test_method_means(spark):
     rows = spark.createDataFrame([(1, "original", 0.4, 1.0, None), (1, "rewritten_v1", 0.8, 1.0, 0.0), (2, "rewritten_v1", 0.9, 0.9, 0.9)], "id int, version_id string, semantic double, tfidf double, jaccard double")
     got = {r.id: r for r in E.method_means(rows, "id", ["semantic", "tfidf", "jaccard"], "semantic").collect()}
     assert abs(got[1].semantic - 0.6) < 1e-9 and got[1].jaccard == 0.0 and got[1].verdict == "medium" and got[1].methods_differ and got[1].original_low
+    assert got[1].observations == ["original_low", "methods_differ", "check_wording"] and got[2].observations == []
     assert got[2].verdict == "high" and not got[2].methods_differ and not got[2].original_low
     items = spark.createDataFrame([("f", "o", None, "b", "c"), (" ", "o", "a", None, None), ("f", None, "a", None, None)], "fused_content string, input_text string, rewritten_v1 string, rewrite_1 string, rewritten_v2 string").withColumn("id", F.monotonically_increasing_id())
     assert [(r.version_id, r.text) for r in E.candidates(items, "id").collect()] == [("original", "o"), ("rewrite_1", "b"), ("rewritten_v2", "c")]
