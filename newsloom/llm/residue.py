@@ -29,7 +29,6 @@ import re._parser as sre_parser
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F

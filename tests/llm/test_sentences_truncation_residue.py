@@ -121,7 +121,7 @@ def test_thai_ends_by_rate(spark):
 
 CASES = [
     "Title: {{ headline }}", "The ${place} council met.", "Sources: <%= figure %>", "By XXX DATE XXX", "the #REF! site", "Photo: [object Object]", "[INSERT BYLINE] said", "met <source_name> today", "Updated undefined", "stayed None until 3",
-    "Lorem ipsum dolor sit amet candor", "Body text body text body text.", "404 Not Found", "Access denied\n\nnginx", "Please enable JavaScript to continue.", "请启用 JavaScript 后重新加载本页。", "（地点待补）举行", "Traceback (most recent call last):", '{"error": {"status": 403}}', "rose by NaN twice", "in %s and", "Published: (null)", "[This site requires JavaScript.] The council met.",
+    "Lorem ipsum dolor sit amet elit", "Body text body text body text.", "404 Not Found", "Access denied\n\nnginx", "Please enable JavaScript to continue.", "请启用 JavaScript 后重新加载本页。", "（地点待补）举行", "Traceback (most recent call last):", '{"error": {"status": 403}}', "rose by NaN twice", "in %s and", "Published: (null)", "[This site requires JavaScript.] The council met.",
     "Sed enim minim veniam quis nostrud labore et dolore", "jkl jkl jkl jkl", "Your story begins in this box", "ici viendra le texte à venir", "Error 405", "408 / Request Timeout", "zxcv zxcv", "aaa bbb. Aaa bbb, aaa bbb.", "511 Network Authentication Required",
     "Mirum lanta corvo deline, mirum corvo lanta. Deline corvo mirum lanta.",
 ]
