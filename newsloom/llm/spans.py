@@ -2,16 +2,18 @@
 
 1. ``seeds``: each text keeps the k-mers that are the smallest by hash in some window of ``LENGTH - K + 1`` k-mers, so
    every stretch of ``LENGTH`` characters that two texts share holds a seed that both of them kept.
-2. ``anchors``: seeds meet by content. A seed of up to ``GROUP`` places joins each two of its places in different
-   records, so a place has a bounded number of partners; a seed of more places joins each place to the first one.
+2. ``anchors``: seeds meet by content. For exact spans a seed of up to ``GROUP`` places joins each two of its places in
+   different records, so a place has a bounded number of partners (5 has the rest). For passages the texts meet by
+   ``linked``, two or three seeds close to each other, without which no chain reaches ``PASSAGE_SCORE``: so each two
+   texts that can have a passage are chained over all their common seeds, however many texts a seed stands in.
 3. ``chain``: the anchors of two texts are chained in the order of both, with gap costs, through Fenwick trees for prefix
-   maxima.
+   maxima, or through whole rows of them where the texts repeat themselves.
 4. Alignment: for exact spans the characters of both texts are compared along the diagonals of a chain's anchors
    (``exact_runs``), and runs of at least ``LENGTH`` are kept; passages get the identity of a banded alignment
    (``identity``).
-5. Seeds of more than ``GROUP`` places (a passage in a third of all records) have too many partners to chain. There every
-   window of ``LENGTH`` characters around a place is a key of a hash aggregation, by two independent 64-bit hashes; a
-   window is shared if two records have it. So no link is lost and no pairs of a large group are formed.
+5. For exact spans, seeds of more than ``GROUP`` places (a passage in a third of all records) have too many partners to
+   chain. There every window of ``LENGTH`` characters around a place is a key of a hash aggregation, by two independent
+   64-bit hashes; a window is shared if two records have it. So no link is lost and no pairs of a large group are formed.
 
 Scale: seeds are one position in about fifty and are written once; counting them is a partial aggregation, and only
 seeds of at least two records go on. Texts are joined with chains by their record, and Spark picks the side to move.
@@ -19,7 +21,7 @@ seeds of at least two records go on. Texts are joined with chains by their recor
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -39,9 +41,13 @@ PASSAGE_K = 40
 #: A chain with a lower score or identity is no passage.
 PASSAGE_SCORE = 60.0
 PASSAGE_IDENTITY = 0.8
-#: Places of a seed up to which all of them are joined with each other.
+#: Places of a seed up to which all of them are joined with each other for exact spans.
 GROUP = 16
 SALTS = 16
+#: Texts of a link that meet the others of it in one task.
+BLOCK = 256
+#: Anchors for each seed of a text above which ``chain_rows`` chains them.
+DENSE = 8
 #: Texts are hashed in pieces of this many characters; positions inside a piece fit the low bits of a sort key.
 PIECE = 1 << 20
 #: Chains: weight of a seed, cost of a skipped or shifted character, and the longest gap bridged.
@@ -143,16 +149,15 @@ def shared_seeds(found: DataFrame) -> DataFrame:
 
 
 def anchors(shared: DataFrame) -> DataFrame:
-    """``(rec, field, p_rec, p_field, anchors)``: each two linked texts of different records with all places of their common seeds.
+    """``(rec, field, p_rec, p_field, anchors)``: each two texts of different records with all places of their common seeds of up to ``GROUP`` places.
 
     The text with the smaller key comes first; the anchors of two texts are bounded by their lengths.
     """
     place = F.struct("rec", "field", "pos")
     few = shared.filter(F.col("n") <= GROUP).groupBy("h").agg(F.sort_array(F.collect_list(place)).alias("p"))
     two = few.select(F.explode("p").alias("a"), "p").select("a", F.explode("p").alias("b")).filter("a.rec < b.rec")
-    star = shared.filter((F.col("n") > GROUP) & (F.col("rec") != F.col("first.rec"))).select(F.col("first").alias("a"), place.alias("b"))
     keys = ["rec", "field", "p_rec", "p_field"]
-    rows = two.unionByName(star).select("a.rec", "a.field", F.col("b.rec").alias("p_rec"), F.col("b.field").alias("p_field"), F.col("a.pos").alias("pos"), F.col("b.pos").alias("p_pos"))
+    rows = two.select("a.rec", "a.field", F.col("b.rec").alias("p_rec"), F.col("b.field").alias("p_field"), F.col("a.pos").alias("pos"), F.col("b.pos").alias("p_pos"))
     return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "p_pos"))).alias("anchors"))
 
 
@@ -208,16 +213,47 @@ def chain(anchors: list[tuple[int, int]], k: int = K, gap_cost: float = GAP_COST
             a, b = anchors[x]
             tree.put(rank[b], (score[x] + gap_cost * (a + b), x))
         i = j
-    out, used = [], set()
-    for x in sorted(range(len(anchors)), key=lambda x: (-score[x], anchors[x])):
+    return list(paths(sorted(range(len(anchors)), key=lambda x: (-score[x], anchors[x])), score, before, k))
+
+
+def paths(best: Sequence[int], score: Sequence[float], before: Sequence[int], k: int) -> Iterator[tuple[float, list[int]]]:
+    """The chains that ``before`` leads through, from the ends in the order of ``best``; each anchor in one of them."""
+    used = bytearray(len(best))
+    for x in best:
         members, y = [], x
-        while y >= 0 and y not in used:
+        while y >= 0 and not used[y]:
             members.append(y)
-            used.add(y)
+            used[y] = 1
             y = before[y]
         if members:  # where a better chain has the rest, the first anchor counts in full
-            out.append((score[x] - (score[members[-1]] - k if y >= 0 else 0.0), members[::-1]))
-    return out
+            yield float(score[x] - (score[members[-1]] - k if y >= 0 else 0.0)), members[::-1]
+
+
+def chain_rows(a: np.ndarray, b: np.ndarray, k: int = K, gap_cost: float = GAP_COST, max_gap: int = MAX_GAP) -> Iterator[tuple[float, list[int]]]:
+    """The chains of ``chain`` for anchors in ascending order: all anchors at one position of a are taken at once, over an array of all ranks.
+
+    Where texts repeat themselves their anchors are many more than their positions.
+    """
+    n = len(a)
+    values, rank = np.unique(b, return_inverse=True)
+    top, last = np.full(len(values) + 1, -np.inf), np.full(len(values) + 1, -1, dtype=np.int64)  # best value and anchor of each rank, after a first that has none
+    score, before = np.full(n, float(k)), np.full(n, -1, dtype=np.int32)
+    edges = np.flatnonzero(np.r_[True, a[1:] != a[:-1], True])
+    for i, j in zip(edges[:-1], edges[1:]):
+        r = rank[i:j]
+        highest = np.maximum.accumulate(top)
+        new = np.cumsum(np.r_[False, highest[1:] > highest[:-1]])  # of equal values the last anchor counts
+        p = (np.maximum.accumulate(np.where(top == highest, last, -1) + new * (n + 1) + 1) - new * (n + 1) - 1)[r]
+        has = np.flatnonzero(p >= 0)
+        q = p[has]
+        da, db = a[i] - a[q], b[i:j][has] - b[q]
+        gain = np.minimum(np.minimum(k, da), db) - gap_cost * (np.maximum(0, da - k) + np.maximum(0, db - k)) - gap_cost * np.abs(da - db)
+        better = (da <= max_gap) & (db <= max_gap) & (score[q] + gain > k)
+        score[i + has[better]], before[i + has[better]] = (score[q] + gain)[better], q[better]
+        value = score[i:j] + gap_cost * (a[i] + b[i:j])
+        win = value >= top[r + 1]
+        top[r[win] + 1], last[r[win] + 1] = value[win], np.arange(i, j)[win]
+    return paths(memoryview(np.lexsort((b, a, -score))), memoryview(score), memoryview(before), k)
 
 
 CHAIN_SCHEMA = "rec bigint, field byte, start int, end int, p_rec bigint, p_field byte, p_start int, p_end int, score double, anchors array<struct<pos: int, p_pos: int>>"
@@ -240,6 +276,127 @@ def chains(anchored: DataFrame, k: int = K, least: float = 0.0) -> DataFrame:
     return anchored.mapInPandas(run, CHAIN_SCHEMA)
 
 
+def keys_of(text: np.ndarray, pos: np.ndarray, h: np.ndarray, k: int, need: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, key, whether it is a long one): the twos and threes of seeds by which ``linked`` finds partners, each key of a text once.
+
+    ``text`` and, in a text, ``pos`` ascend. Gains of at least ``need``, above 0 and above ``-need`` ask for distances up
+    to ``near`` of them. Twos are long from ``need`` to ``near(need)``. Threes are made of twos that aren't, and long if
+    they reach over more than ``k``: where a text has a long two, its partners have the same two, long or not.
+    """
+    near = lambda least: (k * (1 + 2 * GAP_COST) - least) / (2 * GAP_COST)
+    h = h.astype(np.int64).view(np.uint64)
+    place = (text.astype(np.int64) << 32) + pos
+    i, j, d = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+    for step in range(1, len(pos)):
+        apart = place[step:] - place[:-step]
+        at = np.flatnonzero(apart <= near(-need))
+        if not len(at):
+            break
+        i.append(at), j.append(at + step), d.append(apart[at])
+    i, j, d = np.concatenate(i), np.concatenate(j), np.concatenate(d)
+    mix = lambda x, y: (x ^ (x >> np.uint64(29))) * np.uint64(_BASE) + y
+    long = (d >= need) & (d <= near(need))
+    of, keys = [text[i]], [mix(h[i], h[j])]
+    first, then = ~long & (d <= near(0)), ~long
+    begin, middle, d1, follow, end, d2 = i[first], j[first], d[first], i[then], j[then], d[then]
+    if np.bincount(middle, minlength=len(h)) @ np.bincount(follow, minlength=len(h)) > 1 << 21:
+        if text[0] != text[-1]:  # text by text
+            parts = [keys_of(text[x], pos[x], h[x].view(np.int64), k, need) for x in np.split(np.arange(len(text)), np.flatnonzero(np.diff(text)) + 1)]
+            return tuple(np.concatenate(x) for x in zip(*parts))
+        one, other = (np.unique(np.stack([h[x].view(np.int64), h[y].view(np.int64), z]), axis=1) for x, y, z in ((begin, middle, d1), (follow, end, d2)))
+        x, y = common(one[1], other[0])  # the text repeats itself: equal twos count once, wherever they stand
+        three, reach = mix(mix(one[0][x].view(np.uint64), one[1][x].view(np.uint64)), other[1][y].view(np.uint64)), one[2][x] + other[2][y]
+        of.append(np.full(len(x), text[0]))
+    else:
+        x, y = common(middle, follow)
+        three, reach = mix(mix(h[begin[x]], h[middle[x]]), h[end[y]]), d1[x] + d2[y]
+        of.append(text[begin[x]])
+    of, keys, long = np.concatenate(of), np.concatenate([*keys, three ^ np.uint64(_MASK >> 1)]), np.r_[long, reach > k]
+    order = np.lexsort((~long, keys, of))
+    of, keys, long = of[order], keys[order], long[order]
+    new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])][: len(keys)])
+    return of[new], keys[new].view(np.int64), long[new]
+
+
+def linked(held: DataFrame, k: int, least: float) -> DataFrame:
+    """``(rec, field, p_rec, p_field)``: each two texts of different records that can have a chain of score ``least``, above ``k``.
+
+    ``held`` has the shared seeds of each text (``rec``, ``field``, ``pos``, ``h``). A chain's anchors after its lowest
+    gain ``least - k`` in all and never fall back to none. Anchors that lie within ``k`` characters gain no more step by
+    step than the last of them right after the first. With each such run taken as one step, either one step gains
+    ``least - k``, or the first two reach over more than ``k`` in one of the texts, the first gains something and both
+    together do. So the texts share two seeds, or three, within the distances of ``keys_of``, long in one of the texts.
+    Texts meet by the hashes of these; in blocks of about ``BLOCK``, so that a key of many texts
+    makes its pairs in many tasks.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                of, key, long = keys_of(np.repeat(np.arange(len(pdf)), pdf["pos"].map(len)), np.concatenate(pdf["pos"].tolist()), np.concatenate(pdf["h"].tolist()), k, least - k)
+                yield pd.DataFrame({"l": key, "long": long, "rec": pdf["rec"].to_numpy()[of], "field": pdf["field"].to_numpy()[of]})
+
+    links = cut(held.select("rec", "field", "pos", "h").mapInPandas(run, "l bigint, long boolean, rec bigint, field byte"), "links")
+    counted = links.groupBy("l").agg(F.count("*").alias("n"), F.min("rec").alias("first"), F.max("rec").alias("last"), F.max("long").alias("any")).filter("first < last and any")
+    places = links.join(counted.select("l", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "l")
+    left = places.filter("long").select("l", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.struct("rec", "field").alias("a"))
+    right = places.select("l", F.pmod(F.hash("rec", "field"), "blocks").alias("block"), F.struct("rec", "field").alias("b"), F.col("long").alias("p_long"))
+    met = left.join(right, ["l", "block"]).filter("a.rec < b.rec or a.rec > b.rec and not p_long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return met.select("a.rec", "a.field", F.col("b.rec").alias("p_rec"), F.col("b.field").alias("p_field")).distinct()
+
+
+def common(h: np.ndarray, p_h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes in both arrays of each two equal values, in the order of the first and then the second."""
+    order = np.argsort(p_h, kind="stable")
+    low, high = np.searchsorted(p_h[order], h, "left"), np.searchsorted(p_h[order], h, "right")
+    n = high - low
+    i = np.repeat(np.arange(len(h)), n)
+    return i, order[np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + low[i]]
+
+
+def bends(at: list[tuple[int, int]], k: int) -> list[tuple[int, int]]:
+    """A chain's anchors without those inside a stretch of overlapping ones on one diagonal, where the texts are equal."""
+    out: list[tuple[int, int]] = []
+    inside = lambda p, q: q[0] - p[0] == q[1] - p[1] and q[0] - p[0] <= k
+    for i, x in enumerate(at):
+        if not (0 < i < len(at) - 1 and inside(at[i - 1], x) and inside(x, at[i + 1])):
+            out.append(x)
+    return out
+
+
+PAIR_SCHEMA = "rec bigint, field byte, start int, end int, p_rec bigint, p_field byte, p_start int, p_end int, n_seeds int, score double, many boolean, anchors array<struct<pos: int, p_pos: int>>"
+
+
+def chains_of_pairs(pairs: DataFrame, held: DataFrame, k: int, least: float) -> DataFrame:
+    """Chains over all common seeds of each two texts (``PAIR_SCHEMA``) with a score of at least ``least``.
+
+    ``held`` has the shared seeds of each text as arrays ``pos``, ``h`` and ``many`` (whether the seed has more than
+    ``GROUP`` places); ``many`` of a chain tells whether one of its seeds has. ``anchors`` are its ``bends``.
+    """
+    names = [c.split()[0] for c in PAIR_SCHEMA.split(", ")[:11]] + ["anchors"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for rec, field, p_rec, p_field, pos, h, many, p_pos, p_h in pdf.itertuples(index=False):
+                i, j = common(h, p_h)
+                a, b = pos[i].astype(np.int64), p_pos[j].astype(np.int64)
+                rich = np.asarray(many, dtype=bool)[i]
+                for score, members in chain_rows(a, b, k) if len(i) > DENSE * len(pos) else chain(list(zip(a.tolist(), b.tolist())), k):
+                    if score >= least:
+                        at = bends([(int(a[x]), int(b[x])) for x in members], k)
+                        (x, y), (z, w) = at[0], at[-1]
+                        rows.append((rec, field, x, z + k, p_rec, p_field, y, w + k, len(members), score, bool(rich[members].any()), [{"pos": p, "p_pos": q} for p, q in at]))
+                if len(rows) >= 1000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+            yield pd.DataFrame(rows, columns=names)
+
+    other = held.select(F.col("rec").alias("p_rec"), F.col("field").alias("p_field"), F.col("pos").alias("p_pos"), F.col("h").alias("p_h"))
+    both = pairs.join(held, ["rec", "field"]).join(other, ["p_rec", "p_field"])
+    return both.select("rec", "field", "p_rec", "p_field", "pos", "h", "many", "p_pos", "p_h").mapInPandas(run, PAIR_SCHEMA)
+
+
 def with_texts(chained: DataFrame, texts: DataFrame, reach: int = 0) -> DataFrame:
     """``chained`` with the passages' characters and ``reach`` more on either side (``text``, ``p_text``), starting at ``at`` and ``p_at``.
 
@@ -353,7 +510,7 @@ def shared_spans(records: DataFrame, id_col: str = "fused_id", fields: tuple[str
     small_batches(records.sparkSession)
     shared = cut(shared_seeds(cut(seeds(records, id_col, fields), "seeds")), "shared")
     texts = records.select(F.col(id_col).cast("bigint").alias("rec"), F.array(*fields).alias("texts"))
-    small = chains(anchors(shared.filter(F.col("n") <= GROUP)))
+    small = chains(anchors(shared))
     found = spans_in_chains(with_texts(small, texts, LENGTH - K)).unionByName(spans_by_window(shared.filter(F.col("n") > GROUP), texts))
     name = F.element_at(F.array(*[F.lit(f) for f in fields]), F.col("field").cast("int") + 1)
     return merge_runs(found).select(F.col("rec").alias(id_col), name.alias("field_name"), F.col("start").alias("span_start"), F.col("end").alias("span_end"))
@@ -375,9 +532,9 @@ def passages(records: DataFrame, id_col: str = "fused_id", fields: tuple[str, ..
     """Fuzzy passages between distinct texts of different records: chains of score ``PASSAGE_SCORE`` and identity ``PASSAGE_IDENTITY`` or more.
 
     Copies of a text are one class (``members``); a row stands for all members of the two classes it names by their
-    first texts, and ``n_copies`` and ``other_copies`` tell how many there are. A seed of more than ``GROUP`` texts
-    links each of them to its first one (``linked_by`` is ``group`` then, else ``pair``): texts that name the same
-    first one at the same seed share it. Empty and short texts have no passages.
+    first texts, and ``n_copies`` and ``other_copies`` tell how many there are. Each two classes are compared over all
+    their common seeds; ``linked_by`` is ``group`` where one of the passage's seeds stands at more than ``GROUP``
+    places, else ``pair``. Empty and short texts have no passages.
     """
     small_batches(records.sparkSession)
     base = records.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("rec"), *fields).dropDuplicates(["rec"])
@@ -391,12 +548,11 @@ def passages(records: DataFrame, id_col: str = "fused_id", fields: tuple[str, ..
     def same(a: pd.Series, b: pd.Series, at: pd.Series, p_at: pd.Series, anchors: pd.Series) -> pd.Series:
         return pd.Series([identity(x, y, [(z["pos"] - i, z["p_pos"] - j) for z in c], PASSAGE_K) for x, y, i, j, c in zip(a, b, at, p_at, anchors)], dtype="float64")
 
-    parts = []
-    for how, some in (("pair", F.col("n") <= GROUP), ("group", F.col("n") > GROUP)):
-        chained = chains(anchors(shared.filter(some)), PASSAGE_K, PASSAGE_SCORE)
-        rows = with_texts(chained, texts).withColumn("identity", same("text", "p_text", "at", "p_at", "anchors")).filter(F.col("identity") >= PASSAGE_IDENTITY)
-        parts.append(rows.select("rec", "field", "start", "end", "p_rec", "p_field", "p_start", "p_end", F.size("anchors").alias("n_seeds"), "score", "identity", F.lit(how).alias("linked_by")))
-    rows = parts[0].unionByName(parts[1])
+    held = shared.groupBy("rec", "field").agg(F.sort_array(F.collect_list(F.struct("pos", "h", (F.col("n") > GROUP).alias("many")))).alias("s"))
+    held = cut(held.select("rec", "field", F.col("s.pos").alias("pos"), F.col("s.h").alias("h"), F.col("s.many").alias("many")), "held")
+    chained = cut(chains_of_pairs(linked(held, PASSAGE_K, PASSAGE_SCORE), held, PASSAGE_K, PASSAGE_SCORE), "chains")
+    rows = with_texts(chained, texts).withColumn("identity", same("text", "p_text", "at", "p_at", "anchors")).filter(F.col("identity") >= PASSAGE_IDENTITY)
+    rows = rows.withColumn("linked_by", F.when(F.col("many"), "group").otherwise("pair"))
     rows = rows.join(own, ["rec", "field"]).join(own.select(F.col("rec").alias("p_rec"), F.col("field").alias("p_field"), F.col("n_copies").alias("other_copies")), ["p_rec", "p_field"])
     name = F.array(*[F.lit(f) for f in fields])
     return rows.select(
